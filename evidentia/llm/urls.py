@@ -59,8 +59,7 @@ class Trie:
 
 def host_and_path(url) -> tuple[F.Column, F.Column]:
     """Host: after the first :// up to / ? # or the end, A-Z lower-cased; path: then up to ? # or the end. Else both empty."""
-    rest = F.when(F.instr(url, "://") > 0, F.substring_index(F.substr(url, F.locate("://", url) + 3), "\0none\0", 1))
-    rest = F.coalesce(rest, F.lit(""))
+    rest = F.coalesce(F.when(F.instr(url, "://") > 0, F.substr(url, F.locate("://", url) + 3)), F.lit(""))
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
     path = F.regexp_extract(rest, r"^[^/?#]*(/[^?#]*)?", 1)
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
