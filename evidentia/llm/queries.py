@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, media, sharding, substring, urls
+from . import langid, media, sharding, substring, suffixes, urls
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_query,
     "op2_language_id": langid.op2_query,
     "op7_sharding": sharding.op7_query,
     "op8_url_filters": urls.op8_query,
+    "op9_suffix_dedup": suffixes.op9_query,
     "op10_media": media.op10_query,
 }
 

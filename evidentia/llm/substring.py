@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from . import common, shingling, sketch
 
 N = 13
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 def _windows(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
