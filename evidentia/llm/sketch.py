@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS, SEGMENT_BITS, LEAST_BITS, MOST_BITS, FAN, FLUSH = 2, 20, 20, 28, 256, 1 << 22
+ROWS, SEGMENT_BITS, LEAST_BITS, MOST_BITS, FAN, FLUSH = 2, 20, 20, 29, 256, 1 << 22
 _SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -38,8 +38,8 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 def bits_for(items: int) -> int:
-    """The cells of a row, as a power of two: twice the expected items, within the bounds."""
-    return int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1, 2 * items))))))
+    """The cells of a row, as a power of two: four times the expected items, within the bounds."""
+    return int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1, 4 * items))))))
 
 
 def partition_sketches(df: DataFrame, fingerprints: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> DataFrame:
