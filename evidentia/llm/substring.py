@@ -108,10 +108,9 @@ def remove_repeated(df: DataFrame, n: int = N, text: str = "text", doc_id: str =
     are whole numbers.
     """
     df = common.without(df, "n_words", "n_removed", "kept_text")
-    key = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    docs = df.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("doc"), key.alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = common.keyed(df, text, doc_id)
+    docs = rows.where("_doc is not null").select(F.col("_doc").alias("doc"), F.col("_key").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     spans = repeated_spans(docs, n).groupBy("doc", "key").agg(F.collect_list("at").alias("_at"), F.collect_list("n").alias("_n"))
-    rows = df.withColumns({"_doc": F.col(f"`{doc_id}`").cast("long"), "_key": key})
     rows = rows.join(spans.withColumnsRenamed({"doc": "_doc", "key": "_key"}), ["_doc", "_key"], "left").drop("_doc", "_key")
     schema = T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
