@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import langid, media, sharding, substring, suffixes, urls
+from . import jaccard, langid, media, mixing, packing, quality, sharding, substring, suffixes, urls
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_query,
     "op2_language_id": langid.op2_query,
+    "op3_quality_rules": quality.op3_query,
+    "op4_mixing": mixing.op4_query,
+    "op5_jaccard_join": jaccard.op5_query,
+    "op6_best_fit_packing": packing.op6_query,
     "op7_sharding": sharding.op7_query,
     "op8_url_filters": urls.op8_query,
     "op9_suffix_dedup": suffixes.op9_query,
