@@ -36,13 +36,16 @@ _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
+#: With ``raw``, all but white space counts as it is.
+_RAW = np.arange(256, dtype=np.uint8)
+_RAW[:32] = 32
 
 
-def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def subwords(data: np.ndarray, offsets: np.ndarray, raw: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Table index of each subword of the rows (0: none), the position after it, and the rows' offsets among positions."""
     n = len(offsets) - 1
     flat = np.full(len(data) + n + 4, 32, np.uint8)
-    folded, starts = _FOLD[data], offsets[:-1] + np.arange(n)
+    folded, starts = (_RAW if raw else _FOLD)[data], offsets[:-1] + np.arange(n)
     for i in range(n):
         flat[starts[i] + 1 : starts[i] + 1 + offsets[i + 1] - offsets[i]] = folded[offsets[i] : offsets[i + 1]]
     gap = flat == 32
@@ -68,12 +71,13 @@ class SubwordModel:
     bias: np.ndarray
     temperature: float = 1.0
     reject_below: float = 0.0
+    raw: bool = False
 
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Calibrated probabilities, a row for each text; without subwords, those of the bias."""
         out = np.zeros((len(offsets) - 1, len(self.labels)))
         for a, b in common.chunks(offsets, CHUNK):
-            grams, starts = subwords(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            grams, starts = subwords(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], self.raw)
             summed, count = np.zeros((len(starts) - 1, len(self.labels))), np.zeros(len(starts) - 1)
             for index in grams:
                 summed += np.add.reduceat(self.table[index], starts[:-1], axis=0, dtype=np.float64)
@@ -89,9 +93,9 @@ def _encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)])
 
 
-def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+def _bags(texts: list[str], raw: bool) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each text's distinct subwords and their shares."""
-    grams, starts = subwords(*_encode(texts))
+    grams, starts = subwords(*_encode(texts), raw)
     out = []
     for a, b in zip(starts[:-1], starts[1:], strict=True):
         index, count = np.unique(np.concatenate([g[a:b] for g in grams]), return_counts=True)
@@ -100,7 +104,7 @@ def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def fit(texts: list[str], labels: list[str], seed: int = 5, epochs: int = 6, rate: float = 0.5, snippets: int = 2, reject_share: float = 0.002) -> SubwordModel | None:
+def fit(texts: list[str], labels: list[str], seed: int = 5, epochs: int = 6, rate: float = 0.5, snippets: int = 2, reject_share: float = 0.002, raw: bool = False) -> SubwordModel | None:
     """Train on the texts and on ``snippets`` short pieces of each, so that short texts are known too. None without a label.
 
     Every fifth text is kept for calibration: the temperature, and as the
@@ -121,7 +125,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 5, epochs: int = 6, rat
                 a = int(rng.integers(0, len(t) - 40))
                 train.append(t[a : a + int(rng.integers(20, 160))])
                 of.append(of[-1])
-    bags = _bags(train)
+    bags = _bags(train, raw)
     emb = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
     top, bias = rng.normal(0, 0.1, (DIM, len(names))).astype(np.float32), np.zeros(len(names), np.float32)
     steps = 0
@@ -143,7 +147,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 5, epochs: int = 6, rat
             emb[index] -= (lr * len(index) ** 0.5) * np.outer(share, back)
     table = (emb @ top).astype(np.float32)
     table[0] = 0
-    model = SubwordModel(names, table, bias)
+    model = SubwordModel(names, table, bias, raw=raw)
     if held:
         own = sorted(held)
         data, offsets = _encode([texts[i] for i in own])

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from . import common, langid
 
 #: Shares of tokens by domain of the labelled table.
-TARGETS = {"good": 0.6, "poor": 0.39, "toxic": 0.01}
+TARGETS = {"good": 0.75, "poor": 0.2, "toxic": 0.05}
 STEPS, MISS = 40, 1e-3
 
 
@@ -133,7 +133,7 @@ def mix(df: DataFrame, model: langid.SubwordModel | None, targets: dict[str, flo
 
 def fit_domains(docs: DataFrame, labels: DataFrame) -> langid.SubwordModel | None:
     """A classifier of the labelled documents' domains, from a sample of at most langid.ROWS_EACH rows of each."""
-    return langid.fit(*langid.sample(labelled(docs, labels), "text", "domain"), snippets=0)
+    return langid.fit(*langid.sample(labelled(docs, labels), "text", "domain"), epochs=30, rate=1.5, snippets=0, raw=True)
 
 
 def repeated(df: DataFrame) -> DataFrame:
