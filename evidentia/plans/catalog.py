@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-MODULES = ()
+from . import reference_queries
+
+MODULES = (reference_queries,)
 
 
 def queries() -> dict[str, Callable]:
