@@ -30,6 +30,13 @@ def test_every_id_once_and_no_gaps(spark):
     assert len(by_sequence) <= -(-sum(r["length"] for r in rows) // 1024) * 1.02 + 1
 
 
+def test_ids_are_those_of_tokenizers():
+    t, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder()
+    texts = ["", " ", "  \n\n\t x  ", "a<|endoftext|>b", "ñandú ’s it's I'LL 123abc", "\0\x01 \u00a0\u2003x", "日本語 🙂🙂", "x" * 3000, "=-" * 900, "\r\n  \r\n", "e\u0301 \ufeff"]
+    for x in texts:
+        assert encode(x) == t.encode(x, add_special_tokens=False).ids
+
+
 def test_plan_is_optimal_on_small_cases():
     def brute(sizes, limit):
         best = len(sizes)
