@@ -42,12 +42,15 @@ def bits_for(items: int) -> int:
     return int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1, 4 * items))))))
 
 
-def partition_sketches(df: DataFrame, fingerprints: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> DataFrame:
-    """Rows (part, row, segment, once, more) of each partition's sketch; ``fingerprints`` gives uint64 arrays of a batch."""
+def partition_sketches(df: DataFrame, fingerprints: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, rows=range(ROWS), passed=None) -> DataFrame:
+    """Rows (part, row, segment, once, more) of each partition's sketch; ``fingerprints`` gives uint64 arrays of a batch.
+
+    ``passed``: a broadcast ``Repeated``; what it rules out isn't counted.
+    """
 
     def flush(part: int, held: list[np.ndarray]) -> pa.RecordBatch:
         h, out = np.concatenate(held), []
-        for row in range(ROWS):
+        for row in rows:
             cells = np.sort(_cells(h, row, bits))
             new = np.append(True, cells[1:] != cells[:-1])
             at = np.flatnonzero(new)
@@ -64,6 +67,8 @@ def partition_sketches(df: DataFrame, fingerprints: Callable[[pa.RecordBatch], I
         part, held, n = TaskContext.get().partitionId(), [], 0
         for batch in batches:
             for h in fingerprints(batch):
+                if passed is not None:
+                    h = h[passed.value(h)]
                 held.append(h)
                 n += len(h)
                 if n >= FLUSH:
@@ -89,9 +94,16 @@ class Repeated:
     """Which fingerprints were counted twice or more, by estimate: all that were, and some others."""
 
     def __init__(self, bits: int):
-        self.bits = bits
+        self.bits, self.rows = bits, ()
         self.maps = np.zeros((ROWS, 1 << (bits - 3)), np.uint8)
 
+    def __getstate__(self):
+        return self.bits, self.rows, [zstandard.compress(m.tobytes(), 1) for m in self.maps[list(self.rows)]]
+
+    def __setstate__(self, state):
+        self.bits, self.rows, maps = state
+        self.maps = dict(zip(self.rows, (np.frombuffer(zstandard.decompress(m), np.uint8) for m in maps), strict=True))
+
     def add(self, row: int, segment: int, cells: np.ndarray) -> None:
         bitmap = np.zeros(1 << SEGMENT_BITS, bool)
         bitmap[cells] = True
@@ -100,23 +112,33 @@ class Repeated:
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         out = np.ones(len(h), bool)
-        for row in range(ROWS):
+        for row in self.rows:
             c = _cells(h, row, self.bits)
             out &= (self.maps[row][c >> np.uint32(3)] >> (c & np.uint32(7)).astype(np.uint8)) & 1 == 1
         return out
 
 
-def repeated(df: DataFrame, fingerprints, items: int):
-    """A broadcast ``Repeated`` of all fingerprints of ``df``, of which there are about ``items``."""
-    spark = df.sparkSession
+def repeated(df: DataFrame, fingerprints, items: int, cascade: bool = False):
+    """A broadcast ``Repeated`` of all fingerprints of ``df``, of which there are about ``items``.
+
+    With ``cascade`` the second row counts only what the first row estimates
+    as repeated, in a scan of its own: fewer cells are moved, and fewer
+    fingerprints that occur once are let through.
+    """
+    spark, held = df.sparkSession, None
     bits = bits_for(items)
-    rows, parts = partition_sketches(df, fingerprints, bits), df.rdd.getNumPartitions()
-    while True:
-        rows = rows.withColumn("part", F.expr(f"cast(part div {FAN} as int)")).groupBy("part", "row", "segment").applyInPandas(_merge, rows.schema)
-        parts = -(-parts // FAN)
-        if parts <= 1:
-            break
     out = Repeated(bits)
-    for r in rows.select("row", "segment", "more").toLocalIterator(prefetchPartitions=True):
-        out.add(r["row"], r["segment"], _unpack(bytes(r["more"])))
-    return spark.sparkContext.broadcast(out)
+    for counted in ([0], [1]) if cascade else (range(ROWS),):
+        rows, parts = partition_sketches(df, fingerprints, bits, counted, held), df.rdd.getNumPartitions()
+        while True:
+            rows = rows.withColumn("part", F.expr(f"cast(part div {FAN} as int)")).groupBy("part", "row", "segment").applyInPandas(_merge, rows.schema)
+            parts = -(-parts // FAN)
+            if parts <= 1:
+                break
+        for r in rows.select("row", "segment", "more").toLocalIterator(prefetchPartitions=True):
+            out.add(r["row"], r["segment"], _unpack(bytes(r["more"])))
+        out.rows = (*out.rows, *counted)
+        if held is not None:
+            held.unpersist()
+        held = spark.sparkContext.broadcast(out)
+    return held

@@ -3,7 +3,7 @@
 Pass one counts the fingerprints of all windows of n words in partition
 sketches, which are merged; the merged sketch overestimates counts. Pass two
 takes the windows that it estimates as repeated, and no others, and groups
-them exactly, by 128 bits. Within a chunk of rows only the windows of the
+them exactly, by 96 bits. Within a chunk of rows only the windows of the
 smallest document go to the shuffle, the others are known to repeat, so a
 window that a third of all documents hold reaches its group once a chunk.
 """
@@ -59,18 +59,18 @@ def smallest_first(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarra
     return out
 
 
-OCCURRENCES = "h1 long, h2 long, doc long, key long, at long, n long, known boolean"
+OCCURRENCES = "h1 long, h2 int, doc long, key long, at int, n int, known boolean"
 
 
 def occurrences(rows: list) -> pa.RecordBatch:
-    kinds = (pa.int64(),) * 6 + (pa.bool_(),)
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["h1", "h2", "doc", "key", "at", "n", "known"])
 
 
 def repeated_spans(docs: DataFrame, n: int = N) -> DataFrame:
     """(doc, key, at, n): runs of n windows from word ``at`` on that also start in a document with a smaller id."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    held = sketch.repeated(docs.select("text"), _fingerprints(n), size // 6)
+    held = sketch.repeated(docs.select("text"), _fingerprints(n), size // 6, cascade=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,14 +81,14 @@ def repeated_spans(docs: DataFrame, n: int = N) -> DataFrame:
                 if not len(some):
                     continue
                 at, h1 = at[some], h1[some]
-                h2 = shingling.runs(shingling.word_fingerprints(part, starts, ends, 1), n, 1)[at]
+                h2 = (shingling.runs(shingling.word_fingerprints(part, starts, ends, 1), n, 1)[at] >> np.uint64(32)).astype(np.uint32)
                 row = np.searchsorted(of, at, "right") - 1
                 doc, place = docs_[a + row], at - of[row]
                 least = smallest_first(h1, h2, doc)
                 first, length = consecutive(row[~least], place[~least])
-                rows = [(h1[least].view(np.int64), h2[least].view(np.int64), doc[least], keys[a + row[least]], place[least], np.ones(least.sum(), np.int64), np.zeros(least.sum(), bool))]
+                rows = [(h1[least].view(np.int64), h2[least].view(np.int32), doc[least], keys[a + row[least]], place[least].astype(np.int32), np.ones(least.sum(), np.int32), np.zeros(least.sum(), bool))]
                 r = a + row[~least][first]
-                rows.append((docs_[r], keys[r], docs_[r], keys[r], place[~least][first], length, np.ones(len(r), bool)))
+                rows.append((docs_[r], np.zeros(len(r), np.int32), docs_[r], keys[r], place[~least][first].astype(np.int32), length.astype(np.int32), np.ones(len(r), bool)))
                 yield occurrences(rows)
 
     found = docs.mapInArrow(run, OCCURRENCES)
