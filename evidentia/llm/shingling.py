@@ -55,7 +55,8 @@ def word_fingerprints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, wh
         return np.zeros(0, np.uint64)
     lengths = ends - starts
     begin = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(begin, lengths)
+    place = np.arange(int(lengths.sum()), dtype=np.int32)
+    place -= np.repeat(begin.astype(np.int32), lengths)
     letters = _BYTE[which][data[~_SPACE[data]]]
     if lengths.max() > _PLACES:
         far = np.cumprod(np.append(U(1), np.full(int(lengths.max()) // _PLACES, _FAR[which])), dtype=np.uint64)

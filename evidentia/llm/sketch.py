@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS, SEGMENT_BITS, LEAST_BITS, MOST_BITS, FAN, FLUSH = 2, 20, 20, 29, 256, 1 << 22
+ROWS, SEGMENT_BITS, LEAST_BITS, MOST_BITS, FAN, FLUSH = 2, 20, 20, 29, 256, 1 << 21
 _SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
