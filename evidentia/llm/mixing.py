@@ -2,8 +2,9 @@
 
 A classifier of the labelled table gives each document posteriors of the
 domains. The document rates (expected copies, not negative) minimise the
-weighted squares of what expected domain tokens miss of their targets, by
-accelerated projected gradient. A rate depends on the posteriors and on the
+squares of what expected domain tokens miss of their targets, by accelerated
+projected gradient; the squares are weighted by the inverse of the domains'
+Gram matrix, under which a step ends where no rate meets zero. A rate depends on the posteriors and on the
 residuals of each step alone, so a step is one distributed sum over the
 documents, and the driver keeps as many numbers a step as there are domains.
 """
@@ -87,9 +88,7 @@ def fit_rates(df: DataFrame, targets: np.ndarray, steps: int = STEPS, miss: floa
     gram = summed(lambda p, t: (p * t[:, None]).T @ p)
     if not gram.size:
         return []
-    gram = gram.reshape(k, k)
-    weight = 1 / np.maximum(np.diag(gram), 1e-12)
-    step = 1 / max(np.linalg.eigvalsh(np.sqrt(weight)[:, None] * gram * np.sqrt(weight)[None])[-1], 1e-12)
+    weight = np.linalg.pinv(gram.reshape(k, k), rcond=1e-9, hermitian=True)
     pushes: list[np.ndarray] = []
     for _ in range(steps):
         # The sums at the point that the gradient is taken at, and at the rates themselves.
@@ -97,7 +96,7 @@ def fit_rates(df: DataFrame, targets: np.ndarray, steps: int = STEPS, miss: floa
         at_rate, at_point = both.reshape(2, k)
         if (np.abs(at_rate - targets) <= miss * np.maximum(targets, 1)).all():
             break
-        pushes.append(step * weight * (targets - at_point))
+        pushes.append(weight @ (targets - at_point))
     return pushes
 
 
