@@ -192,7 +192,7 @@ def _tiles(num: int, den: int):
         i, j = int(tile["i"].iloc[0]), int(tile["j"].iloc[0])
         left, right = (tile, tile) if i == j else (tile[tile["side"] == i], tile[tile["side"] == j])
         out, width = [], max(map(len, tile["parity"]))
-        # Long sketches are folded to one width; folding XORs bits together, so distances stay lower bounds.
+        # Long sketches are folded to one width; folding XORs cells whose places have equal low bits, so distances stay lower bounds.
         width = min(width, 1024, min(map(len, tile["parity"])))
         fold = lambda x: np.array([np.bitwise_xor.reduce(np.frombuffer(p, np.uint64).reshape(-1, width // 8), axis=0) for p in x]).reshape(len(x), width // 8)
         a, b = fold(left["parity"]), fold(right["parity"])
@@ -216,7 +216,8 @@ def _parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batch.column(1):
             s = np.frombuffer(x.as_buffer(), np.uint64)
             bits = 1 << max(9, int(np.ceil(np.log2(4 * len(s)))))
-            p = np.bincount(((s * U(0x9E3779B97F4A7C15)) >> U(64 - (bits.bit_length() - 1))).astype(np.int64), minlength=bits) & 1
+            # Low bits of the place stay when a sketch is folded, so a shingle lies in one cell at all widths.
+            p = np.bincount((((s * U(0x9E3779B97F4A7C15)) >> U(20)) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
             n.append(len(s))
             parity.append(np.packbits(p.astype(bool), bitorder="little").tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(parity, pa.binary())], ["sid", "n", "parity"])

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from evidentia.llm import jaccard
 
 ASCII = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -62,3 +65,48 @@ def test_edges(spark):
     got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in jaccard.near_duplicates(df).collect())
     assert got == [(-1, 0, -1), (-1, 1, -1), (4, 1, 4), (4, 1, 4), (9, 1, 4)]
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
+
+
+def hubs(small, large, seed):
+    """Two linked sets of words whose sketches differ in size, and a hub and its copies that share all blocks these two share."""
+    bands, blocks = jaccard.Bands(9, 10), lambda x: set(jaccard.block_keys([x], bands)[0].tolist())
+    prints = lambda words: jaccard.shingle_sets(np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, len(" ".join(words))]), 1)[0]
+    b = [f"s{seed}w{i}" for i in range(large)]
+    a = b[:small]
+    both = blocks(prints(a)) & blocks(prints(b))
+    assert both
+    # A word that lies in no shared block may change.
+    free = [w for w in a if both <= blocks(prints([x for x in a if x != w]))]
+    hub = [w for w in a if w not in free]
+    spare = (f"h{seed}x{i}" for i in range(10**6))
+    while len(hub) < small:
+        w = next(spare)
+        if both <= blocks(prints([*a, w])):
+            hub.append(w)
+    out = [a, b, hub]
+    for _ in range(6):
+        copy = [*hub[:-1]]
+        while len(copy) < small:
+            w = next(spare)
+            if both <= blocks(prints([*a, w])):
+                copy.append(w)
+        out.append(copy)
+    assert all(both <= blocks(prints(x)) for x in out) and len(set(a) & set(hub)) * 19 < 18 * small
+    return [" ".join(x) for x in out]
+
+
+def test_links_of_sketches_of_two_sizes_under_a_hub(spark):
+    docs = list(enumerate([*hubs(126, 130, 1), *hubs(1020, 1050, 2)]))
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    want = brute(docs, 1, 9, 10)
+    assert [want[i][1] for i in (0, 1, 2, 9, 10, 11)] == [0, 0, 2, 9, 9, 11]
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df, 1, (9, 10)).collect()} == want
+
+
+def test_tiles_let_all_linked_pairs_pass():
+    r = np.random.default_rng(5)
+    for small, large in ((126, 130), (1020, 1030), (4090, 4110), (4000, 4020)):
+        s = r.integers(0, 2**63, large).astype(np.uint64)
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([s[:small].tobytes(), s.tobytes()], pa.binary())], ["sid", "shingles"])
+        rows = next(jaccard._parity([batch])).to_pandas().assign(block=0, label=[1, 2], side=0, i=0, j=0)
+        assert jaccard._tiles(9, 10)(rows)[["u", "v"]].to_numpy().tolist() == [[1, 2]]
