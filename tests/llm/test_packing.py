@@ -73,3 +73,15 @@ def test_edges(spark):
     got = packing.pack_documents(df).collect()
     assert sorted(r["length"] for r in got)[:3] == [1, 1, 1] and len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
     assert packing.pack_documents(df.limit(0)).count() == 0
+
+
+def test_a_very_long_run_of_white_space_is_encoded_whole(spark):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a" + " " * 1_000_000 + "b", "a" + "\n" * 1_000_000 + "b"]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    for i, x in enumerate(texts):
+        ids, at = [*t.encode(x, add_special_tokens=False).ids, 2], 0
+        for r in sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["piece"]):
+            assert r["start"] == at and r["ids_crc32"] == zlib.crc32(np.array(ids[at : at + r["length"]], "<u4").tobytes())
+            at += r["length"]
+        assert at == len(ids)
