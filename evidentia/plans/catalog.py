@@ -13,5 +13,10 @@ def queries() -> dict[str, Callable]:
     return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
+def without_sql() -> dict[str, Callable]:
+    """Queries whose SQL would take too long or give no rows; tests hold them against small fixtures."""
+    return {name: q for m in MODULES for name, q in m.WITHOUT_SQL.items()}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: s for m in MODULES for name, s in m.ORACLE_SQL.items()}

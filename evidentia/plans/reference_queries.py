@@ -179,6 +179,52 @@ def redact(spark, d):
     return table(spark, d, "customer").select("c_custkey", text.redact(F.concat(F.col("c_name"), F.lit(" Bearer abc."), F.col("c_custkey"), F.lit(" sk-abcdefgh"), F.col("c_custkey"))).alias("masked"))
 
 
+# The queries above with a cut keep their SQL's; these do the same jobs over all rows.
+
+
+def term_df_all(spark, d):
+    tf = retrieval.term_counts(table(spark, d, "documents"), "doc_id", "text")
+    return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+def bm25_idf_all(spark, d):
+    docs = table(spark, d, "documents")
+    return retrieval.idf(retrieval.term_counts(docs, "doc_id", "text"), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def _cosine_each(e: DataFrame, rows: DataFrame) -> DataFrame:
+    near = retrieval.cosine_topk_each(rows.select("vec_id", "embedding"), e.where("vec_id % 100 = 0").select("vec_id", "embedding"), "vec_id", "embedding", 10)
+    return near.select(F.col("query").alias("query_id"), "vec_id", F.round("score", 5).alias("score"))
+
+
+def cosine_topk_all(spark, d):
+    e = table(spark, d, "embeddings")
+    return _cosine_each(e, e)
+
+
+def cosine_topk_filtered_all(spark, d):
+    e = table(spark, d, "embeddings")
+    return _cosine_each(e, e.where("label = 1"))
+
+
+def section_inherit_all(spark, d):
+    return graph.inherited(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_suppkey").select("l_orderkey", "l_linenumber", F.array_join(F.col("tables").cast("array<string>"), ",").alias("tables"))
+
+
+def graph_stats_all(spark, d):
+    left, right = _edges(spark, d)
+    return graph.stats(left, right, "l_suppkey")
+
+
+def gap_repeats_all(spark, d):
+    return evidence.repeated_gaps(table(spark, d, "conversations"), "text")
+
+
+def code_for_clause_all(spark, d):
+    left, right = _edges(spark, d)
+    return graph.two_hops(left.withColumn("o", F.col("l_suppkey")), right, "l_orderkey", "l_suppkey", "l_partkey", "o")
+
+
 _TOKENS = r"""tokens as (
   select doc_id, lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[-.][\p{L}\p{N}]+)*')) as t from documents),
 terms as (select doc_id, lang, t as term from tokens union all
@@ -248,4 +294,21 @@ ORACLE_SQL["value_locations"] = f"""with f as (
   union all select 'part', 'p_name', 1, count(*) from part where {_norm('p_name')} = {_norm("'asia'")})
 select table_name, column_name, n_rows from f where n_rows > 0 order by table_name limit 4"""
 
+_EACH = """with s as (select q.vec_id as query_id, e.vec_id, round(list_dot_product(e.embedding::double[], q.embedding::double[]), 12) as dot from embeddings e, embeddings q where q.vec_id % 100 = 0 and {}),
+r as (select *, row_number() over (partition by query_id order by dot desc, vec_id) as r from s) select query_id, vec_id, round(dot, 5) as score from r where r <= 10"""
+ORACLE_SQL |= {
+    "term_df_all": f"with {_TOKENS} select term, count(distinct doc_id) as df, count(*) as tf from terms group by 1",
+    "bm25_idf_all": f"with {_TOKENS} select term, count(distinct doc_id) as df, round(ln(1 + ((select count(*) from documents) - count(distinct doc_id) + 0.5) / (count(distinct doc_id) + 0.5)), 6) as idf from terms group by 1",
+    "cosine_topk_all": _EACH.format("true"),
+    "cosine_topk_filtered_all": _EACH.format("e.label = 1"),
+    "section_inherit_all": """with own as (select distinct l_orderkey, l_linenumber from lineitem),
+x as (select o.l_orderkey, o.l_linenumber, w.l_suppkey from own o join (select distinct l_orderkey, l_suppkey from lineitem) w using (l_orderkey)
+  where not exists (select 1 from lineitem e where e.l_orderkey = o.l_orderkey and e.l_linenumber = o.l_linenumber and e.l_suppkey = w.l_suppkey))
+select l_orderkey, l_linenumber, coalesce(array_to_string(list_sort(list(x.l_suppkey) filter (x.l_suppkey is not null)), ','), '') as tables from own left join x using (l_orderkey, l_linenumber) group by 1, 2""",
+    "graph_stats_all": """with a as (select l_suppkey, count(distinct l_orderkey) as n from lineitem group by 1), b as (select l_suppkey, count(distinct l_partkey) as n from lineitem group by 1)
+select (select sum(n)::bigint from a) as left_edges, (select sum(n)::bigint from b) as right_edges, (select count(*) from a) as left_tables, (select count(*) from b) as right_tables, (select count(*) from a join b using (l_suppkey)) as shared_tables""",
+}
+
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}
+#: Without SQL: the pairs are too many for it, or no text of the tables repeats.
+WITHOUT_SQL = {"code_for_clause_all": code_for_clause_all, "gap_repeats_all": gap_repeats_all}
