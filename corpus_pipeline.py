@@ -21,8 +21,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates (five words, Jaccard 0.8), the document with the smallest id."""
-    return jaccard.near_duplicates(docs).where("component_id is null or doc_id = component_id").select(*COLUMNS)
+    """Of each component of near duplicates (five words, Jaccard 0.8), one row: that with the smallest id, then the least text hash.
+
+    Rows are linked by numbers of their own, so repeated ids and null ids (which come last) are rows like others. Texts
+    without words link with nothing; of those with equal id and text one row stays.
+    """
+    rows = common.written(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    linked = jaccard.near_duplicates(rows.select("_row", "doc_id", "text"), doc_id="_row")
+    worded = F.col("n_shingles") > 0
+    group = [F.when(worded, F.col("component_id")).alias("_a"), F.when(~worded, F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("-")), 256).alias("t"))).alias("_b")]
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.xxhash64("text").alias("h"), "_row")
+    first = linked.groupBy(*group).agg(F.min(order).alias("_first")).select(F.col("_first._row").alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
