@@ -4,7 +4,8 @@ A document's histograms of character classes and of common words are compared
 with references of several languages by Jensen-Shannon distance; what is far
 from all references, in either histogram, is not kept. References are shares
 over all documents of a language, so they are one sum for each of the listed
-languages. Texts too short for a histogram are not judged by it.
+languages. How far is far follows from the distances of each language's own
+documents. Texts too short for a histogram are not judged by it.
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ WORDS = tuple(dict.fromkeys(w for own in COMMON.values() for w in own))
 #: Patterns of the character classes; what is left are letters beyond ASCII and all else.
 CLASSES = (r"[a-z]", r"[A-Z]", r"[0-9]", r"[\x20\x09-\x0D]", r"[.,;:!?'\x22()-]", r"[#*$%&|<>{}\[\]=+/\\@^_~`]")
 LEAST_WORDS, LEAST_CHARS = 50, 200
-#: A kept document is this near a reference, in either histogram.
+#: A kept document is as near a reference as this quantile of the language's own documents, times a margin for each histogram ...
+QUANTILE, CHARS_MARGIN, WORDS_MARGIN = 0.9, 1.5, 1.5
+#: ... but never further than this, and in words than this part of the distance of a text without any common word.
+BARE = 0.9
 MOST_CHARS_DISTANCE, MOST_WORDS_DISTANCE = 0.45, 0.9
 
 
@@ -95,18 +99,33 @@ def references(counted: DataFrame, lang: str = "lang") -> dict[str, tuple[list[f
     return {r["_lang"]: (share([r[f"c{i}"] for i in range(len(CLASSES) + 1)]), share([r[f"w{i}"] for i in range(len(WORDS) + 1)])) for r in rows}
 
 
+def limits(counted: DataFrame, known: dict[str, tuple[list[float], list[float]]], enough: Column, lang: str, chars_distance: float, words_distance: float) -> dict[str, tuple[float, float]]:
+    """The largest distances of a kept document to each reference, from QUANTILE over all judged rows of its language; none of a language without such rows."""
+    of, least = F.col(f"`{lang}`"), [0.0] * len(WORDS) + [1.0]
+    own = lambda column, i: reduce(lambda rest, x: F.when(of == x[0], divergence(F.col(column), x[1][i])).otherwise(rest), known.items(), F.lit(None).cast("double"))
+    bare = [divergence(F.array(*map(F.lit, least)), r[1]).alias(x) for x, r in known.items()]
+    wordless = counted.sparkSession.range(1).select(*bare).first() if known else {}
+    rows = counted.where(enough & of.isin(*known)).select(of.alias("_lang"), own("_chars", 0).alias("c"), own("_words", 1).alias("w"))
+    found = rows.groupBy("_lang").agg(*[F.percentile_approx(c, QUANTILE, 10000).alias(c) for c in ("c", "w")]).collect()
+    # A reference without any common word has no distance to fall short of.
+    under = lambda x: BARE * x if x > 1e-6 else words_distance
+    return {r["_lang"]: (min(CHARS_MARGIN * r["c"], chars_distance), min(WORDS_MARGIN * r["w"], words_distance, under(wordless[r["_lang"]]))) for r in found}
+
+
 def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", chars_distance: float = MOST_CHARS_DISTANCE, words_distance: float = MOST_WORDS_DISTANCE, keep_text: bool = True) -> DataFrame:
     """``df`` with the base counts, base_failed, js_chars and js_words (to the nearest reference) and kept.
 
     Null and empty texts have zero counts, null distances and base_failed.
     Texts under LEAST_WORDS words or LEAST_CHARS characters have null
     distances and are kept unless base_failed; so are all without any
-    reference (no row with a language of COMMON). Rows are kept as they are,
-    equal ones too; columns with the added names are replaced. Without
-    ``keep_text`` the result has no text column, and none is written.
+    reference (no judged row with a language of COMMON). A text is far if it is
+    beyond the limits (see ``limits``) of all references, in either histogram;
+    ``chars_distance`` and ``words_distance`` bound the limits. Rows are kept
+    as they are, equal ones too; columns with the added names are replaced.
+    Without ``keep_text`` the result has no text column, and none is written.
     """
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "js_chars", "js_words", "kept")
-    df = common.without(df, *added, "_chars", "_words", "_w", "_t", "_own", "_rest", *(f"_left{i}" for i in range(len(CLASSES))), "_lines", "_windows", "_placed", "_starts")
+    df = common.without(df, *added, "_chars", "_words", "_w", "_t", "_own", "_rest", *(f"_left{i}" for i in range(len(CLASSES))), "_lines", "_windows", "_placed", "_starts", "_dc", "_dw")
     # Counted once, written, and read again for the references and for the verdicts.
     texts = base_counts(df.withColumn("_t", F.coalesce(F.col(f"`{text}`"), F.lit(""))))
     counted = texts.withColumn("_own", common_words(F.col("_w"))).withColumn("_words", word_histogram(F.col("_own"), F.col("n_words")))
@@ -114,10 +133,12 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", chars_d
     counted = common.written(counted, "counted")
     known = references(counted, lang)
     enough = (F.col("n_words") >= LEAST_WORDS) & (F.aggregate("_chars", F.lit(0.0), lambda a, b: a + b) >= LEAST_CHARS)
-    nearest = lambda column, i: F.when(enough, F.array_min(F.array(*[divergence(F.col(column), r[i]) for r in known.values()]))) if known else F.lit(None).cast("double")
+    ends = limits(counted, known, enough, lang, chars_distance, words_distance) if known else {}
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = counted.withColumns({"base_failed": failed, "js_chars": nearest("_chars", 0), "js_words": nearest("_words", 1)})
-    far = F.coalesce(F.col("js_chars") > chars_distance, F.lit(False)) | F.coalesce(F.col("js_words") > words_distance, F.lit(False))
+    distances = [F.when(enough, F.array(*[divergence(F.col(c), known[x][i]) for x in ends])) if ends else F.lit(None).cast("array<double>") for i, c in enumerate(("_chars", "_words"))]
+    judged = counted.withColumns({"base_failed": failed, "_dc": distances[0], "_dw": distances[1]}).withColumns({"js_chars": F.array_min("_dc"), "js_words": F.array_min("_dw")})
+    beyond = lambda column, i: F.coalesce(reduce(lambda a, b: a & b, [F.col(column)[k] > end[i] for k, end in enumerate(ends.values())], F.col(column).isNotNull()), F.lit(False))
+    far = beyond("_dc", 0) | beyond("_dw", 1)
     return judged.withColumn("kept", ~F.col("base_failed") & ~far).select(*[f"`{c}`" for c in df.columns if keep_text or c != text], *added)
 
 

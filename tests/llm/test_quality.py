@@ -48,3 +48,17 @@ def test_distance(spark):
     got = spark.range(1).select(quality.divergence(F.array(F.lit(3.0), F.lit(1.0)), [0.25, 0.75]), quality.divergence(F.array(F.lit(1.0), F.lit(0.0)), [0.0, 1.0])).first()
     kl = lambda p, m: sum(a * math.log2(a / b) for a, b in zip(p, m, strict=True) if a)
     assert abs(got[0] - math.sqrt((kl([0.75, 0.25], [0.5, 0.5]) + kl([0.25, 0.75], [0.5, 0.5])) / 2)) < 1e-12 and abs(got[1] - 1) < 1e-12
+
+
+def test_limits_come_from_each_languages_documents(spark):
+    r = random.Random(4)
+    letters = lambda a, b: "".join(r.choice("etaoinshrdlucmfwgp") for _ in range(r.randint(a, b)))
+    prose = lambda lang, n: " ".join(r.choice(quality.COMMON[lang]) if r.random() < 0.3 else letters(3, 9) for _ in range(n)).capitalize() + "."
+    docs = [(f"{lang}{i}", prose(lang, r.randint(60, 400)), lang) for lang in quality.COMMON for i in range(60)]
+    clean = [(f"clean {lang}", prose(lang, 250), None) for lang in quality.COMMON]
+    symbols = lambda x: "".join(c if r.random() < 0.7 else r.choice("#*$%&|<>") for c in x)
+    bad = [("no words", " ".join(letters(3, 9) for _ in range(250)), "en"), ("list", "\n".join(letters(4, 9) for _ in range(60)), "de"), ("symbols", symbols(prose("en", 250)), "en"), ("shuffled", "".join(r.sample(prose("fr", 250), 1200)), "fr")]
+    df = spark.createDataFrame([*docs, *clean, *bad], "doc_id string, text string, lang string")
+    kept = {x["doc_id"]: x["kept"] for x in quality.quality_rules(df).collect()}
+    assert [kept[x[0]] for x in clean] == [True] * 4 and [kept[x[0]] for x in bad] == [False] * 4
+    assert sum(kept[x[0]] for x in docs) >= 0.97 * len(docs)
