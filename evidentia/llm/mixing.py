@@ -23,7 +23,8 @@ from . import common, langid
 
 #: Shares of tokens by domain of the labelled table.
 TARGETS = {"good": 0.75, "poor": 0.2, "toxic": 0.05}
-STEPS, MISS = 40, 1e-3
+#: The fit ends with targets met to MISS of each, or where STALL steps don't lower the objective by more than FALL of it.
+MISS, STALL, FALL = 1e-3, 40, 1e-3
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -60,10 +61,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def fit_rates(df: DataFrame, targets: np.ndarray, steps: int = STEPS, miss: float = MISS) -> list[np.ndarray]:
-    """The pushes of each step for ``df`` with posteriors and tokens; ``targets`` are expected tokens by domain.
+def fit_rates(df: DataFrame, targets: np.ndarray, miss: float = MISS) -> tuple[list[np.ndarray], np.ndarray]:
+    """The pushes of each step for ``df`` with posteriors and tokens, and the expected tokens by domain after them; ``targets`` are those wanted.
 
-    Ends when no domain misses its target by more than ``miss`` of it, or after ``steps``.
+    Ends when no domain misses its target by more than ``miss`` of it, or when
+    the objective has stopped falling, as it does for targets that no rates
+    meet; then the steps up to the least objective are given.
     """
     k = len(targets)
 
@@ -87,38 +90,52 @@ def fit_rates(df: DataFrame, targets: np.ndarray, steps: int = STEPS, miss: floa
 
     gram = summed(lambda p, t: (p * t[:, None]).T @ p)
     if not gram.size:
-        return []
+        return [], np.zeros(k)
     weight = np.linalg.pinv(gram.reshape(k, k), rcond=1e-9, hermitian=True)
     pushes: list[np.ndarray] = []
-    for _ in range(steps):
+    # The least objective so far, its step and its sums.
+    best = (np.inf, 0, np.zeros(k))
+    while True:
         # The sums at the point that the gradient is taken at, and at the rates themselves.
         both = summed(lambda p, t: np.stack([(p * (x * t)[:, None]).sum(0) for x in _rates(p, pushes)]))
         at_rate, at_point = both.reshape(2, k)
-        if (np.abs(at_rate - targets) <= miss * np.maximum(targets, 1)).all():
-            break
+        left = targets - at_rate
+        if (np.abs(left) <= miss * np.maximum(targets, 1)).all():
+            return pushes, at_rate
+        objective = float(left @ weight @ left)
+        if objective < (1 - FALL) * best[0]:
+            best = (objective, len(pushes), at_rate)
+        if len(pushes) - best[1] >= STALL or objective <= 1e-14 * float(targets @ weight @ targets):
+            return pushes[: best[1]], best[2]
         pushes.append(weight @ (targets - at_point))
-    return pushes
 
 
 def mix(df: DataFrame, model: langid.SubwordModel | None, targets: dict[str, float] | None = None, tokens: float | None = None, text: str = "text", seed: int = 23) -> DataFrame:
-    """``df`` with posteriors, tokens, rate and copies, such that expected tokens by domain match ``targets``' shares of ``tokens``.
+    """``df`` with posteriors, tokens, rate, copies and miss, such that expected tokens by domain match ``targets``' shares of ``tokens``.
 
     ``tokens`` is that of all of ``df`` if not given. copies is the rate,
     rounded up or down by a hash of the row's text and id in proportion; equal
     rows get equal copies. Null and empty texts have no tokens and the rate
     of their posteriors. Domains without a target get none. Without a model or
-    without tokens all rates are 1. Columns with the added names are replaced.
+    without tokens all rates are 1. miss (array in the order of the posteriors,
+    equal in all rows) is what a domain's expected tokens are over its target,
+    in shares of all wanted tokens; null where nothing was fitted. It is within
+    MISS of each target unless no rates meet the targets. Columns with the
+    added names are replaced.
     """
-    df = common.without(df, "posteriors", "tokens", "rate", "copies")
+    df = common.without(df, "posteriors", "tokens", "rate", "copies", "miss")
     shares = TARGETS if targets is None else targets
     with_p = posteriors(df, model, text)
     slim = common.written(with_p.select("posteriors", "tokens"), "posteriors")
     pushes: list[np.ndarray] = []
+    over = F.lit(None)
     total = slim.agg(F.sum("tokens")).first()[0] or 0
     if model is not None and total:
         share = np.array([max(0.0, shares.get(d, 0.0)) for d in model.labels])
         if share.sum():
-            pushes = fit_rates(slim, share / share.sum() * (tokens or total))
+            wanted = share / share.sum() * (tokens or total)
+            pushes, got = fit_rates(slim, wanted)
+            over = F.lit(((got - wanted) / wanted.sum()).tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +144,7 @@ def mix(df: DataFrame, model: langid.SubwordModel | None, targets: dict[str, flo
 
     out = with_p.mapInArrow(run, T.StructType([*with_p.schema.fields, T.StructField("rate", T.DoubleType())]))
     luck = F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return out.withColumn("copies", (F.floor("rate") + (luck < F.col("rate") - F.floor("rate")).cast("int")).cast("long"))
+    return out.withColumn("copies", (F.floor("rate") + (luck < F.col("rate") - F.floor("rate")).cast("int")).cast("long")).withColumn("miss", over.cast("array<double>"))
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame) -> langid.SubwordModel | None:
@@ -137,7 +154,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame) -> langid.SubwordModel | Non
 
 def repeated(df: DataFrame) -> DataFrame:
     """Each row as often as its ``copies``, without the columns of ``mix``."""
-    return df.where("copies > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_i", "posteriors", "tokens", "rate", "copies")
+    return df.where("copies > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_i", "posteriors", "tokens", "rate", "copies", "miss")
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:
@@ -145,4 +162,4 @@ def op4_query(spark, sf_dir: str) -> DataFrame:
     model = fit_domains(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = mix(docs.select("doc_id", "text"), model)
     names = model.labels if model else []
-    return out.select("doc_id", "tokens", *[F.round(F.col("posteriors")[i], 9).alias(f"p_{n}") for i, n in enumerate(names)], F.round("rate", 9).alias("rate"), "copies")
+    return out.select("doc_id", "tokens", *[F.round(F.col("posteriors")[i], 9).alias(f"p_{n}") for i, n in enumerate(names)], F.round("rate", 9).alias("rate"), "copies", *[F.round(F.col("miss")[i], 9).alias(f"miss_{n}") for i, n in enumerate(names)])

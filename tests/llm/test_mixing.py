@@ -35,3 +35,30 @@ def test_edges(spark):
     model = langid.fit(["good words here now"] * 30 + ["bad things there"] * 30, ["good"] * 30 + ["poor"] * 30)
     assert mixing.mix(df, model).count() == 4 and mixing.mix(df.limit(0), model).count() == 0
     assert mixing.repeated(mixing.mix(df, None)).columns == ["doc_id", "text"]
+
+
+def test_rare_domains_meet_their_targets(spark):
+    r = np.random.default_rng(8)
+    p, t = r.dirichlet([5, 5, 0.05], 5000), r.integers(1, 3001, 5000)
+    df = spark.createDataFrame([(x, n) for x, n in zip(p.tolist(), t.tolist(), strict=True)], "posteriors array<double>, tokens long").coalesce(2).cache()
+    target = np.array([0.75, 0.2, 0.05]) * t.sum()
+    pushes, got = mixing.fit_rates(df, target)
+    assert np.allclose((p * (mixing._rates(p, pushes)[0] * t)[:, None]).sum(0), got) and (np.abs(got - target) <= 1.001e-3 * target).all()
+
+
+def test_infeasible_targets_end_and_tell_the_miss(spark):
+    df = spark.createDataFrame([([0.6, 0.4], 10), ([0.5, 0.5], 20)] * 20, "posteriors array<double>, tokens long").coalesce(1).cache()
+    pushes, got = mixing.fit_rates(df, np.array([60.0, 540.0]))
+    gram = np.array([[0.36 * 10 + 0.25 * 20, 0.24 * 10 + 0.25 * 20], [0.24 * 10 + 0.25 * 20, 0.16 * 10 + 0.25 * 20]]) * 20
+    w = np.linalg.inv(gram)
+    # Best with the second kind alone, which is nearest to the second domain.
+    x = np.array([0.5, 0.5])
+    best = x * (x @ w @ [60, 540]) / (x @ w @ x)
+    assert np.allclose(got, best, rtol=0.02) and len(pushes) < 300
+
+
+def test_query_meets_each_target_and_tells_the_miss(spark):
+    df = mixing.op4_query(spark, "/root/testdata/sf0.01").cache()
+    got = df.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * F.col("rate") * F.col(f"p_{d}")).alias(d) for d in mixing.TARGETS], *[F.max(f"miss_{d}").alias(f"miss_{d}") for d in mixing.TARGETS]).first()
+    for d, share in mixing.TARGETS.items():
+        assert abs(got[d] - share * got["n"]) <= 2e-3 * share * got["n"] and abs(got[d] / got["n"] - share - got[f"miss_{d}"]) < 1e-5
