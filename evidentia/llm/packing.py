@@ -1,13 +1,12 @@
-"""Best-fit packing of token sequences by bin completion.
+"""Best-fit packing of token sequences, a greedy fill of bins.
 
 What can be packed depends on lengths only, so the search works on a histogram
 with one count for each length up to the limit, whose size doesn't grow with
-the input. It takes the largest length that is left and looks for fillings
-around it: undominated ones (no filling that fits uses a larger length in
-place of a smaller), by branch and bound, with the best-fit filling as first
-incumbent and pruned as soon as the waste can't fall below the incumbent's or
-the bound of what all lengths leave over. The filling found is repeated as
-often as the counts allow. The plan is a list of patterns with multiplicities;
+the input. It takes the largest length that is left and looks for a filling of
+least waste around it, from larger to smaller lengths, with the best-fit
+filling as first incumbent; it ends at no waste or after NODES nodes, without
+tests of dominance, and a filled bin is not taken back. The filling found is
+repeated as often as the counts allow. The plan is a list of patterns with multiplicities;
 each piece then finds its place from its rank among the pieces of its length,
 which is counted in salted groups.
 """
