@@ -1,50 +1,79 @@
-"""N-gram Jaccard join by parity sketches: all pairs of shingle sets with a Jaccard index of at least a threshold, as components.
-
-Sets of one band of sizes can differ in at most D shingles if they are linked.
-Shingles are dealt by hash into D + 1 blocks, and each block's shingles are
-XORed into a sketch of 64 bits. A shingle that only one set has changes one
-block, so the sketches' Hamming distance and the number of changed blocks
-bound the symmetric difference from below, and linked sets have an equal block
-(pigeonhole). A set joins in its own band and the next one.
-
-Sets that share a block are verified exactly. First each meets the block's
-centre, the member with the most company over all its blocks, then what is
-still in another component is compared with all members of its blocks by long
-parity sketches, in tasks of bounded size, and verified if these allow a link.
-Pairs inside one component need no check, so components are exact and a group
-of copies makes about as many pairs as it has members.
+"""N-gram Jaccard join by parity sketches: which shingle sets have a Jaccard index of at least a threshold, as components.
+
+Linked sets of sizes a and b differ in at most D(a, b) shingles. Shingles are
+dealt by hash into K blocks, K by band of sizes, and each block's shingles are
+XORed into a wide bit sketch, of which a 64-bit linear code is kept. A shingle
+that only one set has changes one block, so sketches lie no further apart than
+sets do, and linked sets agree in K - D blocks or more (pigeonhole). Blocks
+have an order that follows from their content alone (more shingles first, then
+a hash): of two linked sets' common blocks the first is among the D + 1 first
+blocks of both. So a set joins by these only, and light or empty blocks, which
+unrelated sets have in common by chance, seldom take part.
+
+Sets that share a block form a group. Groups of over TILE members are dealt
+into parts that have one member in common. Pairs of a group meet in three
+rounds, each by long parity sketches first and then exactly, by their texts:
+each set with the nearest smaller one; the nearest pair of each two components
+that a group still holds; then all pairs of different components that sketches
+allow. Parts of a group that still holds several components are grouped anew
+by blocks of another hash, LEVELS times at most, and what is still over TILE
+meets in tiles of parts. Nothing is dropped, no task holds more than two parts,
+and copies are one set throughout.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, shingling, sketch
+from . import common, shingling
 from .shingling import U
 
-#: Members of a block that one task compares with as many others.
-TILE = 1024
+#: Members of a group that meet in one task; times that large groups are grouped anew.
+TILE, LEVELS = 512, 2
 CHUNK = 2 << 20
+#: Width of a set's name in bytes: 96 bits of a hash of all its shingles.
+SID = 12
+_SID = f"S{SID}"
+#: Bands of sizes are (den / num) ** STEPS wide.
+STEPS = 6
 
 
 class Bands:
-    """Sizes 1, 2, ... in bands: linked sets lie in the same band or in neighbouring ones."""
+    """Sizes in bands: linked sets lie in the same band or in neighbouring ones."""
 
     def __init__(self, num: int, den: int):
-        self.num, self.den, self.tops = num, den, np.zeros(0, np.int64)
+        self.num, self.den, self.tops, self.blocks = num, den, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def reach(self, largest: int) -> None:
-        tops = self.tops.tolist()
+        tops, blocks = self.tops.tolist(), self.blocks.tolist()
         while not tops or tops[-1] < largest or len(tops) < np.searchsorted(tops, largest) + 2:
-            tops.append(((tops[-1] if tops else 0) + 1) * self.den // self.num)
-        self.tops = np.array(tops)
+            tops.append(int(tops[-1] * (self.den / self.num) ** STEPS) + 1 if tops else 8)
+            blocks.append(self._blocks(tops[-1]))
+        self.tops, self.blocks = np.array(tops), np.array(blocks)
+
+    def _blocks(self, top: int) -> int:
+        """The number of blocks for which the last of the D + 1 heaviest is expected to hold most shingles."""
+        need = int(self.differing(np.int64(2 * top))) + 1
+        best = (0, need)
+        for k in sorted({need + round(need * x / 16) for x in range(1, 17)}):
+            # Of k blocks with Poisson counts, how many shingles the one at place ``need`` has.
+            mean = top / k
+            p = rest = math.exp(-mean)
+            c = 0
+            while k * (1 - rest) >= need + 1.5 * math.sqrt(k * rest * (1 - rest)):
+                c += 1
+                p *= mean / c
+                rest += p
+            if c > best[0]:
+                best = (c, k)
+        return best[1]
 
     def differing(self, total: np.ndarray) -> np.ndarray:
         """Most shingles that only one of two linked sets has, by the sum of their sizes."""
@@ -66,32 +95,55 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
     return out
 
 
-def set_id(s: np.ndarray) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "little", signed=True)
+def set_id(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())[:SID]
 
 
-def block_keys(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all blocks of the sets in their own band and the next, and the set of each."""
+def block_keys(sets: list[np.ndarray], bands: Bands, level: int = 0, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the blocks by which sets join in their own band and, where linked sets can lie there, the next; and the set of each.
+
+    ``level`` chooses the hash that deals shingles out; ``within`` (a group of each set) keeps groups apart.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if not sizes.sum():
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return none
     bands.reach(int(sizes.max()))
-    s, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    partner = sizes * bands.den // bands.num
+    place = shingling.mix(np.concatenate(sets) ^ U(0x9E3779B97F4A7C15 * level & 0xFFFFFFFFFFFFFFFF)) if level else np.concatenate(sets)
+    code = shingling.mix(np.concatenate(sets) * U(0xC2B2AE3D27D4EB4F))
+    row = np.repeat(np.arange(len(sets)), sizes)
+    salt = np.zeros(len(sets), np.uint64) if within is None else within.view(np.uint64)
+    own_band = np.searchsorted(bands.tops, sizes)
     keys, of = [], []
     for step in (0, 1):
-        band = np.searchsorted(bands.tops, sizes) + step
-        blocks = bands.differing(2 * bands.tops[band]) + 1
-        blocks[sizes == 0] = 0
+        band = own_band + step
+        most = np.minimum(partner, bands.tops[band]) if step == 0 else partner
+        # Sets without a shingle to spare link with equal ones only, which are one set.
+        need = bands.differing(sizes + most) + 1
+        need[(need < 2) | (sizes == 0) | (step == 1) & (partner <= bands.tops[own_band])] = 0
+        blocks = np.where(need > 0, bands.blocks[band], 0)
+        if not blocks.sum():
+            continue
         base = np.cumsum(blocks) - blocks
-        at = base[row] + (((s >> U(32)) * blocks[row].astype(np.uint64)) >> U(32)).astype(np.int64)
+        some = need[row] > 0
+        at = base[row[some]] + (((place[some] >> U(32)) * blocks[row[some]].astype(np.uint64)) >> U(32)).astype(np.int64)
+        codes = code[some]
+        if level:
+            order = np.argsort(at, kind="stable")
+            at, codes = at[order], codes[order]
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        parity = np.zeros(int(blocks.sum()), np.uint64)
-        parity[at[first]] = np.bitwise_xor.reduceat(U(1) << (s & U(63)), first)
+        parity, count = np.zeros(int(blocks.sum()), np.uint64), np.zeros(int(blocks.sum()), np.int64)
+        parity[at[first]] = np.bitwise_xor.reduceat(codes, first)
+        count[at[first]] = np.diff(np.append(first, len(at)))
         own = np.repeat(np.arange(len(sets)), blocks)
-        place = np.arange(len(own)) - base[own]
-        keys.append(shingling.mix(parity ^ shingling.mix((band[own].astype(np.uint64) << U(40)) + place.astype(np.uint64))))
-        of.append(own)
-    return np.concatenate(keys), np.concatenate(of)
+        name = shingling.mix(((band[own].astype(np.uint64) << U(40)) + (np.arange(len(own)) - base[own]).astype(np.uint64)) ^ salt[own])
+        key = shingling.mix(parity ^ name)
+        order = np.lexsort((key, -count, own))
+        kept = order[np.arange(len(own)) - base[own] < need[own]]
+        keys.append(key[kept])
+        of.append(own[kept])
+    return (np.concatenate(keys), np.concatenate(of)) if keys else none
 
 
 def _parts(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -100,6 +152,15 @@ def _parts(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, list[np.ndarray
         yield a, shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
 
 
+def _names(column: pa.Array) -> np.ndarray:
+    """A column of set names as fixed-width strings."""
+    return common.text_buffer(column)[0].view(_SID)
+
+
+def _binary(names: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(np.arange(0, SID * len(names) + 1, SID, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(names).tobytes())])
+
+
 def members(docs: DataFrame, n: int) -> DataFrame:
     """(doc, key, n_shingles, sid): the set of each document; sid is null for empty sets."""
 
@@ -107,68 +168,221 @@ def members(docs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             sets = [s for _, part in _parts(batch, n) for s in part]
             doc, key = (batch.column(batch.schema.get_field_index(c)) for c in ("doc", "key"))
-            yield pa.RecordBatch.from_arrays([doc, key, pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], ["doc", "key", "n_shingles", "sid"])
+            yield pa.RecordBatch.from_arrays([doc, key, pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.binary())], ["doc", "key", "n_shingles", "sid"])
 
-    return docs.mapInArrow(run, "doc long, key long, n_shingles long, sid long")
+    return docs.mapInArrow(run, "doc long, key long, n_shingles long, sid binary")
 
 
-def _distinct(sets: list[np.ndarray]) -> tuple[list[np.ndarray], list[int]]:
-    by = {set_id(s): s for s in sets if len(s)}
-    return list(by.values()), list(by)
+def groups(rows: DataFrame, n: int, num: int, den: int, level: int) -> DataFrame:
+    """(gid, part, members binary) of sets with a block in common, for ``rows`` of text and ``within``, the group that they must share.
 
+    part is -1 for a whole group, given once however many blocks its members share; larger groups come in parts of
+    TILE, numbered from 0, each with the group's first member.
+    """
 
-def shared_blocks(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(block, sid) of the blocks that several sets have."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-
-    def fingerprints(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
-        for _, sets in _parts(batch, n):
-            yield block_keys(_distinct(sets)[0], bands)[0]
+        for batch in batches:
+            inside = batch.column(batch.schema.get_field_index("within")).to_numpy()
+            for a, sets in _parts(batch, n):
+                names = [set_id(s) for s in sets]
+                once = list({(w, x): i for i, (w, x) in enumerate(zip(inside[a : a + len(sets)].tolist(), names, strict=True)) if len(sets[i])}.values())
+                if not once:
+                    continue
+                keys, of = block_keys([sets[i] for i in once], bands, level, np.ascontiguousarray(inside[a:][once]))
+                name = np.frombuffer(b"".join(names[i] for i in once), np.uint8).reshape(-1, SID)
+                h1, h2 = np.ascontiguousarray(name[:, :8]).view(np.int64).ravel(), np.ascontiguousarray(name[:, 8:]).view(np.int32).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(h1[of]), pa.array(h2[of])], ["block", "h1", "h2"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, name, part, first = np.zeros(0, np.int64), np.zeros(0, _SID), 0, None
+
+        def close(k: int, own: np.ndarray, last: bool) -> tuple[list, np.ndarray]:
+            """Rows of the parts that ``own`` fills; what is left of it where more of the group may follow."""
+            nonlocal part, first
+            out = []
+            while len(own) > TILE or last and part and len(own):
+                first = own[:1] if part == 0 else first
+                out.append((k, part, (own[:TILE] if part == 0 else np.append(first, own[:TILE])).tobytes()))
+                own, part = own[TILE:], part + 1
+            if last:
+                if not part and len(own) > 1:
+                    blob = own.tobytes()
+                    out.append((xxhash.xxh3_64_intdigest(blob) - (1 << 63), -1, blob))
+                part = 0
+            return out, own
+
+        def table(out: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["gid", "part", "members"])
 
-    held = sketch.repeated(docs.select("text"), fingerprints, size * (den - num) // (den + num))
+        for batch in batches:
+            k, h1, h2 = (batch.column(c).to_numpy() for c in range(3))
+            wide = np.empty((len(k), SID), np.uint8)
+            wide[:, :8], wide[:, 8:] = h1.view(np.uint8).reshape(-1, 8), h2.view(np.uint8).reshape(-1, 4)
+            key, name = np.append(key, k), np.append(name, wide.reshape(-1).view(_SID))
+            new = np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1]))
+            key, name = key[new], name[new]
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size, out = np.diff(np.append(start, len(key))), []
+            whole = np.flatnonzero(size[:-1] > 1)
+            if part and len(start) > 1 and size[0] == 1:
+                whole = np.append(0, whole)
+            for i in whole.tolist():
+                out += close(int(key[start[i]]), name[start[i] : start[i] + size[i]], True)[0]
+            z = start[-1]
+            more, left = close(int(key[z]), name[z:], False)
+            if out or more:
+                yield table(out + more)
+            key, name = key[len(key) - len(left) :], left
+        if len(key):
+            out = close(int(key[0]), name, True)[0]
+            if out:
+                yield table(out)
+
+    found = rows.mapInArrow(blocks, "block long, h1 long, h2 int").repartition("block").sortWithinPartitions("block", "h1", "h2")
+    found = common.written(found.mapInArrow(gather, "gid long, part int, members binary"), "groups")
+    return common.written(found.dropDuplicates(["gid", "part", "members"]), "groups")
+
+
+def memberships(group: DataFrame) -> DataFrame:
+    """(gid, part, sid)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
         for batch in batches:
-            for _, sets in _parts(batch, n):
-                sets, ids = _distinct(sets)
-                keys, of = block_keys(sets, bands)
-                some = held.value(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(np.array(ids, np.int64)[of[some]])], ["block", "sid"])
+            data, offsets = common.text_buffer(batch.column(2))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets) // SID)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)).cast(pa.int64()), _binary(data.view(_SID))], ["gid", "part", "sid"])
 
-    found = docs.select("text").mapInArrow(run, "block long, sid long").distinct()
-    found = common.written(found, "blocks")
-    several = common.written(found.groupBy("block").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    return common.written(found.join(several, "block"), "shared")
+    return group.select("gid", "part", "members").mapInArrow(run, "gid long, part long, sid binary")
 
 
-def sets_of(docs: DataFrame, member: DataFrame, sids: DataFrame, n: int) -> DataFrame:
-    """(sid, shingles binary) of the sets ``sids``, each read from one of its documents."""
+def tiles(group: DataFrame) -> DataFrame:
+    """(gid, part, sid) where each two parts of a group meet under one number."""
+    last = group.groupBy("gid").agg(F.max("part").alias("last"))
+    both = group.join(last, "gid").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    low, high = F.least("part", "other").cast("long"), F.greatest("part", "other").cast("long")
+    return memberships(both.select("gid", (high * (high + 1) / 2 + low).cast("long").alias("part"), "members"))
+
+
+def texts_of(docs: DataFrame, member: DataFrame, sids: DataFrame) -> DataFrame:
+    """(sid, text) of the sets ``sids``: the text of one of its documents each."""
     one = member.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc", "key")).alias("at")).select("sid", "at.doc", "at.key")
+    return common.written(docs.join(one, ["doc", "key"]).dropDuplicates(["doc", "key"]).select("sid", "text"), "texts")
+
+
+def parities(texts: DataFrame, n: int, width: int) -> DataFrame:
+    """(sid, n, parity binary): the parity sketch of each set, of ``width`` bits a shingle or up to twice as many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sid = batch.column(batch.schema.get_field_index("sid"))
-            yield pa.RecordBatch.from_arrays([sid, pa.array([s.tobytes() for _, part in _parts(batch, n) for s in part], pa.binary())], ["sid", "shingles"])
+            size, parity = [], []
+            for _, sets in _parts(batch, n):
+                for s in sets:
+                    bits = 1 << max(6, int(np.ceil(np.log2(width * len(s)))))
+                    # Low bits of the place stay when a sketch is folded, so a shingle lies in one cell at all widths.
+                    p = np.bincount((((s * U(0x9E3779B97F4A7C15)) >> U(20)) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+                    size.append(len(s))
+                    parity.append(np.packbits(p.astype(bool), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(parity, pa.binary())], ["sid", "n", "parity"])
+
+    return texts.mapInArrow(run, "sid binary, n long, parity binary")
 
-    return common.written(docs.join(one, ["doc", "key"]).dropDuplicates(["sid"]).select("sid", "text").mapInArrow(run, "sid long, shingles binary"), "sets")
 
+def _near(num: int, den: int, mode: str):
+    """Pairs (u, v) of rows sorted by group that sketches allow to be linked; of different labels.
+
+    ``mode``: nearest (one pair for each v, in a group), between (one for each two labels) or all.
+    """
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) whose sets' Jaccard index is at least num / den."""
+    def pairs(label: np.ndarray, sid: np.ndarray, size: np.ndarray, data: np.ndarray, offsets: np.ndarray, start: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """All pairs i before j of the runs, in blocks of about a million."""
+        i = np.repeat(np.arange(len(sid)), np.repeat(start + length, length) - np.arange(len(sid)) - 1)
+        for a in range(0, len(i), 1 << 20):
+            own = i[a : a + (1 << 20)]
+            # How many pairs of a row came before: the rows' first places among all pairs.
+            j = np.arange(a, a + len(own)) - np.searchsorted(i, own) + own + 1
+            low, high = np.minimum(size[own], size[j]), np.maximum(size[own], size[j])
+            able = (den * low >= num * high) & (label[own] != label[j])
+            x, y = own[able], j[able]
+            far, most = np.zeros(len(x), np.int64), (size[x] + size[y]) * (den - num) // (den + num)
+            wide = np.diff(offsets)
+            # The narrower sketch of each pair first; widths are one or two steps apart at most.
+            x, y = np.where(wide[x] <= wide[y], x, y), np.where(wide[x] <= wide[y], y, x)
+            for w in np.unique(wide[x]).tolist():
+                for v in np.unique(wide[y[wide[x] == w]]).tolist():
+                    at = np.flatnonzero((wide[x] == w) & (wide[y] == v))
+                    step = max(1, (8 << 20) // v)
+                    for b in range(0, len(at), step):
+                        k = at[b : b + step]
+                        left = data[offsets[x[k]][:, None] + np.arange(w)].view(np.uint64)
+                        right = np.bitwise_xor.reduce(data[offsets[y[k]][:, None] + np.arange(v)].view(np.uint64).reshape(len(k), v // w, w // 8), axis=1)
+                        far[k] = np.bitwise_count(left ^ right).sum(1)
+            ok = far <= most
+            yield x[ok], y[ok], far[ok]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(den * both >= num * (len(a) + len(b) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            gid, piece = held["gid"].to_numpy(), held["part"].to_numpy()
+            start = np.flatnonzero(np.append(True, (gid[1:] != gid[:-1]) | (piece[1:] != piece[:-1])))
+            if len(start) > 1:
+                yield from found(held.slice(0, int(start[-1])), start[:-1], np.diff(start))
+                held = held.slice(int(start[-1]))
+        if held is not None and held.num_rows > 1:
+            yield from found(held, np.zeros(1, np.int64), np.array([held.num_rows]))
+
+    def found(rows: pa.Table, start: np.ndarray, length: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        sid, label = _names(rows["sid"]), _names(rows["label"])
+        data, offsets = common.text_buffer(rows["parity"])
+        size = rows["n"].to_numpy()
+        run_of = np.repeat(np.arange(len(start)), length)
+        named, label_no = np.unique(label, return_inverse=True)
+        best: list[tuple[np.ndarray, ...]] = []
+        for x, y, far in pairs(label_no, sid, size, data, offsets, start, length):
+            swap = sid[x] > sid[y]
+            u, v = np.where(swap, y, x), np.where(swap, x, y)
+            u, v, far = u[sid[u] != sid[v]], v[sid[u] != sid[v]], far[sid[u] != sid[v]]
+            best.append((u, v, far))
+            if mode != "all":
+                u, v, far = (np.concatenate(c) for c in zip(*best, strict=True))
+                a, b = (run_of[v], v) if mode == "nearest" else (np.minimum(label_no[u], label_no[v]), np.maximum(label_no[u], label_no[v]))
+                order = np.lexsort((far, b, a))
+                kept = order[np.append(True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0))] if len(order) else order
+                best = [(u[kept], v[kept], far[kept])]
+        for u, v, far in best:
+            yield pa.RecordBatch.from_arrays([_binary(sid[u]), _binary(sid[v]), _binary(named[np.minimum(label_no[u], label_no[v])]), _binary(named[np.maximum(label_no[u], label_no[v])]), pa.array(far)], ["u", "v", "a", "b", "far"])
+
+    return run
+
+
+def candidates(rows: DataFrame, sketches: DataFrame, num: int, den: int, mode: str) -> DataFrame:
+    """Distinct pairs (u, v) to verify, from ``rows`` (gid, part, sid, label)."""
+    met = rows.join(sketches, "sid").select("gid", "part", "sid", "label", "n", "parity").repartition("gid", "part").sortWithinPartitions("gid", "part", "sid")
+    near = met.mapInArrow(_near(num, den, mode), "u binary, v binary, a binary, b binary, far long")
+    if mode == "all":
+        return near.select("u", "v").distinct()
+    by = ["v"] if mode == "nearest" else ["a", "b"]
+    return near.groupBy(*by).agg(F.min(F.struct("far", "u", "v")).alias("p")).select("p.u", "p.v").distinct()
 
-    a, b = sets.withColumnsRenamed({"sid": "u", "shingles": "x"}), sets.withColumnsRenamed({"sid": "v", "shingles": "y"})
-    return common.written(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long"), "links")
+
+def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) whose sets' Jaccard index is at least num / den, by their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch, keep = whole.slice(at, 256), []
+                x, y = ([s for _, part in _parts(batch.select([c]).rename_columns(["text"]), n) for s in part] for c in ("x", "y"))
+                for a, b in zip(x, y, strict=True):
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    keep.append(den * both >= num * (len(a) + len(b) - both))
+                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    a, b = texts.withColumnsRenamed({"sid": "u", "text": "x"}), texts.withColumnsRenamed({"sid": "v", "text": "y"})
+    return common.written(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(run, "u binary, v binary"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -181,72 +395,43 @@ def components(links: DataFrame) -> DataFrame:
         # A label is a set itself: where it has found a smaller one, all that carry it follow.
         hooked = least.groupBy("label").agg(F.min("to").alias("up"))
         step = common.written(least.join(hooked, "label").select("sid", F.least("to", "up").alias("label"), (F.least("to", "up") < F.col("label")).alias("moved")), "labels")
-        labels = step.select("sid", "label")
+        common.discard(labels)
+        labels = step
         if not step.where("moved").limit(1).count():
-            return labels
-
-
-def _tiles(num: int, den: int):
-    def run(tile: pd.DataFrame) -> pd.DataFrame:
-        tile = tile.drop_duplicates(["sid", "side"])
-        i, j = int(tile["i"].iloc[0]), int(tile["j"].iloc[0])
-        left, right = (tile, tile) if i == j else (tile[tile["side"] == i], tile[tile["side"] == j])
-        out, width = [], max(map(len, tile["parity"]))
-        # Long sketches are folded to one width; folding XORs cells whose places have equal low bits, so distances stay lower bounds.
-        width = min(width, 1024, min(map(len, tile["parity"])))
-        fold = lambda x: np.array([np.bitwise_xor.reduce(np.frombuffer(p, np.uint64).reshape(-1, width // 8), axis=0) for p in x]).reshape(len(x), width // 8)
-        a, b = fold(left["parity"]), fold(right["parity"])
-        na, nb, ca, cb, sa, sb = (x[c].to_numpy() for c in ("n", "label", "sid") for x in (left, right))
-        for r in range(len(a)):
-            total, low, high = na[r] + nb, np.minimum(na[r], nb), np.maximum(na[r], nb)
-            able = (ca[r] != cb) & (den * low >= num * high) & (sa[r] < sb if i == j else True)
-            at = np.flatnonzero(able)
-            if len(at):
-                far = np.bitwise_count(a[r] ^ b[at]).sum(1)
-                at = at[far <= total[at] * (den - num) // (den + num)]
-                out.append(pd.DataFrame({"u": np.minimum(sa[r], sb[at]), "v": np.maximum(sa[r], sb[at])}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
-
-    return run
+            common.discard(edges)
+            return labels.select("sid", "label")
 
 
-def _parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, parity = [], []
-        for x in batch.column(1):
-            s = np.frombuffer(x.as_buffer(), np.uint64)
-            bits = 1 << max(9, int(np.ceil(np.log2(4 * len(s)))))
-            # Low bits of the place stay when a sketch is folded, so a shingle lies in one cell at all widths.
-            p = np.bincount((((s * U(0x9E3779B97F4A7C15)) >> U(20)) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
-            n.append(len(s))
-            parity.append(np.packbits(p.astype(bool), bitorder="little").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(parity, pa.binary())], ["sid", "n", "parity"])
-
-
-def links(docs: DataFrame, member: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Verified pairs (u, v) of set ids that connect every component of the relation "linked"."""
-    shared = shared_blocks(docs, n, num, den)
-    sets = sets_of(docs, member, shared.select("sid").distinct(), n)
-    score = common.written(shared.groupBy("sid").agg(F.sum("size").alias("score")), "scores")
-    centre = common.written(shared.join(score, "sid").groupBy("block").agg(F.max(F.struct("score", "sid")).alias("c")).select("block", F.col("c.sid").alias("centre")), "centres")
-    met = common.written(shared.join(centre, "block").where("sid <> centre").groupBy("sid", "centre").agg(F.count("*").alias("times")), "met")
-    most = met.groupBy("sid").agg(F.max(F.struct("times", "centre")).alias("m")).select(F.col("sid").alias("u"), F.col("m.centre").alias("v"))
-    found = verified(most, sets, num, den)
-    label = components(found)
-    # The other centres that a set meets, where they are still in another component.
-    of = lambda df, a, b: df.join(label.select(F.col("sid").alias(a), F.col("label").alias(b)), a, "left")
-    rest = of(of(met, "sid", "lu"), "centre", "lv").where("coalesce(lu, sid) <> coalesce(lv, centre)").select(F.col("sid").alias("u"), F.col("centre").alias("v"))
-    found = common.written(found.union(verified(rest, sets, num, den)), "links")
+def linked(docs: DataFrame, member: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(sid, label) of the sets that are linked with another one: the components of the relation "linked"."""
+    group = groups(docs.select("text", F.lit(0).cast("long").alias("within")), n, num, den, 0)
+    met = common.written(memberships(group), "met")
+    texts = texts_of(docs, member, met.select("sid").distinct())
+    narrow, wide = common.written(parities(texts, n, 2), "sketches"), None
+    found = verified(candidates(met.withColumn("label", F.col("sid")), narrow, num, den, "nearest"), texts, n, num, den)
     label = components(found)
-    # Blocks that still hold several components: their members meet in tiles, under long parity sketches.
-    labelled = common.written(of(shared, "sid", "label").withColumn("label", F.coalesce("label", "sid")), "labelled")
-    mixed = common.written(labelled.groupBy("block").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("block"), "mixed")
-    tiles = F.ceil(F.col("size") / F.lit(float(TILE))).cast("int")
-    side = F.pmod("sid", tiles).cast("int")
-    rows = labelled.join(mixed, "block").withColumns({"side": side, "other": F.explode(F.sequence(F.lit(0), tiles - 1))}).select("block", "sid", "label", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    parity = common.written(sets.mapInArrow(_parity, "sid long, n long, parity binary"), "parity")
-    maybe = rows.join(parity, "sid").groupBy("block", "i", "j").applyInPandas(_tiles(num, den), "u long, v long").distinct()
-    return found.union(verified(maybe, sets, num, den))
+    for mode in ("between", "all"):
+        named = lambda df: df.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))  # noqa: E731, B023
+        mixed = lambda df, *by: df.join(df.groupBy(*by).agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select(*by), [*by], "left_semi")
+        labelled = common.written(mixed(named(met), "gid"), "labelled")
+        rows = mixed(labelled.where("part < 0"), "gid", "part")
+        large = labelled.where("part >= 0")
+        for level in range(1, LEVELS + 1):
+            if not large.limit(1).count():
+                break
+            again = groups(large.select(F.col("gid").alias("within"), "sid").distinct().join(texts, "sid").select("text", "within"), n, num, den, level)
+            inner = common.written(mixed(named(memberships(again if level < LEVELS else again.where("part < 0"))), "gid"), "inner")
+            rows = rows.unionByName(mixed(inner.where("part < 0"), "gid", "part"))
+            large = inner.where("part >= 0")
+            if level == LEVELS:
+                rows = rows.unionByName(mixed(named(tiles(again.where("part >= 0"))), "gid", "part"))
+        if wide is None:
+            wide = common.written(parities(texts.join(rows.select("sid").distinct(), "sid", "left_semi"), n, 8), "sketches")
+        more = verified(candidates(rows, wide, num, den, mode), texts, n, num, den)
+        if more.limit(1).count():
+            found = common.written(found.union(more), "links")
+            label = components(found)
+    return label
 
 
 def near_duplicates(df: DataFrame, n: int = 5, threshold: tuple[int, int] = (8, 10), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -267,7 +452,7 @@ def near_duplicates(df: DataFrame, n: int = 5, threshold: tuple[int, int] = (8,
     docs = rows.select(F.col("_doc").alias("doc"), F.col("_key").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     member = common.written(members(docs, n), "members")
     known = member.where("doc is not null")
-    label = components(links(docs.where("doc is not null"), known, n, num, den))
+    label = linked(docs.where("doc is not null"), known, n, num, den)
     group = common.written(known.where("sid is not null").join(label, "sid", "left").select("doc", "key", F.coalesce("label", "sid").alias("group")).distinct(), "groups")
     least = common.written(group.groupBy("group").agg(F.min("doc").alias("component_id")), "least")
     ids = group.join(least, "group").select("doc", "key", "component_id")

@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-import pyarrow as pa
 
 from evidentia.llm import jaccard
 
@@ -54,8 +53,8 @@ def test_components_are_exact(spark):
 
 
 def test_small_tiles(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "TILE", 3)
-    docs = cases()[:90]
+    monkeypatch.setattr(jaccard, "TILE", 5)
+    docs = cases()[:60]
     df = spark.createDataFrame(docs, "doc_id int, text string")
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df, 3, (9, 10)).collect()} == brute(docs, 3, 9, 10)
 
@@ -67,46 +66,48 @@ def test_edges(spark):
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
 
 
-def hubs(small, large, seed):
-    """Two linked sets of words whose sketches differ in size, and a hub and its copies that share all blocks these two share."""
-    bands, blocks = jaccard.Bands(9, 10), lambda x: set(jaccard.block_keys([x], bands)[0].tolist())
-    prints = lambda words: jaccard.shingle_sets(np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, len(" ".join(words))]), 1)[0]
-    b = [f"s{seed}w{i}" for i in range(large)]
-    a = b[:small]
-    both = blocks(prints(a)) & blocks(prints(b))
-    assert both
-    # A word that lies in no shared block may change.
-    free = [w for w in a if both <= blocks(prints([x for x in a if x != w]))]
-    hub = [w for w in a if w not in free]
-    spare = (f"h{seed}x{i}" for i in range(10**6))
-    while len(hub) < small:
-        w = next(spare)
-        if both <= blocks(prints([*a, w])):
-            hub.append(w)
-    out = [a, b, hub]
-    for _ in range(6):
-        copy = [*hub[:-1]]
-        while len(copy) < small:
-            w = next(spare)
-            if both <= blocks(prints([*a, w])):
-                copy.append(w)
-        out.append(copy)
-    assert all(both <= blocks(prints(x)) for x in out) and len(set(a) & set(hub)) * 19 < 18 * small
-    return [" ".join(x) for x in out]
-
-
-def test_links_of_sketches_of_two_sizes_under_a_hub(spark):
-    docs = list(enumerate([*hubs(126, 130, 1), *hubs(1020, 1050, 2)]))
-    df = spark.createDataFrame(docs, "doc_id int, text string")
-    want = brute(docs, 1, 9, 10)
-    assert [want[i][1] for i in (0, 1, 2, 9, 10, 11)] == [0, 0, 2, 9, 9, 11]
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df, 1, (9, 10)).collect()} == want
-
-
-def test_tiles_let_all_linked_pairs_pass():
-    r = np.random.default_rng(5)
-    for small, large in ((126, 130), (1020, 1030), (4090, 4110), (4000, 4020)):
-        s = r.integers(0, 2**63, large).astype(np.uint64)
-        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([s[:small].tobytes(), s.tobytes()], pa.binary())], ["sid", "shingles"])
-        rows = next(jaccard._parity([batch])).to_pandas().assign(block=0, label=[1, 2], side=0, i=0, j=0)
-        assert jaccard._tiles(9, 10)(rows)[["u", "v"]].to_numpy().tolist() == [[1, 2]]
+def test_links_in_dense_groups_of_all_sizes(spark, monkeypatch):
+    """Chains of versions, a template with copies some of which are linked and some not, and a passage that many others hold."""
+    monkeypatch.setattr(jaccard, "TILE", 12)
+    r, docs = random.Random(2), []
+    for base, size in enumerate((30, 128)):
+        words = [f"b{base}w{i}" for i in range(size)]
+        for i in range(8):
+            docs.append([*words[i * size // 40 :], *(f"b{base}n{k}" for k in range(i * size // 60))])
+        for i in range(14):
+            copy = list(words)
+            for k in r.sample(range(size), r.randint(0, size // 6)):
+                copy[k] = f"b{base}c{i}x{k}"
+            docs.append(copy)
+    passage = [f"p{i}" for i in range(60)]
+    docs += [[*passage, *(f"q{i}o{k}" for k in range(r.randint(3, 25)))] for i in range(18)]
+    docs = list(enumerate(" ".join(d) for d in docs))
+    df = spark.createDataFrame(docs, "doc_id int, text string").repartition(4)
+    for n, num, den in ((2, 8, 10),):
+        want = brute(docs, n, num, den)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df, n, (num, den)).collect()} == want
+        assert 5 < len({c for _, c in want.values()}) < len(docs) - 10
+
+
+def test_linked_sets_share_a_block():
+    r = np.random.default_rng(4)
+    for num, den in ((9, 10), (8, 10), (5, 10)):
+        bands = jaccard.Bands(num, den)
+        for _ in range(600):
+            a = int(r.integers(1, 500))
+            b = int(r.integers(a, a * den // num + 1))
+            both = -(-num * (a + b) // (num + den))
+            s = r.integers(0, 2**64, a + b - both, dtype=np.uint64)
+            x, y = np.sort(s[:a]), np.sort(s[a - both :])
+            for level in (0, 1):
+                keys, of = jaccard.block_keys([x, y], bands, level)
+                assert a + b == 2 * both or set(keys[of == 0].tolist()) & set(keys[of == 1].tolist()), (a, b, both)
+
+
+def test_unlinked_sets_seldom_share_a_block():
+    r = np.random.default_rng(4)
+    for num, den in ((9, 10), (8, 10)):
+        sets = [np.sort(r.integers(0, 2**64, int(r.integers(60, 600)), dtype=np.uint64)) for _ in range(300)]
+        keys, of = jaccard.block_keys(sets, jaccard.Bands(num, den))
+        assert len(keys) < 0.35 * sum(map(len, sets))
+        assert len(np.unique(keys)) == len(keys)
