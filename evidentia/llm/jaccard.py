@@ -15,10 +15,13 @@ into parts that have one member in common. Pairs of a group meet in three
 rounds, each by long parity sketches first and then exactly, by their texts:
 each set with the nearest smaller one; the nearest pair of each two components
 that a group still holds; then all pairs of different components that sketches
-allow. Parts of a group that still holds several components are grouped anew
-by blocks of another hash, LEVELS times at most, and what is still over TILE
-meets in tiles of parts. Nothing is dropped, no task holds more than two parts,
-and copies are one set throughout.
+allow. Of groups in parts that still hold several components there are two
+kinds. Where members have DENSE or more of them in common, as near copies
+have, the groups that overlap become one cluster, so that a pair meets once
+and not in each, and the cluster's parts meet by twos. Others, such as those of
+a passage in many documents, are grouped anew by blocks of another hash, LEVELS
+times at most, and what is still over TILE meets by twos of parts. Nothing is
+dropped, no task holds more than two parts, and copies are one set throughout.
 """
 
 from __future__ import annotations
@@ -35,8 +38,8 @@ from pyspark.sql import functions as F
 from . import common, shingling
 from .shingling import U
 
-#: Members of a group that meet in one task; times that large groups are grouped anew.
-TILE, LEVELS = 512, 2
+#: Members of a group that meet in one task; times that large groups are grouped anew; large groups of a set from which on they make a cluster.
+TILE, LEVELS, DENSE = 512, 2, 4
 CHUNK = 2 << 20
 #: Width of a set's name in bytes: 96 bits of a hash of all its shingles.
 SID = 12
@@ -257,11 +260,20 @@ def memberships(group: DataFrame) -> DataFrame:
 
 
 def tiles(group: DataFrame) -> DataFrame:
-    """(gid, part, sid) where each two parts of a group meet under one number."""
-    last = group.groupBy("gid").agg(F.max("part").alias("last"))
-    both = group.join(last, "gid").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
-    low, high = F.least("part", "other").cast("long"), F.greatest("part", "other").cast("long")
-    return memberships(both.select("gid", (high * (high + 1) / 2 + low).cast("long").alias("part"), "members"))
+    """(gid, part, sid, ...) of ``group`` (gid, sid, ...), such that each two members of a gid have a part in common, of about two TILEs."""
+    parts = group.groupBy("gid").agg(F.ceil(F.count("*") / F.lit(float(TILE))).cast("int").alias("_parts"))
+    both = group.join(parts, "gid").withColumn("_side", F.pmod(F.xxhash64("sid"), "_parts").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    low, high = F.least("_side", "_other").cast("long"), F.greatest("_side", "_other").cast("long")
+    return both.withColumn("part", (high * (high + 1) / 2 + low).cast("long")).drop("_parts", "_side", "_other")
+
+
+def clusters(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gid, sid, label) of clusters of overlapping groups, and (gid) of the groups in them: those whose members are in DENSE or more on average."""
+    company = large.groupBy("sid").agg(F.count_distinct("gid").alias("_n"))
+    dense = common.written(large.join(company, "sid").groupBy("gid").agg(F.avg("_n").alias("_n"), F.min("sid").alias("v")).where(F.col("_n") >= DENSE).select("gid", "v"), "dense")
+    rows = common.written(large.join(dense, "gid").select("sid", "label", "v").distinct(), "overlaps")
+    cluster = components(rows.where("sid <> v").select(F.col("sid").alias("u"), "v"))
+    return rows.select("sid", "label").distinct().join(cluster.withColumnRenamed("label", "_cluster"), "sid").select(F.xxhash64("_cluster").alias("gid"), "sid", "label"), dense.select("gid")
 
 
 def texts_of(docs: DataFrame, member: DataFrame, sids: DataFrame) -> DataFrame:
@@ -416,15 +428,19 @@ def linked(docs: DataFrame, member: DataFrame, n: int, num: int, den: int) -> Da
         labelled = common.written(mixed(named(met), "gid"), "labelled")
         rows = mixed(labelled.where("part < 0"), "gid", "part")
         large = labelled.where("part >= 0")
+        if large.limit(1).count():
+            cluster, dense = clusters(large)
+            rows = rows.unionByName(common.written(mixed(tiles(cluster), "gid", "part"), "tiles"))
+            large = large.join(dense, "gid", "left_anti")
         for level in range(1, LEVELS + 1):
             if not large.limit(1).count():
                 break
             again = groups(large.select(F.col("gid").alias("within"), "sid").distinct().join(texts, "sid").select("text", "within"), n, num, den, level)
-            inner = common.written(mixed(named(memberships(again if level < LEVELS else again.where("part < 0"))), "gid"), "inner")
+            inner = common.written(mixed(named(memberships(again)), "gid"), "inner")
             rows = rows.unionByName(mixed(inner.where("part < 0"), "gid", "part"))
             large = inner.where("part >= 0")
             if level == LEVELS:
-                rows = rows.unionByName(mixed(named(tiles(again.where("part >= 0"))), "gid", "part"))
+                rows = rows.unionByName(mixed(tiles(large.select("gid", "sid", "label").distinct()), "gid", "part"))
         if wide is None:
             wide = common.written(parities(texts.join(rows.select("sid").distinct(), "sid", "left_semi"), n, 8), "sketches")
         more = verified(candidates(rows, wide, num, den, mode), texts, n, num, den)
