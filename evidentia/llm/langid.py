@@ -5,9 +5,11 @@ ASCII letters are lower-cased and other ASCII characters separate words. Each
 is hashed into a table of embeddings; a text is the mean of its subwords'
 embeddings, and a linear softmax over that mean gives the languages. Both
 layers are trained by stochastic gradient descent in numpy on a bounded sample
-of labelled rows. Part of the sample is kept out of the descent and calibrates
-the result: a temperature that minimises the log loss, and the score below
-which a text is rejected.
+of labelled rows. Subwords that no training text has add nothing, so text of an
+unknown kind has even posteriors. Part of the sample is kept out of the descent
+and calibrates the result, with its scrambled letters and random letters as
+text of no language: a temperature that minimises the log loss, where such text
+should have even posteriors, and the score below which a text is rejected.
 
 As the mean and the last layer are linear, prediction looks up the product of
 embedding and layer, one small vector a subword, and adds. It sees whole texts.
@@ -30,6 +32,8 @@ UNDETERMINED = "und"
 BITS, DIM, ORDERS = 16, 16, (2, 3, 4)
 #: Bounds of the training sample: rows of each label, and bytes of a row that may be in it.
 ROWS_EACH, ROW_BYTES = 700, 20_000
+#: More labels than this are an error; a rejected text of a language counts as so many kept ones of no language.
+MOST_LABELS, DEAR = 10_000, 300
 CHUNK = 1 << 20
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -64,6 +68,11 @@ def subwords(data: np.ndarray, offsets: np.ndarray, raw: bool = False) -> tuple[
     return out, np.append(starts, m)
 
 
+def softmax(logits: np.ndarray) -> np.ndarray:
+    p = np.exp(logits - logits.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
 @dataclass
 class SubwordModel:
     labels: list[str]
@@ -73,8 +82,8 @@ class SubwordModel:
     reject_below: float = 0.0
     raw: bool = False
 
-    def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Calibrated probabilities, a row for each text; without subwords, those of the bias."""
+    def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """A row for each text; without subwords, the bias."""
         out = np.zeros((len(offsets) - 1, len(self.labels)))
         for a, b in common.chunks(offsets, CHUNK):
             grams, starts = subwords(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], self.raw)
@@ -83,9 +92,11 @@ class SubwordModel:
                 summed += np.add.reduceat(self.table[index], starts[:-1], axis=0, dtype=np.float64)
                 count += np.add.reduceat((index != 0).astype(np.int32), starts[:-1])
             out[a:b] = summed / np.maximum(count, 1)[:, None]
-        logits = (out + self.bias) / self.temperature
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
+        return out + self.bias
+
+    def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Calibrated probabilities, a row for each text."""
+        return softmax(self.logits(data, offsets) / self.temperature)
 
 
 def _encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -104,11 +115,14 @@ def _bags(texts: list[str], raw: bool) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def fit(texts: list[str], labels: list[str], seed: int = 5, epochs: int = 6, rate: float = 0.5, snippets: int = 2, reject_share: float = 0.002, raw: bool = False) -> SubwordModel | None:
+def fit(texts: list[str], labels: list[str], seed: int = 5, epochs: int = 6, rate: float = 0.5, snippets: int = 2, raw: bool = False, unknown: bool = True) -> SubwordModel | None:
     """Train on the texts and on ``snippets`` short pieces of each, so that short texts are known too. None without a label.
 
-    Every fifth text is kept for calibration: the temperature, and as the
-    rejection score the ``reject_share`` quantile of the right ones' scores.
+    Every fifth text is kept for calibration: the temperature, and the
+    rejection score, at which the rejected texts and snippets of a language,
+    each counting DEAR times, and the kept texts of none are fewest. Without
+    ``unknown`` all texts are taken to have a label: nothing is rejected, and
+    the temperature follows from the labelled texts alone.
     """
     names = sorted(set(labels))
     if not names:
@@ -126,6 +140,9 @@ def fit(texts: list[str], labels: list[str], seed: int = 5, epochs: int = 6, rat
                 train.append(t[a : a + int(rng.integers(20, 160))])
                 of.append(of[-1])
     bags = _bags(train, raw)
+    seen = np.zeros(1 << BITS, bool)
+    for index, _ in bags:
+        seen[index] = True
     emb = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
     top, bias = rng.normal(0, 0.1, (DIM, len(names))).astype(np.float32), np.zeros(len(names), np.float32)
     steps = 0
@@ -146,35 +163,53 @@ def fit(texts: list[str], labels: list[str], seed: int = 5, epochs: int = 6, rat
             bias -= lr * p * np.float32(0.01)
             emb[index] -= (lr * len(index) ** 0.5) * np.outer(share, back)
     table = (emb @ top).astype(np.float32)
-    table[0] = 0
+    table[0], table[~(seen | (not unknown))] = 0, 0
     model = SubwordModel(names, table, bias, raw=raw)
     if held:
-        own = sorted(held)
-        data, offsets = _encode([texts[i] for i in own])
-        y = np.array([names.index(labels[i]) for i in own])
+        own = [(texts[i], names.index(labels[i])) for i in sorted(held)]
+        short = [(t[k : k + 80], y) for t, y in own if len(t) > 200 for k in [int(rng.integers(0, len(t) - 80))]]
+        some = model.logits(*_encode([t for t, _ in own + short]))
+        y = np.array([y for _, y in own + short])
+        none = model.logits(*_encode([x for t, _ in own[:400] for x in _no_language(t[:2000], rng)]))
         grid = np.geomspace(0.05, 10, 60)
 
         def loss(t: float) -> float:
-            model.temperature = t
-            return float(-np.log(np.maximum(model.probabilities(data, offsets)[np.arange(len(y)), y], 1e-12)).mean())
+            right = np.maximum(softmax(some / t)[np.arange(len(y)), y], 1e-12)
+            return float(-np.log(right).mean() - unknown * np.log(np.maximum(softmax(none / t), 1e-12)).mean())
 
         model.temperature = float(min(grid, key=loss))
-        p = model.probabilities(data, offsets)
+        p, q = softmax(some / model.temperature), softmax(none / model.temperature).max(1)
         right = p.max(1)[p.argmax(1) == y]
-        model.reject_below = float(min(0.6, np.quantile(right, reject_share))) if len(right) else 0.0
+        cost = lambda s: DEAR * (right < s).mean() + (q >= s).mean() if len(right) else s
+        model.reject_below = float(min(np.linspace(0, 1, 201), key=cost)) if unknown else 0.0
     return model
 
 
+def _no_language(text: str, rng: np.random.Generator) -> list[str]:
+    """The text with its letters in another order, and with random letters in their place."""
+    at = [i for i, c in enumerate(text) if c.isalpha()]
+    out = []
+    for letters in ([text[i] for i in rng.permutation(at)] if at else [], rng.choice(list("abcdefghijklmnopqrstuvwxyz"), len(at)).tolist()):
+        made = list(text)
+        for i, c in zip(at, letters, strict=True):
+            made[i] = c
+        out.append("".join(made))
+    return out
+
+
 def sample(df: DataFrame, text: str, label: str, each: int = ROWS_EACH) -> tuple[list[str], list[str]]:
-    """Texts and labels of about ``each`` rows of every label, chosen by a hash of the text: the bounded training sample.
+    """Texts and labels of ``each`` different texts of every label, or of all that it has, chosen by a hash of the text.
 
-    Rows with null text or label, and texts of over ROW_BYTES, take no part.
+    Rows with null text or label, and texts of over ROW_BYTES, take no part. More than MOST_LABELS labels are an error.
     """
     t, y = F.col(f"`{text}`"), F.col(f"`{label}`")
     rows = df.select(t.alias("t"), y.cast("string").alias("y")).where(t.isNotNull() & y.isNotNull() & (F.octet_length(t) <= ROW_BYTES))
-    counts = rows.groupBy("y").count()
+    counts = rows.groupBy("y").agg(F.count_distinct(F.xxhash64("t")).alias("count"))
+    counts = common.written(counts, "labels")
+    if counts.count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     key = F.pmod(F.xxhash64("t"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    few = rows.join(F.broadcast(counts.orderBy("y").limit(10_000)), "y").where(key * F.col("count") <= 2 * each).select("y", "t").dropDuplicates()
+    few = rows.join(F.broadcast(counts), "y").where(key * F.col("count") <= 2 * each).select("y", "t").dropDuplicates()
     got = few.toPandas().sort_values(["y", "t"], ignore_index=True)
     got = got.sample(frac=1, random_state=3).groupby("y", sort=False).head(each) if len(got) else got
     return got["t"].tolist(), got["y"].tolist()

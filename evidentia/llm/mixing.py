@@ -2,11 +2,14 @@
 
 A classifier of the labelled table gives each document posteriors of the
 domains. The document rates (expected copies, not negative) minimise the
-squares of what expected domain tokens miss of their targets, by accelerated
-projected gradient; the squares are weighted by the inverse of the domains'
-Gram matrix, under which a step ends where no rate meets zero. A rate depends on the posteriors and on the
-residuals of each step alone, so a step is one distributed sum over the
-documents, and the driver keeps as many numbers a step as there are domains.
+squares of what expected domain tokens miss of their targets, by projected
+gradient: all steps so far are added to a rate of one and the sum is projected
+onto rates that aren't negative. A document's gradient is its posteriors times
+the domains' misses, so the steps so far are one number a domain. Steps are
+scaled by the inverse Gram matrix of the documents whose rates are above zero,
+and of several lengths, tried in one pass, the best is taken. A pass is one
+distributed sum over the documents. Of all rates that meet the targets, those
+found are the nearest to one copy of each token.
 """
 
 from __future__ import annotations
@@ -24,14 +27,25 @@ from . import common, langid
 #: Shares of tokens by domain of the labelled table.
 TARGETS = {"good": 0.75, "poor": 0.2, "toxic": 0.05}
 #: The fit ends with targets met to MISS of each, or where STALL steps don't lower the objective by more than FALL of it.
-MISS, STALL, FALL = 1e-3, 40, 1e-3
+MISS, STALL, FALL = 1e-3, 4, 1e-2
+#: Lengths of a step that one pass tries.
+LENGTHS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01)
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, domain) of labelled documents: toxic, else good or poor by quality. Rows without both labels take no part."""
+def labelled(docs: DataFrame, labels: DataFrame, each: int = 3 * langid.ROWS_EACH) -> DataFrame:
+    """(text, domain) of labelled documents: toxic, else good or poor by quality. Rows without both labels take no part.
+
+    Of each domain about ``each`` ids are chosen by their hash before any text is read, so the ids that go to all tasks
+    are bounded whatever the sizes of both tables.
+    """
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("poor")
-    rows = labels.where("doc_id is not null and quality is not null and toxic is not null").select("doc_id", domain.alias("domain")).dropDuplicates(["doc_id"])
-    return docs.select("doc_id", "text").join(rows, "doc_id").select("text", "domain")
+    known = labels.where("doc_id is not null and quality is not null and toxic is not null")
+    rows = known.groupBy("doc_id").agg(F.min(domain).alias("domain"))
+    rows = common.written(rows, "labelled")
+    counts = rows.groupBy("domain").count()
+    luck = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    few = rows.join(F.broadcast(counts), "domain").where(luck * F.col("count") <= each).select("doc_id", "domain")
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "domain")
 
 
 def posteriors(df: DataFrame, model: langid.SubwordModel | None, text: str = "text") -> DataFrame:
@@ -47,67 +61,58 @@ def posteriors(df: DataFrame, model: langid.SubwordModel | None, text: str = "te
     return out.withColumn("tokens", F.size(common.words(F.col(f"`{text}`"))).cast("long"))
 
 
-def _rates(p: np.ndarray, pushes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the given steps, and the point that the next gradient is taken at."""
-    rate = point = np.ones(len(p))
-    for t, push in enumerate(pushes):
-        new = np.maximum(0.0, point + p @ push)
-        point = new + (t / (t + 3)) * (new - rate)
-        rate = new
-    return rate, point
+def rates(p: np.ndarray, pushed: np.ndarray) -> np.ndarray:
+    """Rates of documents with posteriors ``p`` after steps that add up to ``pushed``."""
+    return np.maximum(0.0, 1.0 + p @ pushed)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def fit_rates(df: DataFrame, targets: np.ndarray, miss: float = MISS) -> tuple[list[np.ndarray], np.ndarray]:
-    """The pushes of each step for ``df`` with posteriors and tokens, and the expected tokens by domain after them; ``targets`` are those wanted.
+def fit_rates(df: DataFrame, targets: np.ndarray, miss: float = MISS) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of all steps for ``df`` with posteriors and tokens, and the expected tokens by domain after them; ``targets`` are those wanted.
 
     Ends when no domain misses its target by more than ``miss`` of it, or when
     the objective has stopped falling, as it does for targets that no rates
-    meet; then the steps up to the least objective are given.
+    meet; then the steps with the least objective are given.
     """
     k = len(targets)
+    scale = 1 / np.maximum(targets, 1e-3 * targets.sum())
+
+    def passed(tried: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Expected tokens and Gram matrix of the documents with a rate above zero, for each sum of steps."""
 
-    def summed(make) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
+            total = np.zeros((len(tried), k, k + 1))
             for batch in batches:
+                p, t = _matrix(batch.column(0)), batch.column(1).to_numpy().astype(float)
                 if batch.num_rows:
-                    x = make(_matrix(batch.column(0)), batch.column(1).to_numpy().astype(float))
-                    total = x if total is None else total + x
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], ["i", "x"])
-
-        out = np.zeros(0)
-        rows = df.select("posteriors", "tokens").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-        if rows:
-            out = np.zeros(len(rows))
-            for r in rows:
-                out[r["i"]] = r["x"]
-        return out
-
-    gram = summed(lambda p, t: (p * t[:, None]).T @ p)
-    if not gram.size:
-        return [], np.zeros(k)
-    weight = np.linalg.pinv(gram.reshape(k, k), rcond=1e-9, hermitian=True)
-    pushes: list[np.ndarray] = []
-    # The least objective so far, its step and its sums.
-    best = (np.inf, 0, np.zeros(k))
-    while True:
-        # The sums at the point that the gradient is taken at, and at the rates themselves.
-        both = summed(lambda p, t: np.stack([(p * (x * t)[:, None]).sum(0) for x in _rates(p, pushes)]))
-        at_rate, at_point = both.reshape(2, k)
-        left = targets - at_rate
-        if (np.abs(left) <= miss * np.maximum(targets, 1)).all():
-            return pushes, at_rate
-        objective = float(left @ weight @ left)
-        if objective < (1 - FALL) * best[0]:
-            best = (objective, len(pushes), at_rate)
-        if len(pushes) - best[1] >= STALL or objective <= 1e-14 * float(targets @ weight @ targets):
-            return pushes[: best[1]], best[2]
-        pushes.append(weight @ (targets - at_point))
+                    for i, pushed in enumerate(tried):
+                        x = rates(p, pushed)
+                        total[i, :, 0] += p.T @ (x * t)
+                        total[i, :, 1:] += (p * (t * (x > 0))[:, None]).T @ p
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], ["i", "x"])
+
+        out = np.zeros(len(tried) * k * (k + 1))
+        for r in df.select("posteriors", "tokens").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+            out[r["i"]] = r["x"]
+        return [(x[:, 0], x[:, 1:]) for x in out.reshape(len(tried), k, k + 1)]
+
+    objective = lambda got: float(((targets - got) ** 2 * scale).sum())
+    pushed = np.zeros(k)
+    got, gram = passed([pushed])[0]
+    stalled = 0
+    while stalled < STALL and (np.abs(targets - got) > miss * np.maximum(targets, 1)).any() and gram.any():
+        step = np.linalg.pinv(gram, rcond=1e-12, hermitian=True) @ (targets - got)
+        tried = [pushed + length * step for length in LENGTHS]
+        best = min(zip(tried, passed(tried), strict=True), key=lambda x: objective(x[1][0]))
+        stalled = 0 if objective(best[1][0]) < (1 - FALL) * objective(got) else stalled + 1
+        if objective(best[1][0]) < objective(got):
+            pushed, (got, gram) = best
+        else:
+            break
+    return pushed, got
 
 
 def mix(df: DataFrame, model: langid.SubwordModel | None, targets: dict[str, float] | None = None, tokens: float | None = None, text: str = "text", seed: int = 23) -> DataFrame:
@@ -125,21 +130,22 @@ def mix(df: DataFrame, model: langid.SubwordModel | None, targets: dict[str, flo
     """
     df = common.without(df, "posteriors", "tokens", "rate", "copies", "miss")
     shares = TARGETS if targets is None else targets
-    with_p = posteriors(df, model, text)
-    slim = common.written(with_p.select("posteriors", "tokens"), "posteriors")
-    pushes: list[np.ndarray] = []
+    # Classified once; the steps read two columns of what is written.
+    with_p = common.written(posteriors(df, model, text), "posteriors")
+    slim = with_p.select("posteriors", "tokens")
+    pushed = None
     over = F.lit(None)
     total = slim.agg(F.sum("tokens")).first()[0] or 0
     if model is not None and total:
         share = np.array([max(0.0, shares.get(d, 0.0)) for d in model.labels])
         if share.sum():
             wanted = share / share.sum() * (tokens or total)
-            pushes, got = fit_rates(slim, wanted)
+            pushed, got = fit_rates(slim, wanted)
             over = F.lit(((got - wanted) / wanted.sum()).tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rate = _rates(_matrix(batch.column(batch.schema.get_field_index("posteriors"))), pushes)[0]
+            rate = np.ones(batch.num_rows) if pushed is None else rates(_matrix(batch.column(batch.schema.get_field_index("posteriors"))), pushed)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], [*batch.schema.names, "rate"])
 
     out = with_p.mapInArrow(run, T.StructType([*with_p.schema.fields, T.StructField("rate", T.DoubleType())]))
@@ -149,7 +155,7 @@ def mix(df: DataFrame, model: langid.SubwordModel | None, targets: dict[str, flo
 
 def fit_domains(docs: DataFrame, labels: DataFrame) -> langid.SubwordModel | None:
     """A classifier of the labelled documents' domains, from a sample of at most langid.ROWS_EACH rows of each."""
-    return langid.fit(*langid.sample(labelled(docs, labels), "text", "domain"), epochs=30, rate=1.5, snippets=0, raw=True)
+    return langid.fit(*langid.sample(labelled(docs, labels), "text", "domain"), epochs=30, rate=1.5, snippets=0, raw=True, unknown=False)
 
 
 def repeated(df: DataFrame) -> DataFrame:
