@@ -16,9 +16,67 @@ def normalize_key(c: Column) -> Column:
 
 
 def tokenize(c: Column) -> Column:
-    """Lower-case words; compounds with ``-`` or ``.`` are followed by their parts."""
+    """Lower-case words; the parts of compounds with ``-`` or ``.`` follow after all of them."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return F.flatten(F.transform(tokens, lambda t: F.when(t.rlike("[-.]"), F.concat(F.array(t), F.split(t, "[-.]"))).otherwise(F.array(t))))
+    compounds = F.array_join(F.filter(tokens, lambda t: t.contains("-") | t.contains(".")), " ")
+    return F.when(compounds == "", tokens).otherwise(F.concat(tokens, F.split(compounds, "[-. ]")))
+
+
+#: Endings of Cyrillic words (fixed values).
+SUFFIXES = (
+    "иями", "ями", "ами", "ией", "иям", "ыми", "ими", "ого", "его", "ому", "ему", "ешь", "ете", "ившись", "вшись", "ется", "ются",
+    "ая", "яя", "ые", "ие", "ый", "ий", "ой", "ей", "ом", "ем", "ах", "ях", "ов", "ев", "ью", "ия", "ии", "ую", "юю", "ет", "ут", "ют", "ат", "ят",
+    "ла", "ло", "ли", "на", "но", "ны", "ть", "ти", "ся", "сь", "а", "я", "ы", "и", "е", "о", "у", "ю", "ь", "й",
+)
+#: Three characters or more, as few as possible, before an ending: so the longest ending goes.
+STEM = "^(.{3,}?)(?:" + "|".join(SUFFIXES) + ")$"
+
+
+def stem(c: Column) -> Column:
+    """Words with a Cyrillic letter without their ending, taken off twice; other words as they are."""
+    once = F.regexp_replace(c, STEM, "$1")
+    return F.when(c.rlike("[а-яё]"), F.when(once.rlike("[а-яё]"), F.regexp_replace(once, STEM, "$1")).otherwise(once)).otherwise(c)
+
+
+def terms(c: Column) -> Column:
+    return F.transform(tokenize(c), stem)
+
+
+def code_points(c: Column) -> Column:
+    """Each character with its code point, as ``A U+0041``."""
+    return F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.concat(x, F.lit(" U+"), F.lpad(F.hex(F.ascii(x)), 4, "0")))
+
+
+def code_key(c: Column) -> Column:
+    """Identifiers without case, underscores and spaces."""
+    return F.regexp_replace(F.lower(c), "[_ ]", "")
+
+
+#: Stages and the parts of words that tell them (fixed values), the first one first.
+STAGES = (("экструзия", "экструз"), ("печать", "печат"), ("кольцевание", "кольцев"))
+
+
+def stage(c: Column) -> Column:
+    low, out = F.lower(c), F.lit(None).cast("string")
+    for name, marker in reversed(STAGES):
+        out = F.when(low.contains(marker), name).otherwise(out)
+    return out
+
+
+def short(c: Column, most: int = 160) -> Column:
+    """At most ``most`` characters, single spaces, and a mark where some are cut."""
+    one = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    return F.when(F.length(one) <= most, one).otherwise(F.concat(F.substring(one, 1, most), F.lit("…")))
+
+
+def items(c: Column, separator: str = ";") -> Column:
+    """Parts between separators, trimmed, without blanks; none of null."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), separator), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def number(c: Column) -> Column:
+    """Text as a number, also with a decimal comma; null where it is none."""
+    return F.replace(F.trim(c), F.lit(","), F.lit(".")).try_cast("double")
 
 
 def term_index(c: Column, bits: int = 20) -> Column:
@@ -44,8 +102,9 @@ def locator_rows(c: Column) -> Column:
 
 
 def citations(c: Column) -> Column:
-    """Bracketed texts of 3 to 300 characters, each once, in order."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\[([^\[\]]{3,300})\]"), F.lit(1)))
+    """Bracketed texts of 3 to 300 characters, trimmed, without blanks, each once, in order."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\[([^\[\]]{3,300})\]"), F.lit(1))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def redact(c: Column) -> Column:

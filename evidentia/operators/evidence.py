@@ -15,27 +15,53 @@ def facts(df: DataFrame, claim: Column, value: Column, source: str, row: Column,
 
 
 def known_citations(answers: DataFrame, key: str, column: str, known: DataFrame) -> DataFrame:
-    """(key, citation, is_known): a citation is known if its head is and all its rows are among that head's; ``known`` has head and row."""
+    """(key, citation, is_known): a citation is known if its head is, and all its rows, none or more, are among that head's.
+
+    Where the head isn't known, the first known head in order that holds it or is held by it stands for it. ``known``
+    has head and row; only distinct unknown heads meet the distinct known ones.
+    """
     cited = answers.select(key, F.explode(text.citations(F.col(column))).alias("citation"))
-    split = cited.select(key, "citation", text.locator_head(F.col("citation")).alias("head"), F.explode_outer(text.locator_rows(F.col("citation"))).alias("row"))
-    hit = known.select("head", "row").distinct().withColumn("hit", F.lit(True))
-    return split.join(hit, ["head", "row"], "left").groupBy(key, "citation").agg(F.bool_and(F.coalesce("hit", F.lit(False))).alias("is_known"))
+    split = cited.select(key, "citation", text.locator_head(F.col("citation")).alias("head"), text.locator_rows(F.col("citation")).alias("rows"))
+    heads = known.select(F.col("head").alias("known_head")).distinct()
+    own = split.select("head").distinct()
+    alike = own.join(heads, F.col("head") == F.col("known_head"), "left_anti").join(heads, (F.col("head") != "") & (F.col("known_head").contains(F.col("head")) | F.col("head").contains(F.col("known_head"))))
+    stands = own.join(heads, F.col("head") == F.col("known_head")).unionByName(alike.groupBy("head").agg(F.min("known_head").alias("known_head")))
+    placed = split.join(stands, "head", "left").select(key, "citation", "known_head", F.explode_outer("rows").alias("row"))
+    hit = known.select(F.col("head").alias("known_head"), "row").distinct().withColumn("hit", F.lit(True))
+    fits = F.col("known_head").isNotNull() & (F.col("row").isNull() | F.coalesce("hit", F.lit(False)))
+    return placed.join(hit, ["known_head", "row"], "left").groupBy(key, "citation").agg(F.bool_and(fits).alias("is_known"))
 
 
-def coverage(seen: DataFrame, key: str, source: str, required: list[str]) -> DataFrame:
-    """(key, missing): required sources that a run hasn't seen, in order."""
+def coverage(seen: DataFrame, key: str, source: str, required: list[str], runs: DataFrame | None = None) -> DataFrame:
+    """(key, missing): required sources that a run hasn't seen, in order; all of them for those of ``runs`` that have seen none."""
     own = seen.groupBy(key).agg(F.collect_set(source).alias("own"))
-    return own.select(key, F.array_join(F.array_sort(F.array_except(F.lit(required), "own")), ",").alias("missing"))
+    if runs is not None:
+        own = runs.select(key).distinct().join(own, key, "left")
+    return own.select(key, F.array_join(F.array_sort(F.array_except(F.lit(required), F.coalesce("own", F.array().cast("array<string>")))), ",").alias("missing"))
 
 
 def p95(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, n, median, p95): p95 is the value at place int(n * 0.95) in order, from 1; null under two rows."""
+    """(group, n, median, p95): p95 is the value at place int(n * 0.95) in order, from 1; null under two rows.
+
+    Values are counted first, so a group's equal rows meet in one, and places are sums of counts over its values.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("c"))
     w = Window.partitionBy(group)
-    ranked = df.where(F.col(value).isNotNull()).withColumns({"r": F.row_number().over(w.orderBy(value)), "n": F.count("*").over(w)})
-    return ranked.groupBy(group).agg(F.max("n").alias("n"), F.median(value).alias("median"), F.max(F.when((F.col("n") > 1) & (F.col("r") == F.floor(F.col("n") * 0.95)), F.col(value))).alias("p95"))
+    placed = counted.withColumns({"up": F.sum("c").over(w.orderBy("v")), "n": F.sum("c").over(w)})
+    at = lambda place: F.min(F.when(F.col("up") >= place, F.col("v")))
+    middle = (at(F.floor((F.col("n") + 1) / 2)) + at(F.floor(F.col("n") / 2) + 1)) / 2
+    return placed.groupBy(group).agg(F.max("n").alias("n"), middle.alias("median"), F.when(F.max("n") > 1, at(F.floor(F.col("n") * 0.95))).alias("p95"))
 
 
 def repeated_gaps(df: DataFrame, column: str, prefix: int = 80) -> DataFrame:
     """(gap, n): texts by lower-case prefix with single spaces, where it occurs twice or more."""
     gap = F.substring(F.trim(F.regexp_replace(F.lower(column), r"[ \t\n\r\f]+", " ")), 1, prefix)
     return df.groupBy(gap.alias("gap")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def digest(df: DataFrame, source: str, locator: str, most: int = 4) -> DataFrame:
+    """(source, locators, more): the first ``most`` distinct locators of each source in order, and how many follow."""
+    first = df.select(source, locator).distinct().withColumns({"_r": F.row_number().over(Window.partitionBy(source).orderBy(locator))})
+    own = first.where(F.col("_r") <= most).groupBy(source).agg(F.array_join(F.array_sort(F.collect_list(locator)), "; ").alias("locators"))
+    total = df.groupBy(source).agg(F.count_distinct(locator).alias("n"))
+    return own.join(total, source).select(source, "locators", F.greatest(F.col("n") - most, F.lit(0)).alias("more"))

@@ -35,6 +35,8 @@ def resolve_column(df: DataFrame, name: str) -> str:
 
 def lookup(df: DataFrame, filters: dict, columns: Sequence[str] | None = None, order: Sequence[str] = (), limit: int = 20) -> DataFrame:
     """The first ``limit`` matching rows in ``order`` with ``total``, the count of all. One unknown column and all columns are returned."""
+    if not order:
+        raise ValueError("the first rows of a lookup need an order")
     found = df.where(matches(df, filters))
     total = found.agg(F.count("*").alias("total"))
     rows = found.orderBy(*order).limit(limit).crossJoin(F.broadcast(total))
@@ -52,23 +54,43 @@ def near_misses(df: DataFrame, column: str, value: str, order: str, limit: int =
 
 
 def nearest(df: DataFrame, column: str, allowed: DataFrame, name: str) -> DataFrame:
-    """Each distinct value with the one allowed value within 1 (up to six letters) or 2 edits; null if none or several are."""
+    """(value, repaired) of each distinct value: null for an allowed one, else the first allowed one that is equal without
+    case and spaces, else the only one within 1 (up to six letters) or 2 edits; null if none or several are.
+
+    ``allowed`` is a closed list, such as a schema's.
+    """
+    norm = lambda c: F.trim(F.regexp_replace(F.replace(F.lower(c), F.lit("ё"), F.lit("е")), r"\s+", " "))
     values = df.select(F.col(column).alias("value")).distinct()
-    near = text.edit_distance(F.lower("value"), F.lower(name)) <= F.when(F.length("value") <= 6, 1).otherwise(2)
-    hits = values.join(F.broadcast(allowed.select(name)), near).groupBy("value").agg(F.when(F.count("*") == 1, F.min(name)).alias("repaired"))
+    near = text.edit_distance(norm("value"), norm(name)) <= F.when(F.length(norm("value")) <= 6, 1).otherwise(2)
+    exact = F.min(F.when(norm("value") == norm(name), F.col(name)))
+    hits = values.join(allowed.select(name), near).groupBy("value").agg(F.when(F.bool_or(F.col("value") == F.col(name)), None).otherwise(F.coalesce(exact, F.when(F.count("*") == 1, F.min(name)))).alias("repaired"))
     return values.join(hits, "value", "left")
 
 
+def diagnose(df: DataFrame, filters: dict, most: int = 15) -> DataFrame:
+    """(column_name, verdict, sample, more) of each filter alone: present, a look-alike of a present value, or absent with the first values."""
+    out = []
+    for name, value in filters.items():
+        c = F.col(f"`{name}`").cast("string")
+        own = df.where(c.isNotNull()).groupBy(c.alias("v")).agg(F.count("*").alias("n"))
+        twin = text.normalize_key(F.col("v")) == text.normalize_key(F.lit(str(value)))
+        ranked = own.orderBy("v").limit(most).agg(F.array_join(F.array_sort(F.collect_list("v")), ", ").alias("sample"))
+        told = own.agg(F.count("*").alias("values"), F.bool_or(F.col("v") == str(value)).alias("same"), F.bool_or(twin).alias("twin"))
+        verdict = F.when(F.col("same"), "present").when(F.col("twin"), "look-alike").otherwise("absent")
+        out.append(told.crossJoin(ranked).select(F.lit(name).alias("column_name"), verdict.alias("verdict"), "sample", F.greatest(F.col("values") - most, F.lit(0)).alias("more")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def value_locations(tables: dict[str, DataFrame], value: str, limit: int = 4) -> DataFrame:
-    """In which tables a value occurs, by its normalized key: the first column of each, and rows; at most ``limit`` tables by name."""
+    """In which tables a value occurs, by its normalized key: the first column of each, and rows; at most ``limit`` tables by name. One scan a table."""
     parts, want = [], text.normalize_key(F.lit(value))
     for name, df in tables.items():
-        for i, (c, kind) in enumerate(df.dtypes):
-            if kind == "string":
-                parts.append(df.where(text.normalize_key(F.col(c)) == want).groupBy().count().where("count > 0").select(F.lit(name).alias("table_name"), F.lit(i).alias("place"), F.lit(c).alias("column_name"), F.col("count").alias("n_rows")))
-    found = reduce(DataFrame.unionByName, parts)
-    first = found.withColumn("r", F.row_number().over(Window.partitionBy("table_name").orderBy("place"))).where("r = 1")
-    return first.orderBy("table_name").limit(limit).select("table_name", "column_name", "n_rows")
+        own = [c for c, kind in df.dtypes if kind == "string"]
+        if own:
+            counts = [F.struct(F.lit(c).alias("column_name"), F.count_if(text.normalize_key(F.col(f"`{c}`")) == want).alias("n_rows")) for c in own]
+            found = F.get(F.filter("_found", lambda x: x["n_rows"] > 0), F.lit(0))
+            parts.append(df.agg(F.array(*counts).alias("_found")).select(F.lit(name).alias("table_name"), found.alias("_first")))
+    return reduce(DataFrame.unionByName, parts).where("_first is not null").orderBy("table_name").limit(limit).select("table_name", "_first.column_name", "_first.n_rows")
 
 
 def homoglyph_twins(df: DataFrame, column: str) -> DataFrame:

@@ -41,7 +41,7 @@ def near_miss_suggest(spark, d):
 
 
 def nearest_enum(spark, d):
-    typed = spark.createDataFrame([("germny",), ("FRANSE",), ("xx",), ("brasil",)], "typed string")
+    typed = spark.createDataFrame([("germny",), ("FRANSE",), ("xx",), ("brasil",), ("iraq",), (" united  kingdom",), ("CHINA",)], "typed string")
     return lookup.nearest(typed, "typed", table(spark, d, "nation"), "n_name").select("value", "repaired")
 
 
@@ -143,7 +143,7 @@ def set_diff_norm_code(spark, d):
 
 
 def citation_membership(spark, d):
-    answers = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("see [Orders, row "), F.col("o_orderkey"), F.lit("] and [nothing at all]")).alias("answer"))
+    answers = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("see [Orders, row "), F.col("o_orderkey"), F.lit("] and [nothing at all] and [orders] and [ ] and [the Orders list, row "), F.col("o_orderkey"), F.lit("]")).alias("answer"))
     known = table(spark, d, "lineitem").select(F.lit("orders").alias("head"), F.col("l_orderkey").alias("row")).distinct()
     return evidence.known_citations(answers, "o_orderkey", "answer", known)
 
@@ -236,10 +236,11 @@ ORACLE_SQL = {
     "lookup_filters": "select o_orderkey, o_orderstatus, count(*) over () as total from orders where o_orderstatus in ('F', 'O') and o_orderpriority = '1-URGENT' order by o_orderkey limit 20",
     "lookup_range": "select s.size_class, count(*) as n, min(p_partkey) as first_part from part join (values (1, 10, 'small'), (11, 30, 'medium'), (31, 50, 'large')) s(low, high, size_class) on p_size between low and high group by 1",
     "near_miss_suggest": "select p_partkey, p_brand from part where contains(upper(p_brand), 'BRAND#1') order by p_partkey limit 5",
-    "nearest_enum": """with t(value) as (values ('germny'), ('FRANSE'), ('xx'), ('brasil')),
-hits as (select value, case when count(*) = 1 then min(n_name) end as repaired from t join nation
-  on abs(length(value) - length(n_name)) <= 3 and levenshtein(lower(value), lower(n_name)) <= case when length(value) <= 6 then 1 else 2 end group by 1)
-select value, repaired from t left join hits using (value)""",
+    "nearest_enum": r"""with t(value) as (values ('germny'), ('FRANSE'), ('xx'), ('brasil'), ('iraq'), (' united  kingdom'), ('CHINA')),
+v as (select value, trim(regexp_replace(lower(value), '\s+', ' ', 'g')) as k from t), a as (select n_name, lower(n_name) as k from nation),
+hits as (select value, min(n_name) filter (v.k = a.k) as exact, count(*) as n, min(n_name) as first, bool_or(value = n_name) as allowed from v join a
+  on abs(length(v.k) - length(a.k)) <= 3 and levenshtein(v.k, a.k) <= case when length(v.k) <= 6 then 1 else 2 end group by 1)
+select value, case when not allowed then coalesce(exact, case when n = 1 then first end) end as repaired from t left join hits using (value)""",
     "homoglyph_twins": f"""with n as (select n_name as raw from nation union select translate(n_name, 'AEO', 'АЕО') from nation)
 select {_norm('raw')} as norm, array_to_string(list_sort(list(raw)), '|') as twins from n group by 1 having count(*) > 1""",
     "key_difference": """with n as (select n_name, translate(n_name, 'AE', 'АЕ') as typed, unnest(range(1, length(n_name) + 1)) as position from nation)
@@ -273,7 +274,8 @@ select l_orderkey, l_linenumber, coalesce(array_to_string(list_sort(list(x.l_sup
 select (select sum(n)::bigint from a) as left_edges, (select sum(n)::bigint from b) as right_edges, (select count(*) from a) as left_tables, (select count(*) from b) as right_tables, (select count(*) from a join b using (l_suppkey)) as shared_tables""",
     "set_diff_norm_code": "select o_orderkey as k from orders except select l_orderkey from lineitem",
     "citation_membership": """select o_orderkey, 'Orders, row ' || o_orderkey as citation, exists (select 1 from lineitem where l_orderkey = o_orderkey) as is_known from orders
-union all select o_orderkey, 'nothing at all', false from orders""",
+union all select o_orderkey, 'nothing at all', false from orders union all select o_orderkey, 'orders', true from orders
+union all select o_orderkey, 'the Orders list, row ' || o_orderkey, exists (select 1 from lineitem where l_orderkey = o_orderkey) from orders""",
     "evidence_flatten": """select 'order status' as claim, o_orderstatus as value, 'orders' as source, 'orders, row ' || o_orderkey as locator from (select *, row_number() over (partition by o_custkey order by o_orderkey) as r from orders) where r <= 8
 union all select 'part size', p_size::varchar, 'part', 'part, row ' || p_partkey from (select *, row_number() over (partition by p_brand order by p_partkey) as r from part) where r <= 8""",
     "required_vs_seen": "select conv_id, array_to_string(list_sort(list_filter(['system', 'user', 'assistant', 'tool'], lambda x: not list_contains(list(role), x))), ',') as missing from conversations group by 1",

@@ -1,6 +1,12 @@
 """Queries over all rows against brute force on small fixtures."""
 
-from evidentia.operators import graph
+import math
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from evidentia.operators import evidence, graph, lookup, retrieval
 from evidentia.plans import catalog
 
 
@@ -27,3 +33,41 @@ def test_gaps_are_told_apart_by_eighty_characters(spark, tmp_path):
     spark.createDataFrame([(t,) for t in texts], "text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["gap"]: r["n"] for r in catalog.without_sql()["gap_repeats_all"](spark, str(tmp_path)).collect()}
     assert got == {"no source for line 4": 2, "x" * 80: 2}
+
+
+def test_hashed_ngrams_are_those_of_brute_force(spark):
+    texts = {1: "Flexo-4  line", 2: "ab", 3: "", 4: None, 5: "ёж и Ёж"}
+    got = {}
+    for r in retrieval.hashed_ngrams(spark.createDataFrame(list(texts.items()), "k int, t string"), "k", "t", 64).collect():
+        got.setdefault(r["k"], {})[r["place"]] = round(r["weight"], 9)
+    want = {}
+    for k, t in texts.items():
+        low = (t or "").lower()
+        flat = re.sub(r"\s+", " ", low)
+        found = re.findall(r"[^\W_]+(?:[-.][^\W_]+)*", low) + [flat[i : i + n] for n in (3, 4, 5) for i in range(len(flat) - n + 1)]
+        counts = Counter(zlib.crc32(f.encode()) % 64 for f in found)
+        norm = math.sqrt(sum(math.log1p(c) ** 2 for c in counts.values()))
+        if counts:
+            want[k] = {p: round(math.log1p(c) / norm, 9) for p, c in counts.items()}
+    assert got == want
+
+
+def test_a_lookup_needs_an_order(spark):
+    with pytest.raises(ValueError):
+        lookup.lookup(spark.range(3), {"id": 1})
+
+
+def test_coverage_of_runs_that_saw_nothing(spark):
+    seen = spark.createDataFrame([(1, "a"), (1, "b")], "run int, source string")
+    got = evidence.coverage(seen, "run", "source", ["b", "a"], spark.createDataFrame([(1,), (2,)], "run int")).collect()
+    assert sorted(map(tuple, got)) == [(1, ""), (2, "a,b")]
+
+
+def test_known_citations(spark):
+    known = spark.createDataFrame([("plan of line 4", 1), ("plan of line 4", 2), ("notes", None)], "head string, row long")
+    texts = ["[Plan of line 4, rows 1, 2] [plan of line 4] [plan of line 4, row 3] [notes, row 1] [  ] [Notes ]", "[line 4, row 2] [nothing here]"]
+    got = evidence.known_citations(spark.createDataFrame(list(enumerate(texts)), "i int, a string"), "i", "a", known).collect()
+    assert {(r["i"], r["citation"]): r["is_known"] for r in got} == {
+        (0, "Plan of line 4, rows 1, 2"): True, (0, "plan of line 4"): True, (0, "plan of line 4, row 3"): False, (0, "notes, row 1"): False, (0, "Notes"): True,
+        (1, "line 4, row 2"): True, (1, "nothing here"): False,
+    }
