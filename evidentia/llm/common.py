@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,6 +60,34 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def guarded(*names: str):
+    """A decorator of operators on a table: its columns with these names, which the operator uses itself, come back as they were."""
+
+    def wrap(operator):
+        @functools.wraps(operator)
+        def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+            own = [c for c in df.columns if c.lower() in names]
+            aside = dict(zip(own, fresh(df, *(f"user{c}" for c in own)), strict=True))
+            back = {v: k for k, v in aside.items()}
+            return operator(df.withColumnsRenamed(aside), *args, **kwargs).withColumnsRenamed(back)
+
+        return run
+
+    return wrap
+
+
 def keyed(df: DataFrame, text: str, doc_id: str) -> DataFrame:
     """``df`` with _doc, the id as a whole number, and _key, which tells rows of one id apart by their texts.
 

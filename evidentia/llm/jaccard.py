@@ -450,6 +450,7 @@ def linked(docs: DataFrame, member: DataFrame, n: int, num: int, den: int) -> Da
     return label
 
 
+@common.guarded("_doc", "_key")
 def near_duplicates(df: DataFrame, n: int = 5, threshold: tuple[int, int] = (8, 10), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``df`` with n_shingles and component_id: the smallest id that links reach from a document, itself included.
 

@@ -1,12 +1,16 @@
-"""Best-fit packing of token sequences, a greedy fill of bins.
+"""Best-fit packing of token sequences by bin completion.
 
 What can be packed depends on lengths only, so the search works on a histogram
 with one count for each length up to the limit, whose size doesn't grow with
-the input. It takes the largest length that is left and looks for a filling of
-least waste around it, from larger to smaller lengths, with the best-fit
-filling as first incumbent; it ends at no waste or after NODES nodes, without
-tests of dominance, and a filled bin is not taken back. The filling found is
-repeated as often as the counts allow. The plan is a list of patterns with multiplicities;
+the input. A bin is completed around the largest length that is left: its
+fillings are enumerated without those that another one dominates (a length in
+it could be replaced by a larger one that is left). While more than TAIL pieces
+are left, the filling of least waste is taken as often as the counts allow. The
+last TAIL pieces are packed by branch and bound: the best-fit solution is the
+first incumbent, bins are completed in all undominated ways, least waste first,
+and a branch ends when its waste is more than a better solution could have. It
+ends with a proof or after BUDGET fillings; then the incumbent stands, which
+may not be the best. The plan is a list of patterns with multiplicities;
 each piece then finds its place from its rank among the pieces of its length,
 which is counted in salted groups.
 """
@@ -25,44 +29,96 @@ from pyspark.sql import types as T
 from . import common
 
 LIMIT, END = 1024, 2
-#: Nodes of the search for one filling; beyond, the incumbent stands.
-NODES = 400
-
-
-def fill(counts: np.ndarray, room: int) -> list[int]:
-    """Lengths from ``counts`` that fill ``room`` best, largest first."""
-    best: list[int] = []
-    best_waste = room
-    present = np.flatnonzero(counts[: room + 1])
-    # Incumbent: the largest that fits, again and again.
-    left, used, at = room, [], len(present) - 1
-    while at >= 0 and left:
-        size = int(present[at])
-        take = min(int(counts[size]), left // size)
-        used += [size] * take
-        left -= size * take
-        at -= 1
-    best, best_waste, nodes = used, left, 0
-
-    def search(top: int, left: int, chosen: list[int], taken: dict[int, int]) -> None:
-        nonlocal best, best_waste, nodes
-        nodes += 1
-        if left < best_waste:
-            best, best_waste = list(chosen), left
-        if best_waste == 0 or nodes > NODES:
+#: Pieces that branch and bound packs; nodes of the search for the fillings of one bin; fillings that branch and bound tries in all.
+TAIL, NODES, BUDGET = 120, 400, 20_000
+
+
+def fillings(counts: np.ndarray, room: int, nodes: int) -> list[tuple[int, ...]]:
+    """Undominated sets of lengths from ``counts`` that fit into ``room``, largest first, least waste first; after ``nodes`` nodes or a full one no more are looked for."""
+    present = np.flatnonzero(counts[: room + 1])[::-1].tolist()
+    out: list[tuple[int, tuple[int, ...]]] = []
+    spent = 0
+
+    def dominated(chosen: list[int], left: int) -> bool:
+        own = dict(zip(*np.unique(chosen, return_counts=True), strict=True)) if chosen else {}
+        # A length that is left takes the place of nothing, of one length or of two, with no more than the waste.
+        sums = {0, *chosen, *(x + y for i, x in enumerate(chosen) for y in chosen[i + 1 :])}
+        return any(x < y <= x + left and own.get(y, 0) < counts[y] for x in sums for y in range(x + 1, min(x + left, len(counts) - 1) + 1) if counts[y])
+
+    def search(at: int, left: int, chosen: list[int]) -> bool:
+        nonlocal spent
+        spent += 1
+        fits = False
+        for i in range(at, len(present)):
+            size = present[i]
+            if size > left or (i == at and chosen and chosen[-1] == size and chosen.count(size) >= counts[size]):
+                continue
+            fits = True
+            if search(i, left - size, [*chosen, size]) or spent > nodes:
+                return True
+        if not fits and not dominated(chosen, left):
+            out.append((left, tuple(chosen)))
+        return left == 0
+
+    search(0, room, [])
+    if not out:
+        chosen, left = [], room
+        for size in present:
+            take = min(int(counts[size]), left // size)
+            chosen += [size] * take
+            left -= size * take
+        out.append((left, tuple(chosen)))
+    return [f for _, f in sorted(out, key=lambda x: (x[0], len(x[1])))]
+
+
+def best_fit(counts: np.ndarray, limit: int) -> list[list[int]]:
+    """Bins by best fit: each length, largest first, goes where it leaves least room."""
+    bins: list[list[int]] = []
+    left: list[int] = []
+    for size in np.repeat(np.arange(len(counts)), counts)[::-1].tolist():
+        at = min((i for i, r in enumerate(left) if r >= size), key=left.__getitem__, default=None)
+        if at is None:
+            bins.append([size])
+            left.append(limit - size)
+        else:
+            bins[at].append(size)
+            left[at] -= size
+    return bins
+
+
+def complete(counts: np.ndarray, limit: int, budget: int = 0) -> list[list[int]]:
+    """Bins for a few pieces by branch and bound; as few as possible if it ends within ``budget`` fillings (BUDGET if not given)."""
+    counts = counts.copy()
+    total = int((counts * np.arange(len(counts))).sum())
+    best, spent, budget = best_fit(counts, limit), 0, budget or BUDGET
+    least = -(-total // limit)
+
+    def search(bins: list[list[int]], waste: int) -> None:
+        nonlocal best, spent
+        present = np.flatnonzero(counts)
+        if not len(present):
+            if len(bins) < len(best):
+                best = list(bins)
             return
-        i = int(np.searchsorted(present, min(top, left), "right")) - 1
-        while i >= 0 and best_waste and nodes <= NODES:
-            size = int(present[i])
-            i -= 1
-            if taken.get(size, 0) >= counts[size]:
+        largest = int(present[-1])
+        counts[largest] -= 1
+        for filling in fillings(counts, limit - largest, NODES):
+            if len(best) == least or spent >= budget:
+                break
+            spent += 1
+            own = waste + limit - largest - sum(filling)
+            # One bin less than the incumbent has room for so much waste.
+            if own > (len(best) - 1) * limit - total:
                 continue
-            taken[size] = taken.get(size, 0) + 1
-            search(size, left - size, [*chosen, size], taken)
-            taken[size] -= 1
-
-    if best_waste:
-        search(room, room, [], {})
+            for size in filling:
+                counts[size] -= 1
+            search([*bins, [largest, *filling]], own)
+            for size in filling:
+                counts[size] += 1
+        counts[largest] += 1
+
+    if len(best) > least:
+        search([], 0)
     return best
 
 
@@ -70,20 +126,26 @@ def plan(counts: np.ndarray, limit: int) -> tuple[np.ndarray, ...]:
     """Places for all pieces of each length: (length, first rank, ranks, first sequence, offset); a rank is one sequence further."""
     counts, out, sequence = counts.copy(), [], 0
     given = np.zeros(limit + 1, np.int64)
-    for largest in range(limit, 0, -1):
-        while counts[largest]:
-            counts[largest] -= 1
-            pattern = [largest, *fill(counts, limit - largest)]
-            counts[largest] += 1
-            sizes, need = np.unique(pattern, return_counts=True)
-            times = int((counts[sizes] // need).min())
-            offset = 0
-            for size in pattern:
-                out.append((size, int(given[size]), times, sequence, offset))
-                given[size] += times
-                counts[size] -= times
-                offset += size
-            sequence += times
+
+    def place(pattern: list[int], times: int) -> None:
+        nonlocal sequence
+        offset = 0
+        for size in pattern:
+            out.append((size, int(given[size]), times, sequence, offset))
+            given[size] += times
+            counts[size] -= times
+            offset += size
+        sequence += times
+
+    while counts.sum() > TAIL:
+        largest = int(np.flatnonzero(counts)[-1])
+        counts[largest] -= 1
+        pattern = [largest, *fillings(counts, limit - largest, NODES)[0]]
+        counts[largest] += 1
+        sizes, need = np.unique(pattern, return_counts=True)
+        place(pattern, int((counts[sizes] // need).min()))
+    for pattern in complete(counts, limit):
+        place(pattern, 1)
     out.sort()
     return tuple(np.array(c, np.int64) for c in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(5))
 
@@ -160,18 +222,19 @@ def packed(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     are alike, so equal rows and nulls in other columns don't matter; an empty
     table gives an empty table. Columns named sequence_id or offset are replaced.
     """
-    pieces = common.without(pieces, "sequence_id", "offset", "_salt", "_rank", "_base")
+    pieces = common.without(pieces, "sequence_id", "offset")
+    salt, rank_name, base_name = common.fresh(pieces, "salt", "rank", "base")
     # What a length's pieces are dealt into follows from their contents, so every read of them deals alike.
     salts = 8 * common.partitions(pieces.sparkSession)
-    salted = common.written(pieces.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in pieces.columns]), salts).cast("int")), "pieces")
-    counts = common.written(salted.groupBy("length", "_salt").count(), "counts")
-    base = counts.withColumn("_base", F.sum("count").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)))
+    salted = common.written(pieces.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in pieces.columns]), salts).cast("int")), "pieces")
+    counts = common.written(salted.groupBy("length", salt).count(), "counts")
+    base = counts.withColumn(base_name, F.sum("count").over(Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)))
     histogram = np.zeros(limit + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("count")).collect():
         histogram[length] = n
     places = salted.sparkSession.sparkContext.broadcast(plan(histogram, limit))
-    rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*[F.col(f"`{c}`") for c in pieces.columns if c != "ids"])) - 1
-    ranked = salted.withColumn("_rank", rank.cast("long")).join(base.select("length", "_salt", F.coalesce("_base", F.lit(0)).cast("long").alias("_base")), ["length", "_salt"])
+    rank = F.row_number().over(Window.partitionBy("length", salt).orderBy(*[F.col(f"`{c}`") for c in pieces.columns if c != "ids"])) - 1
+    ranked = salted.withColumn(rank_name, rank.cast("long")).join(base.select("length", salt, F.coalesce(base_name, F.lit(0)).cast("long").alias(base_name)), ["length", salt])
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     names = pieces.columns
@@ -180,7 +243,7 @@ def packed(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
         size, first, _, sequence, offset = places.value
         order = size * (1 << 48) + first
         for batch in batches:
-            length, r, own = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "_rank", "_base"))
+            length, r, own = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", rank_name, base_name))
             r = r + own
             at = np.searchsorted(order, length * (1 << 48) + r, "right") - 1
             keep = [batch.column(batch.schema.get_field_index(c)) for c in names]

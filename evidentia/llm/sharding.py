@@ -20,7 +20,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,29 +32,23 @@ NUMPY_MOST = 1_000_000_000
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
-    """One draw by ratio of uniforms, for populations of any size."""
-    if sample == 0 or good == 0:
-        return 0
-    if bad == 0:
-        return sample
-    if good + bad < NUMPY_MOST:
+    """One draw: by numpy, or for larger populations by inversion of the distribution's terms within 12 standard deviations of its mode.
+
+    A term follows from the one before by (good - k)(sample - k) / ((k + 1)(bad - sample + k + 1)).
+    """
+    total, low, high = good + bad, max(0, sample - bad), min(good, sample)
+    if low == high:
+        return low
+    if total < NUMPY_MOST:
         return int(rng.hypergeometric(good, bad, sample))
-    total, few, many = good + bad, min(good, bad), max(good, bad)
-    m = min(sample, total - sample)
-    share = few / total
-    centre = m * share + 0.5
-    spread = math.sqrt((total - m) * m * share * (1 - share) / (total - 1) + 0.5)
-    hat = 1.7155277699214135 * spread + 0.8989161620588988
-    mode = (m + 1) * (few + 1) // (total + 2)
-    weight = lambda k: math.lgamma(k + 1) + math.lgamma(few - k + 1) + math.lgamma(m - k + 1) + math.lgamma(many - m + k + 1)
-    top, most = weight(mode), min(min(m, few) + 1, math.floor(centre + 16 * spread))
-    while True:
-        x, y = 1.0 - rng.random(), rng.random()
-        w = centre + hat * (y - 0.5) / x
-        if 0 <= w < most and 2 * math.log(x) <= top - weight(k := math.floor(w)):
-            break
-    k = m - k if good > bad else k
-    return good - k if m < sample else k
+    mode = (sample + 1) * (good + 1) // (total + 2)
+    reach = 20 + int(12 * math.sqrt(sample * (good / total) * (bad / total) * ((total - sample) / (total - 1))))
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(first, last, dtype=float)
+    steps = np.log(good - k) + np.log(sample - k) - np.log(k + 1) - np.log(bad - sample + k + 1)
+    terms = np.concatenate([[0.0], np.cumsum(steps)])
+    up = np.cumsum(np.exp(terms - terms.max()))
+    return first + int(np.searchsorted(up, rng.random() * up[-1], "right"))
 
 
 def _split(rng: np.random.Generator, cells: np.ndarray, sample: int) -> np.ndarray:
@@ -97,37 +91,42 @@ def hypergeometric_shards(df: DataFrame, shards: int = 16, seed: int = 17, cell_
     of ``df`` named shard or slot are replaced. A task holds one cell, of
     ``cell_rows`` rows at most.
     """
-    df = common.without(df, "shard", "slot", "_p", "_i", "_cell")
+    df = common.without(df, "shard", "slot")
+    part, place, cell_name = common.fresh(df, "part", "place", "cell")
     common.shared_dir(df.sparkSession)
     # The same rows must lie in the same partitions, in the same order, when they are counted and when they are dealt.
-    held = df.withColumn("_p", F.spark_partition_id()).checkpoint()
-    counts = dict(held.groupBy("_p").count().collect())
+    held = df.withColumn(part, F.spark_partition_id()).checkpoint()
+    counts = dict(held.groupBy(part).count().collect())
     n = sum(counts.values())
     sizes = np.zeros(max(counts, default=-1) + 1, np.int64)
     for p, c in counts.items():
         sizes[p] = c
     shard, start, size = cell_sizes(n, shards, cell_rows)
-    schema = T.StructType([*held.schema.fields, T.StructField("_i", T.LongType()), T.StructField("_cell", T.IntegerType())])
+    schema = T.StructType([*held.schema.fields, T.StructField(place, T.LongType()), T.StructField(cell_name, T.IntegerType())])
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, cells = 0, None
         for batch in batches:
-            if len(batch) and cells is None:
-                p = int(batch["_p"].iloc[0])
+            if batch.num_rows and cells is None:
+                p = batch.column(batch.schema.get_field_index(part))[0].as_py()
                 cells = np.repeat(np.arange(len(size), dtype=np.int32), matrix_row(sizes, size, p, seed))
                 np.random.default_rng([seed, p, 1]).shuffle(cells)
-            if len(batch):
-                yield batch.assign(_i=np.arange(at, at + len(batch)), _cell=cells[at : at + len(batch)])
-                at += len(batch)
+            if batch.num_rows:
+                own = [pa.array(np.arange(at, at + batch.num_rows)), pa.array(cells[at : at + batch.num_rows])]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *own], [*batch.schema.names, place, cell_name])
+                at += batch.num_rows
+
+    names = df.columns
 
-    def permute(cell: pd.DataFrame) -> pd.DataFrame:
-        c = int(cell["_cell"].iloc[0])
-        cell = cell.sort_values(["_p", "_i"], ignore_index=True)
-        slots = start[c] + np.random.default_rng([seed, c, 2]).permutation(len(cell))
-        return cell.drop(columns=["_p", "_i", "_cell"]).assign(shard=np.int32(shard[c]), slot=slots)
+    def permute(cell: pa.Table) -> pa.Table:
+        c = cell[cell_name][0].as_py()
+        cell = cell.sort_by([(part, "ascending"), (place, "ascending")])
+        slots = start[c] + np.random.default_rng([seed, c, 2]).permutation(cell.num_rows)
+        own = [pa.array(np.full(cell.num_rows, shard[c], np.int32)), pa.array(slots)]
+        return pa.Table.from_arrays([*(cell[x] for x in names), *own], [*names, "shard", "slot"])
 
     out = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    return held.mapInPandas(deal, schema).groupBy("_cell").applyInPandas(permute, out)
+    return held.mapInArrow(deal, schema).groupBy(cell_name).applyInArrow(permute, out)
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:

@@ -96,6 +96,7 @@ def repeated_spans(docs: DataFrame, n: int = N) -> DataFrame:
     return found.withColumn("least", least).where(F.col("known") | (F.col("doc") > F.col("least"))).select("doc", "key", "at", "n")
 
 
+@common.guarded("_doc", "_key", "_at", "_n")
 def remove_repeated(df: DataFrame, n: int = N, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``df`` with n_words, n_removed and kept_text: the words outside windows that a document with a smaller id also has.
 

@@ -2,8 +2,8 @@
 
 A rule is a host and a path prefix. It fits its host and all subdomains where
 the URL's path starts with the rule's path. Of several rules that fit, the
-longest (host and path together) wins; if one is given twice with both
-verdicts, block wins.
+longest (host and path together) wins; of equally long ones a block, then the
+one with the longer host.
 """
 
 from __future__ import annotations
@@ -21,11 +21,16 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 TRIE_BYTES = 16 << 20
 
 
+def weight(rule: str, verdict: str) -> tuple[int, bool, int]:
+    return len(rule), verdict == "block", len(rule.partition("/")[0])
+
+
 class Trie:
-    """Nodes are dicts: by host label from the last one, then (key "/") by path segment; "=" lists what ends in that segment."""
+    """Nodes are dicts: by host label from the last one, then (key "/") by path segment; "=" has what ends in that segment, by its last part."""
 
     def __init__(self, rules: Iterable[tuple[str, str]]):
         self.root: dict = {}
+        self.longest = 0
         for rule, verdict in rules:
             host, slash, path = rule.partition("/")
             node = self.root
@@ -35,6 +40,7 @@ class Trie:
             for segment in segments:
                 node = node.setdefault(("p", segment), {})
             ends = node.setdefault("=", {})
+            self.longest = max(self.longest, len(last))
             if ends.get(last, ("", "allow"))[1] == "allow":
                 ends[last] = (rule, verdict)
 
@@ -48,8 +54,10 @@ class Trie:
                 break
             at = node
             for segment in segments:
-                for prefix, found in at.get("=", {}).items():
-                    if segment.startswith(prefix) and (best[0] is None or len(found[0]) > len(best[0])):
+                ends = at.get("=")
+                for n in range(min(len(segment), self.longest) + 1) if ends else ():
+                    found = ends.get(segment[:n])
+                    if found and (best[0] is None or weight(*found) > weight(*best)):
                         best = found
                 at = at.get(("p", segment))
                 if at is None:
@@ -99,7 +107,7 @@ def _judge_by_join(df: DataFrame, rules: list[tuple[str, str]], default: str) ->
     places = df.select("host", "path").distinct().withColumn("rule_host", F.explode(suffixes))
     best = (
         places.join(table, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
-        .groupBy("host", "path").agg(F.max(F.struct(F.length("rule"), "verdict", "rule")).alias("_found"))
+        .groupBy("host", "path").agg(F.max(F.struct(F.length("rule"), F.col("verdict") == "block", F.length("rule_host"), "verdict", "rule")).alias("_found"))
     )
     return df.join(best, ["host", "path"], "left").select(*df.columns, F.col("_found.rule").alias("rule"), F.coalesce("_found.verdict", F.lit(default)).alias("verdict"))
 
@@ -110,14 +118,15 @@ def op8_query(spark, sf_dir: str) -> DataFrame:
 
 _VALUES = ", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for r, v in RULES)
 OP8_SQL = rf"""
-with rules(rule, rule_host, rule_path, verdict) as (values {_VALUES}),
+with given(rule, rule_host, rule_path, verdict) as (values {_VALUES}),
+rules as (select *, length(rule) * 10000 + (verdict = 'block')::int * 5000 + length(rule_host) as weight from given),
 rests as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
 places as (
   select page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
          regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) as path, row_number() over () as n
   from rests),
 found as (
-  select p.n, max_by(r.rule, length(r.rule)) as rule, max_by(r.verdict, length(r.rule)) as verdict
+  select p.n, max_by(r.rule, weight) as rule, max_by(r.verdict, weight) as verdict
   from places p join rules r on (p.host = r.rule_host or ends_with(p.host, '.' || r.rule_host)) and starts_with(p.path, r.rule_path)
   group by p.n)
 select page_id, host, path, f.rule, coalesce(f.verdict, 'allow') as verdict from places p left join found f using (n)

@@ -20,3 +20,12 @@ def test_large_lists_are_joined(spark, monkeypatch):
     monkeypatch.setattr(urls, "TRIE_BYTES", 1)
     assert urls.judge_urls(frame(spark)).orderBy("page_id").collect() == want
     assert urls.judge_urls(frame(spark).limit(0)).count() == 0
+
+
+def test_ties_and_many_prefixes_of_one_segment(spark, monkeypatch):
+    rules = [("com/aaaa", "allow"), ("x.com/aa", "block"), ("y.com/b", "allow"), ("com/bbb", "allow"), ("net/", "allow"), ("net/", "block"), *((f"m.org/p{i}", "block") for i in range(500))]
+    df = spark.createDataFrame([(u,) for u in ("h://x.com/aaaa", "h://z.y.com/bbb", "h://net/q", "h://m.org/p499x", "h://m.org/q")], "url string")
+    want = [("x.com/aa", "block"), ("y.com/b", "allow"), ("net/", "block"), ("m.org/p499", "block"), (None, "allow")]
+    assert [(r["rule"], r["verdict"]) for r in urls.judge_urls(df.coalesce(1), rules).collect()] == want
+    monkeypatch.setattr(urls, "TRIE_BYTES", 1)
+    assert sorted((r["rule"] or "", r["verdict"]) for r in urls.judge_urls(df, rules).collect()) == sorted((a or "", b) for a, b in want)
