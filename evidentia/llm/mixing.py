@@ -105,7 +105,10 @@ def fit_rates(df: DataFrame, targets: np.ndarray, miss: float = MISS) -> tuple[n
     stalled = 0
     while stalled < STALL and (np.abs(targets - got) > miss * np.maximum(targets, 1)).any() and gram.any():
         step = np.linalg.pinv(gram, rcond=1e-12, hermitian=True) @ (targets - got)
-        tried = [pushed + length * step for length in LENGTHS]
+        # Where the matrix is nearly singular, as it is for targets out of reach, the plain gradient of the objective does better.
+        root = np.sqrt(scale)
+        plain = scale * (targets - got) / max(1e-300, float(np.linalg.eigvalsh(root[:, None] * gram * root)[-1]))
+        tried = [pushed + length * step for length in LENGTHS] + [pushed + length * 16 * plain for length in LENGTHS]
         best = min(zip(tried, passed(tried), strict=True), key=lambda x: objective(x[1][0]))
         stalled = 0 if objective(best[1][0]) < (1 - FALL) * objective(got) else stalled + 1
         if objective(best[1][0]) < objective(got):
