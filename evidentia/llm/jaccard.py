@@ -268,12 +268,12 @@ def tiles(group: DataFrame) -> DataFrame:
 
 
 def clusters(large: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gid, sid, label) of clusters of overlapping groups, and (gid) of the groups in them: those whose members are in DENSE or more on average."""
+    """(gid, sid) of clusters of overlapping groups, and (gid) of the groups in them: those whose members are in DENSE or more on average."""
     company = large.groupBy("sid").agg(F.count_distinct("gid").alias("_n"))
     dense = common.written(large.join(company, "sid").groupBy("gid").agg(F.avg("_n").alias("_n"), F.min("sid").alias("v")).where(F.col("_n") >= DENSE).select("gid", "v"), "dense")
-    rows = common.written(large.join(dense, "gid").select("sid", "label", "v").distinct(), "overlaps")
+    rows = common.written(large.join(dense, "gid").select("sid", "v").distinct(), "overlaps")
     cluster = components(rows.where("sid <> v").select(F.col("sid").alias("u"), "v"))
-    return rows.select("sid", "label").distinct().join(cluster.withColumnRenamed("label", "_cluster"), "sid").select(F.xxhash64("_cluster").alias("gid"), "sid", "label"), dense.select("gid")
+    return common.written(cluster.select(F.xxhash64("label").alias("gid"), "sid"), "clusters"), dense.select("gid")
 
 
 def texts_of(docs: DataFrame, member: DataFrame, sids: DataFrame) -> DataFrame:
@@ -414,6 +414,26 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("sid", "label")
 
 
+def roots(links: DataFrame) -> DataFrame:
+    """(sid, label) of each v of links (u, v), of which it has one and u is smaller: where the way over such links ends."""
+    up = common.written(links.select(F.col("v").alias("sid"), F.col("u").alias("label"), F.lit(True).alias("moved")), "roots")
+    while up.where("moved").limit(1).count():
+        above = up.select(F.col("sid").alias("label"), F.col("label").alias("_above"))
+        step = common.written(up.join(above, "label", "left").select("sid", F.coalesce("_above", "label").alias("label"), F.col("_above").isNotNull().alias("moved")), "roots")
+        common.discard(up)
+        up = step
+    return up.select("sid", "label")
+
+
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` after further links: only the labels that these connect are looked at."""
+    end = lambda c, x: label.select(F.col("sid").alias(c), F.col("label").alias(x))
+    pairs = links.join(end("u", "a"), "u", "left").join(end("v", "b"), "v", "left").select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v")).where("u <> v").distinct()
+    to = components(common.written(pairs, "pairs")).select(F.col("sid").alias("label"), F.col("label").alias("_to"))
+    every = label.select("sid", "label").unionByName(to.select(F.col("label").alias("sid"), "label")).distinct()
+    return common.written(every.join(to, "label", "left").select("sid", F.coalesce("_to", "label").alias("label")), "labels")
+
+
 def linked(docs: DataFrame, member: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(sid, label) of the sets that are linked with another one: the components of the relation "linked"."""
     group = groups(docs.select("text", F.lit(0).cast("long").alias("within")), n, num, den, 0)
@@ -421,7 +441,7 @@ def linked(docs: DataFrame, member: DataFrame, n: int, num: int, den: int) -> Da
     texts = texts_of(docs, member, met.select("sid").distinct())
     narrow, wide = common.written(parities(texts, n, 2), "sketches"), None
     found = verified(candidates(met.withColumn("label", F.col("sid")), narrow, num, den, "nearest"), texts, n, num, den)
-    label = components(found)
+    label, cluster = roots(found), None
     for mode in ("between", "all"):
         named = lambda df: df.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))  # noqa: E731, B023
         mixed = lambda df, *by: df.join(df.groupBy(*by).agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select(*by), [*by], "left_semi")
@@ -429,8 +449,10 @@ def linked(docs: DataFrame, member: DataFrame, n: int, num: int, den: int) -> Da
         rows = mixed(labelled.where("part < 0"), "gid", "part")
         large = labelled.where("part >= 0")
         if large.limit(1).count():
-            cluster, dense = clusters(large)
-            rows = rows.unionByName(common.written(mixed(tiles(cluster), "gid", "part"), "tiles"))
+            # Labels only merge, so what is mixed later on is in these clusters too.
+            if cluster is None:
+                cluster, dense = clusters(large)
+            rows = rows.unionByName(common.written(mixed(named(tiles(cluster)), "gid", "part"), "tiles"))
             large = large.join(dense, "gid", "left_anti")
         for level in range(1, LEVELS + 1):
             if not large.limit(1).count():
@@ -445,8 +467,7 @@ def linked(docs: DataFrame, member: DataFrame, n: int, num: int, den: int) -> Da
             wide = common.written(parities(texts.join(rows.select("sid").distinct(), "sid", "left_semi"), n, 8), "sketches")
         more = verified(candidates(rows, wide, num, den, mode), texts, n, num, den)
         if more.limit(1).count():
-            found = common.written(found.union(more), "links")
-            label = components(found)
+            label = merged(label, more)
     return label
 
 
