@@ -83,35 +83,11 @@ def json_prop_extract(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-def term_df(spark, d):
-    tf = retrieval.term_counts(table(spark, d, "documents"), "doc_id", "text")
-    return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).where("df >= 5")
-
-
-def bm25_idf(spark, d):
-    docs = table(spark, d, "documents")
-    out = retrieval.idf(retrieval.term_counts(docs, "doc_id", "text"), docs.count())
-    return out.where("df >= 5").select("term", "df", F.round("idf", 6).alias("idf"))
-
-
 def bm25_topk(spark, d):
     q = spark.createDataFrame([(t,) for t in TERMS], "term string")
     return retrieval.bm25(table(spark, d, "documents"), "doc_id", "text", q, 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
-def _query_vector(spark, d):
-    return list(table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"])
-
-
-def cosine_topk(spark, d):
-    return retrieval.cosine_topk(table(spark, d, "embeddings"), "vec_id", "embedding", _query_vector(spark, d), 10).select("vec_id", F.round("score", 5).alias("score"))
-
-
-def cosine_topk_filtered(spark, d):
-    e = table(spark, d, "embeddings").where("label = 1")
-    return retrieval.cosine_topk(e, "vec_id", "embedding", _query_vector(spark, d), 10).select("vec_id", F.round("score", 5).alias("score"))
-
-
 def exclusive_lexicon(spark, d):
     docs = table(spark, d, "documents").where("lang is not null")
     return retrieval.exclusive_terms(docs.select("lang", F.explode(text.tokenize(F.col("text"))).alias("term")), "lang").groupBy("lang").agg(F.count("*").alias("n_terms"))
@@ -122,22 +98,6 @@ def _edges(spark, d):
     return li.select("l_orderkey", "l_suppkey").distinct(), li.select("l_partkey", "l_suppkey").distinct()
 
 
-def code_for_clause(spark, d):
-    left, right = _edges(spark, d)
-    first = left.where("l_orderkey <= 50").withColumn("o", F.col("l_suppkey"))
-    return graph.two_hops(first, right, "l_orderkey", "l_suppkey", "l_partkey", "o")
-
-
-def section_inherit(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey <= 2000")
-    return graph.inherited(li, "l_orderkey", "l_linenumber", "l_suppkey").select("l_orderkey", "l_linenumber", F.array_join(F.col("tables").cast("array<string>"), ",").alias("tables"))
-
-
-def graph_stats(spark, d):
-    left, right = _edges(spark, d)
-    return graph.stats(left.where("l_suppkey % 3 = 0"), right.where("l_suppkey % 2 = 0"), "l_suppkey")
-
-
 def set_diff_norm_code(spark, d):
     return graph.missing(table(spark, d, "orders").select(F.col("o_orderkey").alias("k")), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")), "k")
 
@@ -179,15 +139,12 @@ def redact(spark, d):
     return table(spark, d, "customer").select("c_custkey", text.redact(F.concat(F.col("c_name"), F.lit(" Bearer abc."), F.col("c_custkey"), F.lit(" sk-abcdefgh"), F.col("c_custkey"))).alias("masked"))
 
 
-# The queries above with a cut keep their SQL's; these do the same jobs over all rows.
-
-
-def term_df_all(spark, d):
+def term_df(spark, d):
     tf = retrieval.term_counts(table(spark, d, "documents"), "doc_id", "text")
     return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
-def bm25_idf_all(spark, d):
+def bm25_idf(spark, d):
     docs = table(spark, d, "documents")
     return retrieval.idf(retrieval.term_counts(docs, "doc_id", "text"), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -197,21 +154,21 @@ def _cosine_each(e: DataFrame, rows: DataFrame) -> DataFrame:
     return near.select(F.col("query").alias("query_id"), "vec_id", F.round("score", 5).alias("score"))
 
 
-def cosine_topk_all(spark, d):
+def cosine_topk(spark, d):
     e = table(spark, d, "embeddings")
     return _cosine_each(e, e)
 
 
-def cosine_topk_filtered_all(spark, d):
+def cosine_topk_filtered(spark, d):
     e = table(spark, d, "embeddings")
     return _cosine_each(e, e.where("label = 1"))
 
 
-def section_inherit_all(spark, d):
+def section_inherit(spark, d):
     return graph.inherited(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_suppkey").select("l_orderkey", "l_linenumber", F.array_join(F.col("tables").cast("array<string>"), ",").alias("tables"))
 
 
-def graph_stats_all(spark, d):
+def graph_stats(spark, d):
     left, right = _edges(spark, d)
     return graph.stats(left, right, "l_suppkey")
 
@@ -220,7 +177,7 @@ def gap_repeats_all(spark, d):
     return evidence.repeated_gaps(table(spark, d, "conversations"), "text")
 
 
-def code_for_clause_all(spark, d):
+def code_for_clause(spark, d):
     left, right = _edges(spark, d)
     return graph.two_hops(left.withColumn("o", F.col("l_suppkey")), right, "l_orderkey", "l_suppkey", "l_partkey", "o")
 
@@ -229,7 +186,6 @@ _TOKENS = r"""tokens as (
   select doc_id, lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[-.][\p{L}\p{N}]+)*')) as t from documents),
 terms as (select doc_id, lang, t as term from tokens union all
   select doc_id, lang, unnest(regexp_split_to_array(t, '[-.]')) from tokens where regexp_matches(t, '[-.]'))"""
-_COSINE = "select vec_id, round(list_dot_product(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 5) as score from embeddings"
 
 ORACLE_SQL = {
     "lookup_norm_eq": f"select p_partkey, p_brand, 'part, row ' || p_partkey as locator from part where {_norm('p_brand')} = {_norm(chr(39) + ' brand#13 ' + chr(39))}",
@@ -252,8 +208,6 @@ from events where user_id is not null and ts is not null window w as (partition
     "order_batches": "select l_orderkey, bool_or(l_returnflag <> 'N') as placed, array_to_string(list_sort(list(distinct l_returnflag)), ',') as lines, count(*) as n_batches from lineitem group by 1",
     "log_search_events": "select event_type, count(*) as n, min(event_id) as first_event from events where contains(lower(event_type), 'c') and contains(props, '1') group by 1",
     "json_prop_extract": "select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k from events",
-    "term_df": f"with {_TOKENS} select term, count(distinct doc_id) as df, count(*) as tf from terms group by 1 having count(distinct doc_id) >= 5",
-    "bm25_idf": f"with {_TOKENS} select term, count(distinct doc_id) as df, round(ln(1 + ((select count(*) from documents) - count(distinct doc_id) + 0.5) / (count(distinct doc_id) + 0.5)), 6) as idf from terms group by 1 having count(distinct doc_id) >= 5",
     "bm25_topk": f"""with {_TOKENS},
 dl as (select d.doc_id, count(t.term) as dl from documents d left join terms t using (doc_id) group by 1),
 s as (select count(*) as n, avg(dl) as a from dl),
@@ -261,17 +215,8 @@ tf as (select doc_id, term, count(*) as tf from terms where term in {TERMS!r} gr
 df as (select term, count(*) as df from tf group by 1)
 select doc_id, round(sum(ln(1 + (s.n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / s.a))), 6) as score
 from tf join df using (term) join dl using (doc_id), s group by 1 order by score desc, doc_id limit 20""",
-    "cosine_topk": f"{_COSINE} order by score desc, vec_id limit 10",
-    "cosine_topk_filtered": f"{_COSINE} where label = 1 order by score desc, vec_id limit 10",
     "exclusive_lexicon": rf"""with {_TOKENS}, w as (select term, min(lang) as lang from terms where lang is not null and length(term) >= 4 and not regexp_matches(term, '^[0-9]+$') group by 1 having count(distinct lang) = 1)
 select lang, count(*) as n_terms from w group by 1""",
-    "code_for_clause": "select l.l_orderkey, r.l_partkey, min(l.l_suppkey) as l_suppkey from lineitem l join lineitem r on l.l_suppkey = r.l_suppkey where l.l_orderkey <= 50 group by 1, 2",
-    "section_inherit": """with e as (select * from lineitem where l_orderkey <= 2000), own as (select distinct l_orderkey, l_linenumber from e),
-x as (select o.l_orderkey, o.l_linenumber, w.l_suppkey from own o join (select distinct l_orderkey, l_suppkey from e) w using (l_orderkey)
-  where not exists (select 1 from e where e.l_orderkey = o.l_orderkey and e.l_linenumber = o.l_linenumber and e.l_suppkey = w.l_suppkey))
-select l_orderkey, l_linenumber, coalesce(array_to_string(list_sort(list(x.l_suppkey) filter (x.l_suppkey is not null)), ','), '') as tables from own left join x using (l_orderkey, l_linenumber) group by 1, 2""",
-    "graph_stats": """with a as (select l_suppkey, count(distinct l_orderkey) as n from lineitem where l_suppkey % 3 = 0 group by 1), b as (select l_suppkey, count(distinct l_partkey) as n from lineitem where l_suppkey % 2 = 0 group by 1)
-select (select sum(n)::bigint from a) as left_edges, (select sum(n)::bigint from b) as right_edges, (select count(*) from a) as left_tables, (select count(*) from b) as right_tables, (select count(*) from a join b using (l_suppkey)) as shared_tables""",
     "set_diff_norm_code": "select o_orderkey as k from orders except select l_orderkey from lineitem",
     "citation_membership": """select o_orderkey, 'Orders, row ' || o_orderkey as citation, exists (select 1 from lineitem where l_orderkey = o_orderkey) as is_known from orders
 union all select o_orderkey, 'nothing at all', false from orders union all select o_orderkey, 'orders', true from orders
@@ -299,18 +244,18 @@ select table_name, column_name, n_rows from f where n_rows > 0 order by table_na
 _EACH = """with s as (select q.vec_id as query_id, e.vec_id, round(list_dot_product(e.embedding::double[], q.embedding::double[]), 12) as dot from embeddings e, embeddings q where q.vec_id % 100 = 0 and {}),
 r as (select *, row_number() over (partition by query_id order by dot desc, vec_id) as r from s) select query_id, vec_id, round(dot, 5) as score from r where r <= 10"""
 ORACLE_SQL |= {
-    "term_df_all": f"with {_TOKENS} select term, count(distinct doc_id) as df, count(*) as tf from terms group by 1",
-    "bm25_idf_all": f"with {_TOKENS} select term, count(distinct doc_id) as df, round(ln(1 + ((select count(*) from documents) - count(distinct doc_id) + 0.5) / (count(distinct doc_id) + 0.5)), 6) as idf from terms group by 1",
-    "cosine_topk_all": _EACH.format("true"),
-    "cosine_topk_filtered_all": _EACH.format("e.label = 1"),
-    "section_inherit_all": """with own as (select distinct l_orderkey, l_linenumber from lineitem),
+    "term_df": f"with {_TOKENS} select term, count(distinct doc_id) as df, count(*) as tf from terms group by 1",
+    "bm25_idf": f"with {_TOKENS} select term, count(distinct doc_id) as df, round(ln(1 + ((select count(*) from documents) - count(distinct doc_id) + 0.5) / (count(distinct doc_id) + 0.5)), 6) as idf from terms group by 1",
+    "cosine_topk": _EACH.format("true"),
+    "cosine_topk_filtered": _EACH.format("e.label = 1"),
+    "section_inherit": """with own as (select distinct l_orderkey, l_linenumber from lineitem),
 x as (select o.l_orderkey, o.l_linenumber, w.l_suppkey from own o join (select distinct l_orderkey, l_suppkey from lineitem) w using (l_orderkey)
   where not exists (select 1 from lineitem e where e.l_orderkey = o.l_orderkey and e.l_linenumber = o.l_linenumber and e.l_suppkey = w.l_suppkey))
 select l_orderkey, l_linenumber, coalesce(array_to_string(list_sort(list(x.l_suppkey) filter (x.l_suppkey is not null)), ','), '') as tables from own left join x using (l_orderkey, l_linenumber) group by 1, 2""",
-    "graph_stats_all": """with a as (select l_suppkey, count(distinct l_orderkey) as n from lineitem group by 1), b as (select l_suppkey, count(distinct l_partkey) as n from lineitem group by 1)
+    "graph_stats": """with a as (select l_suppkey, count(distinct l_orderkey) as n from lineitem group by 1), b as (select l_suppkey, count(distinct l_partkey) as n from lineitem group by 1)
 select (select sum(n)::bigint from a) as left_edges, (select sum(n)::bigint from b) as right_edges, (select count(*) from a) as left_tables, (select count(*) from b) as right_tables, (select count(*) from a join b using (l_suppkey)) as shared_tables""",
 }
 
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}
 #: Without SQL: the pairs are too many for it, or no text of the tables repeats.
-WITHOUT_SQL = {"code_for_clause_all": code_for_clause_all, "gap_repeats_all": gap_repeats_all}
+WITHOUT_SQL = {"code_for_clause": code_for_clause, "gap_repeats_all": gap_repeats_all}

@@ -18,7 +18,7 @@ def test_code_for_clause_of_all_orders(spark, tmp_path):
         for _, p, t in rows:
             if s is not None and s == t:
                 want[o, p] = min(s, want.get((o, p), s))
-    got = catalog.without_sql()["code_for_clause_all"](spark, str(tmp_path)).collect()
+    got = catalog.without_sql()["code_for_clause"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {(r["l_orderkey"], r["l_partkey"]): r["l_suppkey"] for r in got} == want
 
 
