@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clustering, jaccard, langid, media, mixing, packing, quality, sharding, substring, suffixes, urls
+from . import clustering, jaccard, langid, media, mixing, packing, quality, sharding, substring, suffixes, urls, whitening
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_suffix_dedup": suffixes.op9_query,
     "op10_media": media.op10_query,
     "op11_centroid_clustering": clustering.op11_query,
+    "op12_embedding_whitening": whitening.op12_query,
 }
 
 ORACLE_SQL = {"op8_url_filters": urls.OP8_SQL}
