@@ -39,7 +39,7 @@ from . import common
 CLASSES, WIDTH, BITS = 32, 32, 16
 #: Most frequent words (of at most LONGEST bytes) whose counts all tasks hold.
 KNOWN, LONGEST = 1 << 18, 128
-ROUNDS, RATE, BATCH, FAN, CHUNK = 3, 0.3, 1 << 13, 256, 1 << 22
+ROUNDS, RATE, BATCH, FAN, CHUNK = 3, 0.5, 1 << 13, 256, 1 << 22
 #: Training tasks for each core; rows of a weight table that travel together.
 TASKS, BLOCK = 2, 1 << 10
 SMOOTH = 0.1
@@ -153,30 +153,36 @@ class Model:
                 hashes = [(h + cls.astype(np.uint64) * _MIX[2]) * _MIX[1] for h in hashes]
             return np.stack([h >> shift for h in hashes]).astype(np.int32)
 
-    def log_softmax(self, table: int, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        z = bias + self.tables[table][rows[0]]
+    def softmax(self, table: int, rows: np.ndarray, bias: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of all outcomes, and the logarithm of that of ``y``."""
+        z = self.tables[table].take(rows[0], axis=0)
+        z += bias
         for r in rows[1:]:
-            z += self.tables[table][r]
+            z += self.tables[table].take(r, axis=0)
         z -= z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-    def parts(self, keys: np.ndarray, at: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For classes and then for words within them: (table, which tokens, feature rows, log probabilities, the one that holds)."""
+        own = z[np.arange(len(y)), y]
+        np.exp(z, out=z)
+        total = z.sum(1)
+        z /= total[:, None]
+        return z, own - np.log(total)
+
+    def parts(self, keys: np.ndarray, at: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For classes and then for words within them: (table, which tokens, feature rows, probabilities, the logarithm of that of what holds, what holds)."""
         hashes = self.features(keys, at)
         cls = np.where(ids >= 0, ids // self.width + 1, 0)
         rows = self.rows(hashes)
-        yield 0, np.arange(len(ids)), rows, self.log_softmax(0, rows, self.class_bias), cls
+        yield 0, np.arange(len(ids)), rows, *self.softmax(0, rows, self.class_bias, cls), cls
         named = np.flatnonzero(ids >= 0)
         if len(named):
-            rows = self.rows([h[named] for h in hashes], cls[named])
-            yield 1, named, rows, self.log_softmax(1, rows, self.word_bias[cls[named]]), ids[named] % self.width
+            rows, y = self.rows([h[named] for h in hashes], cls[named]), ids[named] % self.width
+            yield 1, named, rows, *self.softmax(1, rows, self.word_bias[cls[named]], y), y
 
     def log10(self, keys: np.ndarray, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Of each token; for one of the first class (id -1), that of the class."""
         out = np.zeros(len(ids))
         for a in range(0, len(ids), BATCH):
-            for _, which, _, logs, y in self.parts(keys, at[a : a + BATCH], ids[a : a + BATCH]):
-                out[a + which] += logs[np.arange(len(y)), y]
+            for _, which, _, _, log, _ in self.parts(keys, at[a : a + BATCH], ids[a : a + BATCH]):
+                out[a + which] += log
         return out / np.log(10)
 
 
@@ -192,18 +198,24 @@ class Trainer:
 
     def learn(self, keys: np.ndarray, at: np.ndarray, ids: np.ndarray) -> None:
         for a in range(0, len(ids), BATCH):
-            for table, _, rows, logs, y in self.model.parts(keys, at[a : a + BATCH], ids[a : a + BATCH]):
-                grad = np.exp(logs)
+            for table, _, rows, grad, _, y in self.model.parts(keys, at[a : a + BATCH], ids[a : a + BATCH]):
                 grad[np.arange(len(y)), y] -= 1
                 flat = rows.ravel()
-                order = np.argsort(flat, kind="stable")
+                order = np.argsort(flat.astype(np.uint16) if self.model.bits <= 16 else flat, kind="stable")  # 16 bits are sorted much faster
                 flat = flat[order]
                 starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-                own = flat[starts]
-                step = np.add.reduceat(grad[order % len(y)], starts, axis=0)
-                self.squares[table][own] += np.einsum("ij,ij->i", step, step)
-                self.model.tables[table][own] -= (self.rate / np.sqrt(self.squares[table][own]))[:, None] * step
-                self.touched[table][own] += np.diff(np.append(starts, len(flat)))
+                own, times = flat[starts], np.diff(np.append(starts, len(flat)))
+                order %= len(y)
+                step = grad.take(order[starts], axis=0)
+                many = np.flatnonzero(times > 1)  # most rows occur once in a batch and need no sum
+                if len(many):
+                    inside = np.repeat(times > 1, times)
+                    step[many] = np.add.reduceat(grad.take(order[inside], axis=0), np.append(0, np.cumsum(times[many])[:-1]), axis=0)
+                squares = self.squares[table].take(own) + np.einsum("ij,ij->i", step, step)
+                self.squares[table][own] = squares
+                step *= (self.rate / np.sqrt(squares))[:, None]
+                self.model.tables[table][own] = self.model.tables[table].take(own, axis=0) - step
+                self.touched[table][own] += times
 
     def changes(self, part: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
         """(part, table, block, touches, changes of the rows)."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clustering, jaccard, langid, media, mixing, packing, quality, sharding, substring, suffixes, urls, whitening
+from . import clustering, jaccard, langid, maxent, media, mixing, packing, quality, sharding, substring, suffixes, urls, whitening
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_media": media.op10_query,
     "op11_centroid_clustering": clustering.op11_query,
     "op12_embedding_whitening": whitening.op12_query,
+    "op13_lm_scoring": maxent.op13_query,
 }
 
 ORACLE_SQL = {"op8_url_filters": urls.OP8_SQL}
