@@ -40,8 +40,8 @@ CLASSES, WIDTH, BITS = 32, 32, 16
 #: Most frequent words (of at most LONGEST bytes) whose counts all tasks hold.
 KNOWN, LONGEST = 1 << 18, 128
 ROUNDS, RATE, BATCH, FAN, CHUNK = 3, 0.5, 1 << 13, 256, 1 << 22
-#: Training tasks for each core; rows of a weight table that travel together.
-TASKS, BLOCK = 2, 1 << 10
+#: Training tasks for each core, at least, and partitions for each beyond that; rows of a weight table that travel together.
+TASKS, PARTITIONS, BLOCK = 2, 4, 1 << 10
 SMOOTH = 0.1
 #: The end of a text as a token, which no word equals.
 END = ""
@@ -262,7 +262,8 @@ def updated(texts: DataFrame, vocab, model: Model, rate: float) -> Model:
     """The model after one round over ``texts`` (a column, text)."""
     spark = texts.sparkSession
     held = spark.sparkContext.broadcast(model)
-    tasks = min(TASKS * spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions())
+    parts = texts.rdd.getNumPartitions()
+    tasks = min(parts, max(TASKS * spark.sparkContext.defaultParallelism, parts // PARTITIONS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -2,23 +2,27 @@
 
 What can be packed depends on lengths only, so the search works on a histogram
 with one count for each length up to the limit, whose size doesn't grow with
-the input. A bin is completed around the largest length that is left: its
-fillings are enumerated without those that another one dominates (a length in
-it could be replaced by a larger one that is left). While more than TAIL pieces
-are left, the filling of least waste is taken as often as the counts allow. The
-last TAIL pieces are packed by branch and bound: the best-fit solution is the
-first incumbent, bins are completed in all undominated ways, least waste first,
-and a branch ends when its waste is more than a better solution could have. It
-ends with a proof or after BUDGET fillings; then the incumbent stands, which
-may not be the best. The plan is a list of patterns with multiplicities;
-each piece then finds its place from its rank among the pieces of its length,
-which is counted in salted groups.
+the input. It is a branch and bound over patterns: sets of lengths that fill
+one sequence, each with the number of sequences that are filled so. A sequence
+is completed around the largest length that is left: its fillings are
+enumerated without those that another one dominates (a length in it could be
+replaced by a larger one that is left), least waste first, and taken as often
+as the counts allow or, as another branch, once. The best-fit solution of the
+whole histogram is the first incumbent; at every node best fit completes what
+has been chosen, and the better solution becomes the incumbent, so the result
+is never worse than best fit. A branch ends when its waste is more than a
+better solution could have. The search ends with a proof, when no bound allows
+less, or after BUDGET; then the incumbent stands, and ``Packing.least`` tells
+how few there could be. Each piece then finds its place from its rank among
+the pieces of its length, which is counted in salted groups.
 """
 
 from __future__ import annotations
 
+import bisect
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +33,8 @@ from pyspark.sql import types as T
 from . import common
 
 LIMIT, END = 1024, 2
-#: Pieces that branch and bound packs; nodes of the search for the fillings of one bin; fillings that branch and bound tries in all.
-TAIL, NODES, BUDGET = 120, 400, 20_000
+#: Nodes of the search for the fillings of one sequence; work of the whole search, where a node costs one and the different lengths that are left.
+NODES, BUDGET = 400, 150_000
 
 
 def fillings(counts: np.ndarray, room: int, nodes: int) -> list[tuple[int, ...]]:
@@ -71,81 +75,118 @@ def fillings(counts: np.ndarray, room: int, nodes: int) -> list[tuple[int, ...]]
     return [f for _, f in sorted(out, key=lambda x: (x[0], len(x[1])))]
 
 
-def best_fit(counts: np.ndarray, limit: int) -> list[list[int]]:
-    """Bins by best fit: each length, largest first, goes where it leaves least room."""
-    bins: list[list[int]] = []
-    left: list[int] = []
-    for size in np.repeat(np.arange(len(counts)), counts)[::-1].tolist():
-        at = min((i for i, r in enumerate(left) if r >= size), key=left.__getitem__, default=None)
-        if at is None:
-            bins.append([size])
-            left.append(limit - size)
-        else:
-            bins[at].append(size)
-            left[at] -= size
-    return bins
-
-
-def complete(counts: np.ndarray, limit: int, budget: int = 0) -> list[list[int]]:
-    """Bins for a few pieces by branch and bound; as few as possible if it ends within ``budget`` fillings (BUDGET if not given)."""
-    counts = counts.copy()
+def best_fit(counts: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns and how often each is used, by best fit: every length, largest first, goes where it leaves least room.
+
+    Sequences of equal room are alike, so a length is placed in all of them at once.
+    """
+    rooms: list[int] = []
+    by_room: dict[int, list[list]] = {}
+    for size in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[size])
+        while left:
+            at = bisect.bisect_left(rooms, size)
+            old = by_room[rooms[at]][-1] if at < len(rooms) else None
+            room, (pattern, there) = (rooms[at], old) if old else (limit, ((), left))
+            # A sequence with least room keeps it until the length no longer fits.
+            whole = min(there, left // (room // size))
+            n, each = (whole, room // size) if whole else (1, left)
+            if old:
+                old[1] -= n
+                if not old[1]:
+                    by_room[room].pop()
+                if not by_room[room]:
+                    del by_room[room], rooms[at]
+            rest = room - each * size
+            if rest not in by_room:
+                bisect.insort(rooms, rest)
+            by_room.setdefault(rest, []).append([(*pattern, *[size] * each), n])
+            left -= n * each
+    return [(pattern, n) for group in by_room.values() for pattern, n in group]
+
+
+def least(counts: np.ndarray, limit: int) -> int:
+    """A number of sequences that no solution is below: pieces of over half a sequence share none, and what doesn't fit beside them needs others."""
+    size = np.arange(len(counts))
+    n, tokens = np.append(0, np.cumsum(counts)), np.append(0, np.cumsum(counts * size))
+    low = np.arange(limit // 2 + 1)
+    half, high = limit // 2 + 1, limit - low + 1
+    beside = (n[high] - n[half]) * limit - (tokens[high] - tokens[half])
+    small = tokens[half] - tokens[np.minimum(low, half)]
+    return int((n[-1] - n[half] + np.maximum(0, -(-(small - beside) // limit))).max())
+
+
+@dataclass
+class Packing:
+    patterns: list[tuple[tuple[int, ...], int]]
+    least: int  # no solution has fewer sequences
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.patterns)
+
+
+def complete(counts: np.ndarray, limit: int, budget: int = 0) -> Packing:
+    """As few sequences as the search finds within ``budget`` (BUDGET if not given), and the bound."""
+    counts, budget = counts.copy(), budget or BUDGET
     total = int((counts * np.arange(len(counts))).sum())
-    best, spent, budget = best_fit(counts, limit), 0, budget or BUDGET
-    least = -(-total // limit)
-
-    def search(bins: list[list[int]], waste: int) -> None:
-        nonlocal best, spent
-        present = np.flatnonzero(counts)
-        if not len(present):
-            if len(bins) < len(best):
-                best = list(bins)
-            return
-        largest = int(present[-1])
+    best = Packing(best_fit(counts, limit), least(counts, limit))
+    fewest, chosen, waste, used, spent = best.sequences, [], 0, 0, 0
+
+    def choices() -> Iterator[tuple[tuple[int, ...], int]]:
+        largest = int(np.flatnonzero(counts)[-1])
         counts[largest] -= 1
-        for filling in fillings(counts, limit - largest, NODES):
-            if len(best) == least or spent >= budget:
-                break
-            spent += 1
-            own = waste + limit - largest - sum(filling)
-            # One bin less than the incumbent has room for so much waste.
-            if own > (len(best) - 1) * limit - total:
-                continue
-            for size in filling:
-                counts[size] -= 1
-            search([*bins, [largest, *filling]], own)
-            for size in filling:
-                counts[size] += 1
+        found = fillings(counts, limit - largest, NODES)
         counts[largest] += 1
+        for filling in found:
+            pattern = (largest, *filling)
+            sizes, need = np.unique(pattern, return_counts=True)
+            often = int((counts[sizes] // need).min())
+            yield from {(pattern, often): 0, (pattern, 1): 0}
+
+    def take(pattern: tuple[int, ...], times: int) -> None:
+        for size in pattern:
+            counts[size] -= times
 
-    if len(best) > least:
-        search([], 0)
+    open_ = [choices()] if total else []
+    while open_ and fewest > best.least and spent < budget:
+        step = next(open_[-1], None)
+        if step is None:
+            open_.pop()
+            if chosen:
+                pattern, times = chosen.pop()
+                take(pattern, -times)
+                waste -= times * (limit - sum(pattern))
+                used -= times
+            continue
+        pattern, times = step
+        own = waste + times * (limit - sum(pattern))
+        spent += 1
+        # One sequence less than the incumbent has room for so much waste.
+        if own > (fewest - 1) * limit - total:
+            continue
+        take(pattern, times)
+        chosen.append(step)
+        waste, used = own, used + times
+        spent += int(np.count_nonzero(counts))
+        rest = best_fit(counts, limit)
+        found = used + sum(n for _, n in rest)
+        if found < fewest:
+            best, fewest = Packing([*chosen, *rest], best.least), found
+        open_.append(choices() if rest and used + least(counts, limit) < fewest else iter(()))
     return best
 
 
 def plan(counts: np.ndarray, limit: int) -> tuple[np.ndarray, ...]:
     """Places for all pieces of each length: (length, first rank, ranks, first sequence, offset); a rank is one sequence further."""
-    counts, out, sequence = counts.copy(), [], 0
-    given = np.zeros(limit + 1, np.int64)
-
-    def place(pattern: list[int], times: int) -> None:
-        nonlocal sequence
+    out, sequence, given = [], 0, np.zeros(limit + 1, np.int64)
+    for pattern, times in complete(counts, limit).patterns:
         offset = 0
         for size in pattern:
             out.append((size, int(given[size]), times, sequence, offset))
             given[size] += times
-            counts[size] -= times
             offset += size
         sequence += times
-
-    while counts.sum() > TAIL:
-        largest = int(np.flatnonzero(counts)[-1])
-        counts[largest] -= 1
-        pattern = [largest, *fillings(counts, limit - largest, NODES)[0]]
-        counts[largest] += 1
-        sizes, need = np.unique(pattern, return_counts=True)
-        place(pattern, int((counts[sizes] // need).min()))
-    for pattern in complete(counts, limit):
-        place(pattern, 1)
     out.sort()
     return tuple(np.array(c, np.int64) for c in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(5))
 

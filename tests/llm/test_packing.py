@@ -65,7 +65,46 @@ def test_plan_is_optimal_on_small_cases():
         assert int((sequence + times).max()) == brute(sizes, 20)
         assert times.sum() == 9
     hard = [51, 51, 48, 48, 45, 43, 38, 38, 34, 32, 31, 24]
-    assert len(packing.complete(np.bincount(hard, minlength=101), 100)) == 5
+    assert packing.complete(np.bincount(hard, minlength=101), 100).sequences == 5
+
+
+def plain_best_fit(sizes, limit):
+    left = []
+    for size in sorted(sizes, reverse=True):
+        at = min((i for i, r in enumerate(left) if r >= size), key=left.__getitem__, default=None)
+        if at is None:
+            left.append(limit - size)
+        else:
+            left[at] -= size
+    return len(left)
+
+
+def test_never_worse_than_best_fit_and_the_bound_holds():
+    r = np.random.default_rng(5)
+    for n, low, high, limit in [(500, 1, 1025, 1024), (500, 200, 700, 1024), (500, 1, 120, 1024), (2000, 1, 60, 64), (30, 1, 21, 20), (1, 5, 6, 20)] * 3:
+        sizes = r.integers(low, high, n)
+        counts = np.bincount(sizes, minlength=limit + 1)
+        got = packing.complete(counts, limit, 20_000)
+        used = np.zeros(limit + 1, np.int64)
+        for pattern, times in got.patterns:
+            assert sum(pattern) <= limit and times > 0
+            np.add.at(used, list(pattern), times)
+        assert (used == counts).all() and packing.least(counts, limit) <= got.sequences <= plain_best_fit(sizes.tolist(), limit)
+        assert sum(n for _, n in packing.best_fit(counts, limit)) == plain_best_fit(sizes.tolist(), limit)
+
+
+def test_whole_table_is_within_two_of_the_bound(spark):
+    rows = packing.op6_query(spark, "/root/testdata/sf0.01").select("length", "sequence_id").collect()
+    counts = np.bincount([r["length"] for r in rows], minlength=1025)
+    assert packing.least(counts, 1024) <= len({r["sequence_id"] for r in rows}) <= min(964, packing.least(counts, 1024) + 2)
+
+
+def test_ids_of_random_strings_are_those_of_tokenizers():
+    t, encode, r = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder(), np.random.default_rng(8)
+    alphabet = [*"abAB01 \n\t'.,-", "'s", "é", "ß", "\u00a0", "\u200b", "\u2028", "\ufeff", "日", "🙂", "\u0301", "١", "Ⅷ", "<|endoftext|>"]
+    for _ in range(3000):
+        x = "".join(r.choice(alphabet, r.integers(0, 30)))
+        assert encode(x) == t.encode(x, add_special_tokens=False).ids
 
 
 def test_edges(spark):
