@@ -3,44 +3,17 @@
 A parameter is a row of a dictionary: a human name, by whose stems clauses are
 recognized, and an identifier, by which code is. Both searches are containment
 joins: of all stems in a clause's stems, and of a name in a fragment's text, by
-way of its grams. A containment join asks for the rarest element only, deals a
-frequent element's sets over salts, and verifies what it finds.
+way of its grams.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text
 
-GRAM = 3
-
-
-def candidates(sets: DataFrame, elements: str, asked: DataFrame, wanted: str, salts: int = 16) -> DataFrame:
-    """(a, s) of each asked row ``a`` and each set ``s`` that has the rarest of its ``wanted`` elements. None if one of them is in no set, or none is wanted."""
-    there = sets.select("s", F.explode(F.array_distinct(elements)).alias("e"))
-    want = asked.select("a", F.explode(F.array_distinct(wanted)).alias("e"))
-    counts = there.join(want.select("e").distinct(), "e", "left_semi").groupBy("e").agg(F.count("*").alias("n"))
-    rarest = want.join(counts, "e", "left").groupBy("a").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "e")).alias("r")).where("r.n > 0")
-    dealt = rarest.select("a", F.col("r.e").alias("e"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    return there.withColumn("salt", F.pmod(F.xxhash64("s"), F.lit(salts)).cast("int")).join(dealt, ["e", "salt"]).select("a", "s")
-
-
-def containing(sets: DataFrame, elements: str, asked: DataFrame, wanted: str) -> DataFrame:
-    """The columns of ``asked`` (with a) and ``sets`` (with s) for each pair where the set has all wanted elements."""
-    return candidates(sets, elements, asked, wanted).join(asked, "a").join(sets, "s").where(F.size(F.array_except(wanted, elements)) == 0)
-
-
-def grams(c: Column, n: int = GRAM) -> Column:
-    """Runs of ``n`` characters and, as shorter names are asked for too, of fewer."""
-    return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in range(1, n + 1)])))
-
-
-def longest_grams(c: Column, n: int = GRAM) -> Column:
-    """The runs of ``n`` characters of a name, or the name itself if it is shorter."""
-    return F.when(F.length(c) < n, F.array(c)).otherwise(F.array_distinct(F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))))
-
+from .containment import candidates, containing, grams, longest_grams
 
 def parameters(df: DataFrame, name: str, ident: str, order: str) -> DataFrame:
     """(param, place, stems, sense_terms, aliases): each name once, in lower case, by its first row in ``order``. Names without a stem of three letters and null identifiers are left out.

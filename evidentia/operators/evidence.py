@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text
 
+from . import containment
+
 
 def facts(df: DataFrame, claim: Column, value: Column, source: str, row: Column, call: str, order: str, most: int = 8) -> DataFrame:
     """(claim, value, source, locator): at most ``most`` facts of each call, in order."""
@@ -24,14 +26,34 @@ def known_citations(answers: DataFrame, key: str, column: str, known: DataFrame)
     split = cited.select(key, "citation", text.locator_head(F.col("citation")).alias("head"), text.locator_rows(F.col("citation")).alias("rows"))
     heads = known.select(F.col("head").alias("known_head")).distinct()
     own = split.select("head").distinct()
-    alike = own.join(heads, F.col("head") == F.col("known_head"), "left_anti").join(heads, (F.col("head") != "") & (F.col("known_head").contains(F.col("head")) | F.col("head").contains(F.col("known_head"))))
-    stands = own.join(heads, F.col("head") == F.col("known_head")).unionByName(alike.groupBy("head").agg(F.min("known_head").alias("known_head")))
+    like = alike(own.join(heads, F.col("head") == F.col("known_head"), "left_anti"), heads)
+    stands = own.join(heads, F.col("head") == F.col("known_head")).unionByName(like.groupBy("head").agg(F.min("known_head").alias("known_head")))
     placed = split.join(stands, "head", "left").select(key, "citation", "known_head", F.explode_outer("rows").alias("row"))
     hit = known.select(F.col("head").alias("known_head"), "row").distinct().withColumn("hit", F.lit(True))
     fits = F.col("known_head").isNotNull() & (F.col("row").isNull() | F.coalesce("hit", F.lit(False)))
     return placed.join(hit, ["known_head", "row"], "left").groupBy(key, "citation").agg(F.bool_and(fits).alias("is_known"))
 
 
+def alike(heads: DataFrame, known: DataFrame) -> DataFrame:
+    """(head, known_head): heads and the known ones that hold them or are held by them."""
+    return containment.inside(known, "known_head", heads, "head").unionByName(containment.inside(heads, "head", known, "known_head")).distinct()
+
+
+def known_locators(cited: DataFrame, known: DataFrame) -> DataFrame:
+    """(run, locator, is_known) of the distinct locators that a run cites, by the (run, head, row) of what the same run has read; as ``known_citations``."""
+    split = cited.select("run", "locator").distinct().withColumns({"head": text.locator_head(F.col("locator")), "rows": text.locator_rows(F.col("locator"))})
+    heads = known.select("run", F.col("head").alias("known_head")).distinct()
+    own = split.select("run", "head").distinct()
+    same = own.join(heads.withColumn("head", F.col("known_head")), ["run", "head"])
+    rest = own.join(same, ["run", "head"], "left_anti")
+    like = rest.join(alike(rest.select("head").distinct(), heads.select("known_head").distinct()), "head").join(heads, ["run", "known_head"], "left_semi")
+    stands = same.unionByName(like.groupBy("run", "head").agg(F.min("known_head").alias("known_head")))
+    placed = split.join(stands, ["run", "head"], "left").select("run", "locator", "known_head", F.explode_outer("rows").alias("row"))
+    hit = known.select("run", F.col("head").alias("known_head"), "row").distinct().withColumn("hit", F.lit(True))
+    fits = F.col("known_head").isNotNull() & (F.col("row").isNull() | F.coalesce("hit", F.lit(False)))
+    return placed.join(hit, ["run", "known_head", "row"], "left").groupBy("run", "locator").agg(F.bool_and(fits).alias("is_known"))
+
+
 def coverage(seen: DataFrame, key: str, source: str, required: list[str], runs: DataFrame | None = None) -> DataFrame:
     """(key, missing): required sources that a run hasn't seen, in order; all of them for those of ``runs`` that have seen none."""
     own = seen.groupBy(key).agg(F.collect_set(source).alias("own"))

@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import text
 
+from .shared import folder, remove
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which the driver and all executors share; a temporary one where all is one machine, as in tests."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="spark-")
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+__all__ = ["build", "folder", "postings", "remove", "scores", "search", "stats"]
 
 
 def postings(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia.functions import text
-from evidentia.operators import coverage
+from evidentia.operators import coverage, grounding
 
 from .reference_queries import table
 
@@ -84,3 +84,46 @@ select f.stage, rank::int as rank, param, clause, c.page_id as code_place from f
 
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}
 WITHOUT_SQL = {}
+
+
+def conflict_grounding(spark, d):
+    """Orders as runs: lines that came back are what was read, open lines are conflicts about a part, and all lines' parts are omissions in turn."""
+    li = table(spark, d, "lineitem").where("l_orderkey is not null and l_partkey is not null and l_suppkey is not null")
+    lines = li.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_orderkey").alias("run"), "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_discount", cyrillic(F.col("p_name")).alias("name"),
+        F.concat(F.lit("part, row "), "l_partkey").alias("clause"), F.concat(F.lit("supplier, row "), "l_suppkey").alias("code"),
+    )
+    place = F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")
+    n = place * 1_000_000 + F.col("l_suppkey")
+    read = lines.where("l_returnflag <> 'N'")
+    known = read.select("run", F.explode(F.array(F.struct(F.lit("part").alias("head"), F.col("l_partkey").alias("row")), F.struct(F.lit("supplier").alias("head"), F.col("l_suppkey").alias("row")))).alias("k")).select("run", "k.head", "k.row")
+    conflicts = lines.where("l_linestatus = 'O'").select("run", n.alias("n"), F.col("name").alias("subject"), F.col("clause").alias("expected_source"), F.col("code").alias("actual_source")).distinct()
+    omissions = lines.select("run", place.alias("place"), F.col("name").alias("param"), "clause").distinct()
+    places = lines.groupBy("run", "code").agg(F.min(place).alias("code_order"))
+    links = lines.groupBy("clause", "code").agg(F.min("run").alias("link_order"))
+    said = lines.where("l_discount > 0.05").groupBy("run").agg(F.array_join(F.array_sort(F.collect_set("name")), " ").alias("question"))
+    questions = table(spark, d, "orders").select(F.col("o_orderkey").alias("run"), (F.col("o_orderstatus") == "F").alias("checking")).join(said, "run", "left")
+    return grounding.ground(conflicts, omissions, places, links, known, questions)
+
+
+ORACLE_SQL["conflict_grounding"] = rf"""with lines as (select l_orderkey as run, l_linenumber, l_partkey as p, l_suppkey as s, l_returnflag, l_linestatus, l_discount, translate(lower(p_name), '{LATIN}', '{CYRILLIC}') as name,
+  l_linenumber::bigint * 1000000000 + l_partkey as place from lineitem join part on l_partkey = p_partkey where l_orderkey is not null and l_suppkey is not null),
+stem as (select name, w, {stemmed('w')} as stem from (select distinct name, unnest(regexp_extract_all(name, '{TOKENS}')) as w from lines)),
+parts as (select distinct run, p from lines where l_returnflag <> 'N'), codes as (select distinct run, s from lines where l_returnflag <> 'N'),
+conflicts as (select distinct run, place * 1000000 + s as n, name, p, s, exists (select 1 from parts k where k.run = l.run and k.p = l.p) and exists (select 1 from codes k where k.run = l.run and k.s = l.s) as stays from lines l where l_linestatus = 'O'),
+omissions as (select distinct run, place, name, p from lines),
+read as (select run, s, min(place) as code_order from lines semi join codes using (run, s) group by 1, 2),
+links as (select p, s, min(run) as link_order from lines group by 1, 2),
+near as (select o.run, o.p, arg_min(r.s, (l.link_order, 'supplier, row ' || r.s)) as s from (select distinct run, p from omissions semi join parts using (run, p)) o join links l on l.p = o.p join read r on r.run = o.run and r.s = l.s group by 1, 2),
+shown as (select o.run, o.place, o.name, o.p, coalesce(near.s, f.s) as s from omissions o semi join parts using (run, p) join (select run, arg_min(s, (code_order, 'supplier, row ' || s)) as s from read group by 1) f on f.run = o.run left join near on near.run = o.run and near.p = o.p),
+match as (select c.run, c.n, min(o.place) as place from conflicts c join stem a on a.name = c.name join stem b on b.stem = a.stem join omissions o on o.run = c.run and o.name = b.name where not c.stays group by 1, 2),
+judged as (select c.run, case when c.stays then 'grounded' when x.run is not null then 'rescued' else 'dropped' end as origin, c.n, coalesce(x.name, c.name) as subject, coalesce(x.p, c.p) as p, coalesce(x.s, c.s) as s
+  from conflicts c left join match m on m.run = c.run and m.n = c.n left join shown x on x.run = m.run and x.place = m.place),
+taken as (select distinct j.run, stem from judged j join stem on name = subject where origin <> 'dropped'),
+said as (select distinct run, stem from lines join stem using (name) where l_discount > 0.05),
+found as (select x.* from shown x join orders on o_orderkey = x.run where not exists (select 1 from stem join taken using (stem) where stem.name = x.name and taken.run = x.run)
+  and (o_orderstatus = 'F' or not exists (select 1 from stem where stem.name = x.name and stem.stem not in (select stem from said where said.run = x.run))))
+select run, origin, n, subject, 'part, row ' || p as expected_source, 'supplier, row ' || s as actual_source from judged
+union all select run, 'found', place, name, 'part, row ' || p, 'supplier, row ' || s from found"""
+
+QUERIES = {name: globals()[name] for name in ORACLE_SQL}
