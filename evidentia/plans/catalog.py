@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import cascade_queries, chunk_queries, coverage_queries, hybrid_queries, reference_queries, rule_queries, source_queries
+from . import cascade_queries, chunk_queries, coverage_queries, dispatch_queries, hybrid_queries, reference_queries, rule_queries, source_queries
 
-MODULES = (reference_queries, rule_queries, chunk_queries, coverage_queries, hybrid_queries, cascade_queries, source_queries)
+MODULES = (reference_queries, rule_queries, chunk_queries, coverage_queries, hybrid_queries, cascade_queries, source_queries, dispatch_queries)
 
 
 def queries() -> dict[str, Callable]:
