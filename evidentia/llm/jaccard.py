@@ -41,6 +41,8 @@ from .shingling import U
 #: Members of a group that meet in one task; times that large groups are grouped anew; large groups of a set from which on they make a cluster.
 TILE, LEVELS, DENSE = 512, 2, 4
 CHUNK = 2 << 20
+#: Pairs that are compared at once.
+PAIRS = 1 << 18
 #: Width of a set's name in bytes: 96 bits of a hash of all its shingles.
 SID = 12
 _SID = f"S{SID}"
@@ -307,10 +309,10 @@ def _near(num: int, den: int, mode: str):
     """
 
     def pairs(label: np.ndarray, sid: np.ndarray, size: np.ndarray, data: np.ndarray, offsets: np.ndarray, start: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """All pairs i before j of the runs, in blocks of about a million."""
+        """All pairs i before j of the runs, in blocks of PAIRS."""
         i = np.repeat(np.arange(len(sid)), np.repeat(start + length, length) - np.arange(len(sid)) - 1)
-        for a in range(0, len(i), 1 << 20):
-            own = i[a : a + (1 << 20)]
+        for a in range(0, len(i), PAIRS):
+            own = i[a : a + PAIRS]
             # How many pairs of a row came before: the rows' first places among all pairs.
             j = np.arange(a, a + len(own)) - np.searchsorted(i, own) + own + 1
             low, high = np.minimum(size[own], size[j]), np.maximum(size[own], size[j])
@@ -323,7 +325,7 @@ def _near(num: int, den: int, mode: str):
             for w in np.unique(wide[x]).tolist():
                 for v in np.unique(wide[y[wide[x] == w]]).tolist():
                     at = np.flatnonzero((wide[x] == w) & (wide[y] == v))
-                    step = max(1, (8 << 20) // v)
+                    step = max(1, (1 << 20) // v)
                     for b in range(0, len(at), step):
                         k = at[b : b + step]
                         left = data[offsets[x[k]][:, None] + np.arange(w)].view(np.uint64)

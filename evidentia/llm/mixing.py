@@ -33,14 +33,15 @@ LENGTHS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, each: int = 3 * langid.ROWS_EACH) -> DataFrame:
-    """(text, domain) of labelled documents: toxic, else good or poor by quality. Rows without both labels take no part.
+    """(text, domain) of labelled documents: toxic, else good or poor by quality. Rows without both labels take no part;
+    an id with several rows is toxic if one says so, else poor if one does.
 
     Of each domain about ``each`` ids are chosen by their hash before any text is read, so the ids that go to all tasks
     are bounded whatever the sizes of both tables.
     """
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("poor")
     known = labels.where("doc_id is not null and quality is not null and toxic is not null")
-    rows = known.groupBy("doc_id").agg(F.min(domain).alias("domain"))
+    rows = known.groupBy("doc_id").agg(F.max(domain).alias("domain"))
     rows = common.written(rows, "labelled")
     counts = rows.groupBy("domain").count()
     luck = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
@@ -163,7 +164,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame) -> langid.SubwordModel | Non
 
 def repeated(df: DataFrame) -> DataFrame:
     """Each row as often as its ``copies``, without the columns of ``mix``."""
-    return df.where("copies > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_i", "posteriors", "tokens", "rate", "copies", "miss")
+    (i,) = common.fresh(df, "i")
+    return df.where("copies > 0").withColumn(i, F.explode(F.sequence(F.lit(1), F.col("copies")))).drop(i, "posteriors", "tokens", "rate", "copies", "miss")
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:

@@ -293,6 +293,7 @@ def packed(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     return ranked.mapInArrow(place, schema)
 
 
+@common.guarded("ids")
 def pack_documents(df: DataFrame, limit: int = LIMIT, vocabulary: str | None = None, text: str = "text") -> DataFrame:
     """Pieces of all rows' token ids with their places: the columns of ``df`` but the text, and piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -300,7 +301,7 @@ def pack_documents(df: DataFrame, limit: int = LIMIT, vocabulary: str | None = N
     token alone. Only longer ones are cut. Other columns may hold nulls; those
     with the added names are replaced. An empty table gives an empty table.
     """
-    df = common.without(df, "piece", "start", "length", "ids", "ids_crc32")
+    df = common.without(df, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
     pieces = tokenized(df, vocabulary, limit, END, text).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packed(pieces, limit)
 

@@ -112,6 +112,7 @@ def limits(counted: DataFrame, known: dict[str, tuple[list[float], list[float]]]
     return {r["_lang"]: (min(CHARS_MARGIN * r["c"], chars_distance), min(WORDS_MARGIN * r["w"], words_distance, under(wordless[r["_lang"]]))) for r in found}
 
 
+@common.guarded("_chars", "_words", "_w", "_t", "_own", "_rest", "_left0", "_left1", "_left2", "_left3", "_left4", "_left5", "_lines", "_windows", "_placed", "_starts", "_dc", "_dw")
 def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", chars_distance: float = MOST_CHARS_DISTANCE, words_distance: float = MOST_WORDS_DISTANCE, keep_text: bool = True) -> DataFrame:
     """``df`` with the base counts, base_failed, js_chars and js_words (to the nearest reference) and kept.
 
@@ -125,7 +126,7 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", chars_d
     Without ``keep_text`` the result has no text column, and none is written.
     """
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "js_chars", "js_words", "kept")
-    df = common.without(df, *added, "_chars", "_words", "_w", "_t", "_own", "_rest", *(f"_left{i}" for i in range(len(CLASSES))), "_lines", "_windows", "_placed", "_starts", "_dc", "_dw")
+    df = common.without(df, *added)
     # Counted once, written, and read again for the references and for the verdicts.
     texts = base_counts(df.withColumn("_t", F.coalesce(F.col(f"`{text}`"), F.lit(""))))
     counted = texts.withColumn("_own", common_words(F.col("_w"))).withColumn("_words", word_histogram(F.col("_own"), F.col("n_words")))

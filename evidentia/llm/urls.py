@@ -73,6 +73,7 @@ def host_and_path(url) -> tuple[F.Column, F.Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
+@common.guarded("_found")
 def judge_urls(df: DataFrame, rules: Iterable[tuple[str, str]] = RULES, default: str = "allow", url: str = "url") -> DataFrame:
     """``df`` with host, path, rule (null where none fits) and verdict (the rule's, else ``default``).
 
@@ -83,7 +84,7 @@ def judge_urls(df: DataFrame, rules: Iterable[tuple[str, str]] = RULES, default:
     """
     rules = list(rules)
     host, path = host_and_path(F.col(f"`{url}`"))
-    df = common.without(df, "host", "path", "rule", "verdict", "_found").select("*", host.alias("host"), path.alias("path"))
+    df = common.without(df, "host", "path", "rule", "verdict").select("*", host.alias("host"), path.alias("path"))
     if sum(len(r.encode()) for r, _ in rules) > TRIE_BYTES:
         return _judge_by_join(df, rules, default)
     held = df.sparkSession.sparkContext.broadcast(Trie(rules))
