@@ -8,9 +8,8 @@ from evidentia.functions import text
 from evidentia.operators import coverage, grounding
 
 from .reference_queries import table
+from .rule_queries import CYRILLIC, LATIN
 
-#: Latin letters as Cyrillic ones, so that the tables' words have endings to take off.
-LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшхыз"
 
 
 def cyrillic(c):

@@ -132,7 +132,7 @@ def check_share(spark, d):
 
 
 def gap_repeats(spark, d):
-    return evidence.repeated_gaps(table(spark, d, "conversations"), "text", 12)
+    return evidence.repeated_gaps(table(spark, d, "events").where("props is not null"), "props")
 
 
 def redact(spark, d):
@@ -228,7 +228,7 @@ union all select 'part size', p_size::varchar, 'part', 'part, row ' || p_partkey
     "p50_p95": """with r as (select event_type, value, row_number() over (partition by event_type order by value) as r, count(*) over (partition by event_type) as n from events where value is not null)
 select event_type, max(n) as n, median(value) as median, max(case when n > 1 and r = floor(n * 0.95) then value end) as p95 from r group by 1""",
     "check_share": "select round(avg((quality = 1)::int), 3) as quality_share, round(avg((toxic = 0)::int), 3) as clean_share, count(*) as n from labels",
-    "gap_repeats": r"select substr(trim(regexp_replace(lower(text), '[ \t\n\r\f]+', ' ', 'g')), 1, 12) as gap, count(*) as n from conversations group by 1 having count(*) > 1",
+    "gap_repeats": r"select substr(trim(regexp_replace(lower(props), '[ \t\n\r\f]+', ' ', 'g')), 1, 80) as gap, count(*) as n from events where props is not null group by 1 having count(*) > 1",
     "redact": "select c_custkey, c_name || ' Bearer *** sk-***' as masked from customer",
     "value_locations": None,
 }

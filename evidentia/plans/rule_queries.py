@@ -9,13 +9,14 @@ from evidentia.operators import evaluation, evidence, graph, lookup, retrieval
 
 from .reference_queries import table
 
-#: Inflected words, compounds and others.
-WORDS = ("приложение", "приложению", "приложения", "линия", "линии", "экструзией", "печатаются", "лп2", "дом", "флексо", "houses", "4.3", "находится", "калибрами", "её")
+#: Latin letters as Cyrillic ones, so that the tables' words have endings to take off.
+LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшхыз"
 REFS = ("Brand#11 1.1", "Brand#11 п. 1.7", "Brand#99 2.3", "9.9", "Brand#12 п. 1.2", "no number")
 
 
 def stem_terms(spark, d):
-    return spark.createDataFrame([(w,) for w in WORDS], "word string").select("word", text.stem(F.col("word")).alias("stem"))
+    words = table(spark, d, "documents").select(F.explode(F.array_distinct(text.tokenize(F.translate(F.lower("text"), LATIN, CYRILLIC)))).alias("word")).distinct()
+    return words.select("word", text.stem(F.col("word")).alias("stem"))
 
 
 def code_points(spark, d):
@@ -174,7 +175,9 @@ _DIAGNOSE = """select '{0}' as column_name, case when bool_or(v = '{1}') then 'p
 from (select distinct {0}::varchar as v from nation where {0} is not null)"""
 
 ORACLE_SQL = {
-    "stem_terms": f"with w(word) as (values {', '.join(f'({w!r})' for w in WORDS)}), s as (select word as own, {_STEM1} as word from w) select own as word, {_STEM1} as stem from s",
+    "stem_terms": rf"""with t as (select unnest(regexp_extract_all(translate(lower(text), '{LATIN}', '{CYRILLIC}'), '[\p{{L}}\p{{N}}]+(?:[-.][\p{{L}}\p{{N}}]+)*')) as w from documents),
+own as (select w as own, w as word from t union select x, x from (select unnest(regexp_split_to_array(w, '[-.]')) as x from t where regexp_matches(w, '[-.]'))),
+once as (select own, {_STEM1} as word from own) select own as word, {_STEM1} as stem from once""",
     "code_points": "select n_nationkey, array_to_string(list_transform(string_split(translate(n_name, 'AE', 'АЕ'), ''), lambda x: x || ' U+' || lpad(hex(unicode(x)), 4, '0')), ',') as points from nation",
     "stage_normalize": """with t as (select conv_id, turn, lower(role || [' На ЭКСТРУЗИИ', ' печати', ' кольцевании и печать', ' иное'][turn % 4 + 1]) as c from conversations)
 select conv_id, turn, case when contains(c, 'экструз') then 'экструзия' when contains(c, 'печат') then 'печать' when contains(c, 'кольцев') then 'кольцевание' end as stage from t""",

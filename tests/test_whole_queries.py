@@ -71,3 +71,12 @@ def test_known_citations(spark):
         (0, "Plan of line 4, rows 1, 2"): True, (0, "plan of line 4"): True, (0, "plan of line 4, row 3"): False, (0, "notes, row 1"): False, (0, "Notes"): True,
         (1, "line 4, row 2"): True, (1, "nothing here"): False,
     }
+
+
+def test_cosine_leaves_other_dimensions_out_and_refuses_mixed_queries(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0]), (4, None), (5, [])], "i int, v array<double>")
+    got = retrieval.cosine_topk_each(df, df.where("i < 3"), "i", "v", 5).collect()
+    assert sorted((r["query"], r["i"], r["score"]) for r in got) == [(1, 1, 1.0), (1, 2, 0.0), (2, 1, 0.0), (2, 2, 1.0)]
+    assert retrieval.cosine_topk_each(df, df.where("i = 4"), "i", "v", 5).count() == 0
+    with pytest.raises(ValueError, match="between 1 and 2"):
+        retrieval.cosine_topk_each(df, df.where("i in (1, 3)"), "i", "v", 5)
