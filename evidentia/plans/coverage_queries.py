@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia.functions import text
-from evidentia.operators import coverage, grounding
+from evidentia.operators import coverage, grounding, retrieval, stages
 
 from .reference_queries import table
 from .rule_queries import CYRILLIC, LATIN
@@ -105,6 +105,30 @@ def conflict_grounding(spark, d):
     return grounding.ground(conflicts, omissions, places, links, known, questions)
 
 
+def stage_of_turns(spark, d):
+    """Turns as questions about languages as stages: sources' first documents name some, and what only one language's documents have tells the others."""
+    docs = table(spark, d, "documents").where("lang is not null and text is not null")
+    stems = docs.select("lang", F.explode(text.terms(cyrillic(F.col("text")))).alias("term"))
+    lexicon = retrieval.exclusive_terms(stems, "lang").select("term", F.col("lang").alias("stage"))
+    opening = F.array_join(F.slice(F.regexp_extract_all(cyrillic(F.col("text")), F.lit(r"\p{L}+"), F.lit(0)), 1, 2), " ")
+    names = docs.groupBy(opening.alias("name")).agg(F.min("lang").alias("stage")).where("length(name) >= 5")
+    none = lambda kind: spark.createDataFrame([], kind)
+    turns = table(spark, d, "conversations").where("text is not null").select((F.col("conv_id") * 100 + F.col("turn")).alias("turn"), cyrillic(F.col("text")).alias("q"), F.lit(None).cast("string").alias("e"))
+    return stages.detect(turns, "turn", "q", "e", "e", "e", names, none("code string, stage string"), none("number int, stage string"), none("title string, number int"), lexicon)
+
+
+ORACLE_SQL["stage_of_turns"] = rf"""with d as (select lang, translate(lower(text), '{LATIN}', '{CYRILLIC}') as t from documents where lang is not null and text is not null),
+q as (select conv_id * 100 + turn as turn, trim(regexp_replace(translate(lower(text), '{LATIN}', '{CYRILLIC}'), '\s+', ' ', 'g')) as q from conversations where text is not null),
+dw as (select distinct lang, unnest(regexp_extract_all(t, '{TOKENS}')) as w from d), ds as (select * from dw union select lang, unnest(regexp_split_to_array(w, '[-.]')) from dw where regexp_matches(w, '[-.]')),
+qw as (select distinct turn, unnest(regexp_extract_all(q, '{TOKENS}')) as w from q), qs as (select * from qw union select turn, unnest(regexp_split_to_array(w, '[-.]')) from qw where regexp_matches(w, '[-.]')),
+stem as (select w, {stemmed('w')} as s from (select w from ds union select w from qs)),
+lexicon as (select s, min(lang) as lang from ds join stem using (w) where length(s) >= 4 and not regexp_matches(s, '^[0-9]+$') group by 1 having count(distinct lang) = 1),
+votes as (select turn, lang, count(*) as n from (select distinct turn, s from qs join stem using (w)) join lexicon using (s) group by 1, 2),
+top as (select turn, arg_max(lang, n) as lang from (select *, max(n) over (partition by turn) as most from votes) where n = most group by turn having count(*) = 1 and max(n) >= 2),
+names as (select array_to_string(regexp_extract_all(t, '\p{{L}}+')[1:2], ' ') as name, min(lang) as lang from d group by 1 having length(name) >= 5),
+named as (select turn, arg_min(lang, (-length(name), lang)) as lang from q join names on contains(q, name) group by 1)
+select q.turn, coalesce(n.lang, t.lang) as stage, case when n.turn is not null then 'document' when t.turn is not null then 'lexicon' else 'none' end as how
+from q left join named n using (turn) left join top t using (turn)"""
 ORACLE_SQL["conflict_grounding"] = rf"""with lines as (select l_orderkey as run, l_linenumber, l_partkey as p, l_suppkey as s, l_returnflag, l_linestatus, l_discount, translate(lower(p_name), '{LATIN}', '{CYRILLIC}') as name,
   l_linenumber::bigint * 1000000000 + l_partkey as place from lineitem join part on l_partkey = p_partkey where l_orderkey is not null and l_suppkey is not null),
 stem as (select name, w, {stemmed('w')} as stem from (select distinct name, unnest(regexp_extract_all(name, '{TOKENS}')) as w from lines)),
