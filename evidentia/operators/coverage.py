@@ -70,9 +70,9 @@ def uncovered(params: DataFrame, clauses: DataFrame, code: DataFrame, columns: D
         asked = asked.withColumn("own_tables", F.array().cast("array<string>"))
     else:
         facts = columns.groupBy(F.lower(F.trim("param")).alias("param")).agg(F.collect_set(F.col("table_name").cast("string")).alias("own_tables"), F.bool_or("is_number").alias("is_number"))
-        some = columns.agg(F.coalesce(F.bool_or("is_number"), F.lit(False)).alias("any_number"))
-        asked = asked.join(facts, "param", "left").join(F.broadcast(some), F.lit(True))  # one row
-        asked = asked.where("not any_number or is_number").withColumn("own_tables", F.coalesce("own_tables", F.array().cast("array<string>")))
+        asked = asked.join(facts, "param", "left").withColumn("own_tables", F.coalesce("own_tables", F.array().cast("array<string>")))
+        if columns.where("is_number").limit(1).count():
+            asked = asked.where("is_number")
     sets = clauses.select(F.struct("stage", "clause", "place").alias("s"), F.array_distinct(text.terms(F.col("text"))).alias("terms"), F.col("tables").cast("array<string>").alias("tables"))
     # The dictionary's place stays apart from the clause's.
     pairs = containing(sets, "terms", asked.select(F.col("param").alias("a"), F.col("place").alias("own_place"), "stems", "sense", "own_tables"), "stems")

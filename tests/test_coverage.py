@@ -96,6 +96,7 @@ def test_no_nested_loop_and_empty_tables(spark):
     p = coverage.parameters(spark.createDataFrame([], "i int, name string, ident string"), "name", "ident", "i")
     c = spark.createDataFrame([], "stage string, clause string, place int, text string, tables array<string>")
     f = spark.createDataFrame([], "stage string, place string, text string")
-    got = coverage.uncovered(p, c, f)
-    assert got.count() == 0 and coverage.with_places(got, f).count() == 0 and coverage.reverse_names(p).count() == 0
+    columns = spark.createDataFrame([], "param string, table_name string, is_number boolean")
+    got = coverage.uncovered(p, c, f, columns)
+    assert coverage.uncovered(p, c, f).count() == 0 and got.count() == 0 and coverage.with_places(got, f).count() == 0 and coverage.reverse_names(p).count() == 0
     assert "CartesianProduct" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
