@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text
 
-from .containment import candidates, containing, grams, longest_grams
+from .containment import containing, within
 
 def parameters(df: DataFrame, name: str, ident: str, order: str) -> DataFrame:
     """(param, place, stems, sense_terms, aliases): each name once, in lower case, by its first row in ``order``. Names without a stem of three letters and null identifiers are left out.
@@ -51,10 +51,9 @@ def sense(params: DataFrame) -> DataFrame:
 
 def read_by(params: DataFrame, code: DataFrame) -> DataFrame:
     """(stage, param): parameters one of whose aliases is in a fragment's text (stage, place, text), both without case, underscores and spaces."""
-    fragments = code.select(F.struct("stage", "place").alias("s"), text.code_key(F.col("text")).alias("body")).where("body is not null")
+    fragments = code.select("stage", text.code_key(F.col("text")).alias("body")).where("body is not null")
     names = params.select("param", F.explode(F.array_distinct(F.transform("aliases", text.code_key))).alias("a")).where("a <> ''")
-    found = candidates(fragments.select("s", grams(F.col("body")).alias("g")), "g", names.select("a").distinct().withColumn("w", longest_grams(F.col("a"))), "w")
-    verified = found.join(fragments, "s").where(F.contains("body", "a")).select(F.col("s.stage").alias("stage"), "a").distinct()
+    verified = within(fragments, "body", names, "a").select("stage", "a").distinct()
     return verified.join(names, "a").select("stage", "param").distinct()
 
 
