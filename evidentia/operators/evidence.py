@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text
 
-from . import containment
+from . import containment, shared
 
 
 def facts(df: DataFrame, claim: Column, value: Column, source: str, row: Column, call: str, order: str, most: int = 8) -> DataFrame:
@@ -27,11 +27,15 @@ def known_citations(answers: DataFrame, key: str, column: str, known: DataFrame)
     heads = known.select(F.col("head").alias("known_head")).distinct()
     own = split.select("head").distinct()
     like = alike(own.join(heads, F.col("head") == F.col("known_head"), "left_anti"), heads)
-    stands = own.join(heads, F.col("head") == F.col("known_head")).unionByName(like.groupBy("head").agg(F.min("known_head").alias("known_head")))
+    # The heads that stand for others are stored, so that Spark knows how few they are and answers stay where they are read.
+    stands = shared.stored(own.join(heads, F.col("head") == F.col("known_head")).unionByName(like.groupBy("head").agg(F.min("known_head").alias("known_head"))), "heads")
     placed = split.join(stands, "head", "left").select(key, "citation", "known_head", F.explode_outer("rows").alias("row"))
     hit = known.select(F.col("head").alias("known_head"), "row").distinct().withColumn("hit", F.lit(True))
-    fits = F.col("known_head").isNotNull() & (F.col("row").isNull() | F.coalesce("hit", F.lit(False)))
-    return placed.join(hit, ["known_head", "row"], "left").groupBy(key, "citation").agg(F.bool_and(fits).alias("is_known"))
+    # What has no row or no known head needs no look-up: as nulls, all of it would meet in one task.
+    asked = F.col("known_head").isNotNull() & F.col("row").isNotNull()
+    found = placed.where(asked).join(shared.growing(hit), ["known_head", "row"], "left").select(key, "citation", F.coalesce("hit", F.lit(False)).alias("fits"))
+    told = found.unionByName(placed.where(~asked).select(key, "citation", F.col("known_head").isNotNull().alias("fits")))
+    return told.groupBy(key, "citation").agg(F.bool_and("fits").alias("is_known"))
 
 
 def alike(heads: DataFrame, known: DataFrame) -> DataFrame:
@@ -44,14 +48,14 @@ def known_locators(cited: DataFrame, known: DataFrame) -> DataFrame:
     split = cited.select("run", "locator").distinct().withColumns({"head": text.locator_head(F.col("locator")), "rows": text.locator_rows(F.col("locator"))})
     heads = known.select("run", F.col("head").alias("known_head")).distinct()
     own = split.select("run", "head").distinct()
-    same = own.join(heads.withColumn("head", F.col("known_head")), ["run", "head"])
-    rest = own.join(same, ["run", "head"], "left_anti")
+    same = own.join(shared.growing(heads.withColumn("head", F.col("known_head"))), ["run", "head"])
+    rest = own.join(shared.growing(same), ["run", "head"], "left_anti")
     like = rest.join(alike(rest.select("head").distinct(), heads.select("known_head").distinct()), "head").join(heads, ["run", "known_head"], "left_semi")
     stands = same.unionByName(like.groupBy("run", "head").agg(F.min("known_head").alias("known_head")))
-    placed = split.join(stands, ["run", "head"], "left").select("run", "locator", "known_head", F.explode_outer("rows").alias("row"))
+    placed = split.join(shared.growing(stands), ["run", "head"], "left").select("run", "locator", "known_head", F.explode_outer("rows").alias("row"))
     hit = known.select("run", F.col("head").alias("known_head"), "row").distinct().withColumn("hit", F.lit(True))
     fits = F.col("known_head").isNotNull() & (F.col("row").isNull() | F.coalesce("hit", F.lit(False)))
-    return placed.join(hit, ["run", "known_head", "row"], "left").groupBy("run", "locator").agg(F.bool_and(fits).alias("is_known"))
+    return placed.join(shared.growing(hit), ["run", "known_head", "row"], "left").groupBy("run", "locator").agg(F.bool_and(fits).alias("is_known"))
 
 
 def coverage(seen: DataFrame, key: str, source: str, required: list[str], runs: DataFrame | None = None) -> DataFrame:

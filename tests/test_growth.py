@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from evidentia.operators import containment
+from evidentia.operators import cascade, containment, evidence, grounding
 
 
 def plan(df) -> str:
@@ -35,3 +35,13 @@ def test_sets_with_all_that_is_asked_for_by_both_ways(spark, monkeypatch, most):
     assert sorted((r["a"], r["s"], r["x"]) for r in got.collect()) == sorted((a, s, x) for a, w, x in asked for s, e in sets if w and set(w) <= set(e))
     if most:
         assert "Exchange hash" not in plan(got)
+
+
+def test_citations_without_a_row_or_a_known_head_are_not_looked_up(spark):
+    texts = ["[Orders, row 1]", "[Orders, row 9] [orders]", "[nothing at all] [orders, rows 1, 2]", "[the Orders list, row 2] [x, row 1]", "[]", None]
+    known = spark.createDataFrame([("orders", 1), ("orders", 2)], "head string, row long")
+    got = evidence.known_citations(spark.createDataFrame(list(enumerate(texts)), "i int, a string"), "i", "a", known)
+    assert {(r["i"], r["citation"]): r["is_known"] for r in got.collect()} == {
+        (0, "Orders, row 1"): True, (1, "Orders, row 9"): False, (1, "orders"): True, (2, "nothing at all"): False, (2, "orders, rows 1, 2"): True, (3, "the Orders list, row 2"): True, (3, "x, row 1"): False,
+    }
+    assert "isnotnull(row" in plan(got).lower()  # nulls don't go to the join
