@@ -41,12 +41,13 @@ def resolve(calls: DataFrame, catalogue: DataFrame) -> DataFrame:
     asked = calls.select("call", F.regexp_extract(F.coalesce("ref", F.lit("")), r"(\d+)", 1).alias("number"), text.normalize_key(F.coalesce("ref", F.lit(""))).alias("key"))
     known = catalogue.select("place", "table_no", text.normalize_key(F.col("slug")).alias("slug"), text.normalize_key(F.col("title")).alias("title"))
     named = known.select("place", "table_no", F.explode(F.array_distinct(F.array("slug", "title"))).alias("key")).where("key <> ''")
-    held = containment.inside(known, "title", asked, "key").join(known.select("place", "table_no", "title"), "title").select("place", "table_no", "key")
-    arms = [(1, "number", asked.join(known.select("place", "table_no", F.col("table_no").alias("number")), "number")), (2, "title", asked.join(named, "key")), (3, "part", asked.join(held, "key"))]
+    # The catalogue's side is stored or named as small: of two sides that both look small in their files, calls would be broadcast.
+    held = shared.stored(containment.inside(known, "title", asked, "key").join(known.select("place", "table_no", "title"), "title").select("place", "table_no", "key"), "held")
+    arms = [(1, "number", asked.join(F.broadcast(known.select("place", "table_no", F.col("table_no").alias("number"))), "number")), (2, "title", asked.join(F.broadcast(named), "key")), (3, "part", asked.join(held, "key"))]
     found = reduce(DataFrame.unionByName, [df.select("call", F.lit(i).alias("i"), "place", "table_no", F.lit(how).alias("how")) for i, how, df in arms])
     best = found.groupBy("call").agg(F.min(F.struct("i", "place", "table_no", "how")).alias("b"))
     hints = catalogue.select(F.trim("appendix").alias("number"), F.concat_ws(" ", "document", "table_no").alias("h")).where("number <> ''").groupBy("number").agg(F.array_join(F.array_sort(F.collect_set("h")), "; ").alias("hint"))
-    told = asked.join(best, "call", "left").join(hints, "number", "left")
+    told = asked.join(shared.growing(best), "call", "left").join(hints, "number", "left")
     how = F.coalesce("b.how", F.when(F.col("hint").isNotNull(), "appendix"), F.lit("unknown"))
     return told.select("call", how.alias("how"), F.col("b.table_no").alias("table_no"), F.when(F.col("b").isNull(), F.col("hint")).alias("hint"))
 
@@ -75,36 +76,42 @@ def lookups(calls: DataFrame, catalogue: DataFrame, headers: DataFrame, rows: Da
     """
     resolved = shared.stored(resolve(calls, catalogue), "resolved")
     wanted = calls.select("call", F.posexplode(F.coalesce("filters", F.array().cast("array<struct<name:string,value:string>>"))).alias("i", "f"))
-    wanted = wanted.select("call", "i", F.col("f.name").alias("name"), F.col("f.value").alias("value")).join(resolved.where("table_no is not null").select("call", "table_no"), "call")
+    wanted = wanted.select("call", "i", F.col("f.name").alias("name"), F.col("f.value").alias("value")).join(shared.growing(resolved.where("table_no is not null").select("call", "table_no")), "call")
     filters = shared.stored(wanted.join(columns_of(wanted, headers), ["table_no", "name"], "left"), "filters")
     bad = filters.groupBy("call").agg(F.count_if(F.col("column").isNull()).alias("bad"), F.min(F.when(F.col("column").isNull(), F.col("name"))).alias("bad_name"))
 
     elements = F.transform(F.map_entries("cells"), lambda e: cell(F.col("table_no"), e["key"], e["value"]))
     sets = rows.select(F.struct("table_no", "row").alias("s"), elements.alias("e"))
     every = F.collect_set(F.when(F.col("value").isNotNull(), cell("table_no", "column", "value")).otherwise(F.lit("-")))  # no cell is a dash
-    asked = filters.where("column is not null").groupBy("call").agg(every.alias("w")).join(bad.where("bad = 0").select("call"), "call").select(F.col("call").alias("a"), "w")
+    asked = filters.where("column is not null").groupBy("call").agg(every.alias("w")).join(shared.growing(bad.where("bad = 0").select("call")), "call").select(F.col("call").alias("a"), "w")
     # Equal questions are asked once.
     questions = asked.groupBy("w").agg(F.min("a").alias("a"))
     hits = containment.containing(sets, "e", questions, "w").groupBy("w").agg(F.count("*").alias("total"), F.min("s.row").alias("first_row"))
+    hits = shared.stored(hits, "hits")
     whole = rows.groupBy("table_no").agg(F.count("*").alias("total"), F.min("row").alias("first_row"))
-    free = resolved.where("table_no is not null").join(filters.select("call").distinct(), "call", "left_anti").join(whole, "table_no").select("call", "total", "first_row")
+    free = resolved.where("table_no is not null").join(shared.growing(filters.select("call").distinct()), "call", "left_anti").join(whole, "table_no").select("call", "total", "first_row")
     found = asked.join(hits, "w").select(F.col("a").alias("call"), "total", "first_row").unionByName(free)
 
-    # What the columns of missed calls hold: each distinct value once.
-    values = rows.select("table_no", F.explode("cells").alias("column", "value")).groupBy("table_no", "column", "value").agg(F.lit(True).alias("there"))
-    keyed = values.select("table_no", "column", "value", text.normalize_key(F.col("value")).alias("key"))
-    missed = filters.join(bad.where("bad = 0").select("call"), "call").join(found.select("call"), "call", "left_anti").withColumn("key", text.normalize_key(F.col("value")))
-    same = missed.join(values, ["table_no", "column", "value"], "left").where("there is null").drop("there")
-    twins = keyed.groupBy("table_no", "column", "key").agg(F.min("value").alias("twin"))
-    absent = shared.stored(same.join(twins, ["table_no", "column", "key"], "left"), "absent")
+    # What the columns of missed calls hold: equal cells are looked for once, so calls meet what was found of them only.
+    values = rows.select("table_no", F.explode("cells").alias("column", "value"))
+    missed = filters.join(shared.growing(bad.where("bad = 0").select("call")), "call").join(shared.growing(found.select("call")), "call", "left_anti")
+    wanted_cells = missed.where("value is not null").select("table_no", "column", "value").distinct()
+    asked_cells = shared.stored(wanted_cells.withColumn("key", text.normalize_key(F.col("value"))), "cells")
+    keyed = values.withColumn("key", text.normalize_key(F.col("value"))).join(asked_cells.select("key").distinct(), "key", "left_semi").groupBy("table_no", "column", "value", "key").agg(F.lit(True).alias("there"))
+    known = shared.stored(keyed, "known")
+    twins = known.groupBy("table_no", "column", "key").agg(F.min("value").alias("twin"))
+    told_cells = asked_cells.join(known.drop("key"), ["table_no", "column", "value"], "left").join(twins, ["table_no", "column", "key"], "left")
+    judged = shared.stored(told_cells, "judged")
+    absent = shared.stored(missed.join(judged, ["table_no", "column", "value"], "left").where("there is null").drop("there"), "absent")
     alike = absent.where("twin is not null").groupBy("call").agg(F.min(F.struct("i", F.concat_ws(" ~ ", "value", "twin").alias("d"))).alias("x")).select("call", F.col("x.d").alias("look_alike"))
-    others = keyed.where(F.length("key") >= 2).join(headers.select("table_no", "column", "position"), ["table_no", "column"]).groupBy("key", "table_no").agg(F.min(F.struct("position", "column")).alias("p"))
-    places = absent.where("twin is null").join(alike, "call", "left_anti").select("call", "key", F.col("table_no").alias("own")).join(others, "key").where("table_no <> own")
+    others = known.where(F.length("key") >= 2).join(headers.select("table_no", "column", "position"), ["table_no", "column"]).groupBy("key", "table_no").agg(F.min(F.struct("position", "column")).alias("p"))
+    others = shared.stored(others, "others")
+    places = absent.where("twin is null").join(shared.growing(alike), "call", "left_anti").select("call", "key", F.col("table_no").alias("own")).join(others, "key").where("table_no <> own")
     ordered = places.join(catalogue.select("table_no", "place"), "table_no").groupBy("call", "table_no", "place").agg(F.min("p").alias("p"))
     near = ordered.withColumn("r", F.row_number().over(Window.partitionBy("call").orderBy("place"))).where(F.col("r") <= most)
     listed = near.groupBy("call").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat_ws(", ", F.concat(F.lit("table "), "table_no"), "p.column").alias("t")))), lambda x: x["t"]), "; ").alias("elsewhere"))
 
-    out = resolved.join(bad, "call", "left").join(found, "call", "left").join(alike, "call", "left").join(listed, "call", "left")
+    out = reduce(lambda a, b: a.join(shared.growing(b), "call", "left"), (bad, found, alike, listed), resolved)
     outcome = (
         F.when(F.col("how") == "appendix", "appendix").when(F.col("how") == "unknown", "unknown table").when(F.col("bad") > 0, "unknown column").when(F.col("total") > 0, "found")
         .when(F.col("look_alike").isNotNull(), "look-alike").when(F.col("elsewhere").isNotNull(), "elsewhere").otherwise("missing")
