@@ -24,12 +24,19 @@ def grounded_omissions(omissions: DataFrame, places: DataFrame, links: DataFrame
 
     The code is, of those read, the first that ``links`` (clause, link_order, code) leads to from the clause through a table, else the run's first.
     """
-    clauses = omissions.join(read.withColumnRenamed("locator", "clause"), ["run", "clause"], "left_semi")
-    code = places.join(read.withColumnRenamed("locator", "code"), ["run", "code"], "left_semi")
+    clauses = omissions.join(shared.growing(read.withColumnRenamed("locator", "clause")), ["run", "clause"], "left_semi")
+    code = places.join(shared.growing(read.withColumnRenamed("locator", "code")), ["run", "code"], "left_semi")
     first = code.groupBy("run").agg(F.min(F.struct("code_order", "code")).alias("any"))
-    linked = clauses.select("run", "clause").distinct().join(links, "clause").join(code.select("run", "code").distinct(), ["run", "code"])
+    # A clause's links or its run's code, whichever are fewer, are gone through, so a clause of many runs with many links isn't multiplied by both.
+    codes = code.select("run", "code").distinct()
+    links = links.groupBy("clause", "code").agg(F.min("link_order").alias("link_order"))
+    one = clauses.select("run", "clause").distinct().join(shared.growing(codes.groupBy("run").agg(F.count("*").alias("n_codes"))), "run")
+    one = shared.stored(one.join(shared.growing(links.groupBy("clause").agg(F.count("*").alias("n_links"))), "clause"), "linked")
+    grow, by_link, by_code = shared.growing, F.col("n_links") <= F.col("n_codes"), F.col("n_links") > F.col("n_codes")
+    linked = one.where(by_link).select("run", "clause").join(grow(links), "clause").join(grow(codes), ["run", "code"])
+    linked = linked.unionByName(one.where(by_code).select("run", "clause").join(grow(codes), "run").join(grow(links), ["clause", "code"]))
     best = linked.groupBy("run", "clause").agg(F.min(F.struct("link_order", "code")).alias("near"))
-    return clauses.join(first, "run").join(best, ["run", "clause"], "left").select("run", "place", "param", "clause", F.coalesce("near.code", "any.code").alias("code"))
+    return clauses.join(shared.growing(first), "run").join(shared.growing(best), ["run", "clause"], "left").select("run", "place", "param", "clause", F.coalesce("near.code", "any.code").alias("code"))
 
 
 def stems(df: DataFrame, column: str, *keys: str) -> DataFrame:
@@ -49,22 +56,23 @@ def ground(conflicts: DataFrame, omissions: DataFrame, places: DataFrame, links:
     # One look-up for all that is cited anywhere.
     read = shared.stored(evidence.known_locators(cited.where("locator is not null"), known).where("is_known").select("run", "locator"), "read")
     side = lambda c: read.select("run", F.col("locator").alias(c), F.lit(True).alias(f"{c}_known"))
-    both = conflicts.join(side("expected_source"), ["run", "expected_source"], "left").join(side("actual_source"), ["run", "actual_source"], "left")
+    grow = shared.growing
+    both = conflicts.join(grow(side("expected_source")), ["run", "expected_source"], "left").join(grow(side("actual_source")), ["run", "actual_source"], "left")
     stays = F.coalesce(F.col("expected_source_known") & F.col("actual_source_known"), F.lit(False))
     judged = both.withColumn("stays", stays)
 
     shown = shared.stored(grounded_omissions(omissions, places, links, read), "shown")
     by_stem = stems(omissions, "param", "run", "place").groupBy("run", "stem").agg(F.min("place").alias("place"))
-    match = stems(judged.where("not stays"), "subject", "run", "n").join(by_stem, ["run", "stem"]).groupBy("run", "n").agg(F.min("place").alias("place"))
-    stand = match.join(shown, ["run", "place"]).select("run", "n", F.struct("param", "clause", "code").alias("o"))
-    named = judged.join(stand, ["run", "n"], "left")
+    match = stems(judged.where("not stays"), "subject", "run", "n").join(grow(by_stem), ["run", "stem"]).groupBy("run", "n").agg(F.min("place").alias("place"))
+    stand = match.join(grow(shown), ["run", "place"]).select("run", "n", F.struct("param", "clause", "code").alias("o"))
+    named = judged.join(grow(stand), ["run", "n"], "left")
     instead = ~F.col("stays") & F.col("o").isNotNull()
     pick = lambda a, b: F.when(instead, F.col(f"o.{a}")).otherwise(F.col(b)).alias(b)
     out = shared.stored(named.select("run", F.when(F.col("stays"), "grounded").when(instead, "rescued").otherwise("dropped").alias("origin"), "n", pick("param", "subject"), pick("clause", "expected_source"), pick("code", "actual_source")), "judged")
 
     taken = stems(out.where("origin <> 'dropped'"), "subject", "run").distinct()
-    free = shown.join(stems(shown, "param", "run", "place").join(taken, ["run", "stem"], "left_semi").select("run", "place").distinct(), ["run", "place"], "left_anti")
+    free = shown.join(grow(stems(shown, "param", "run", "place").join(grow(taken), ["run", "stem"], "left_semi").select("run", "place").distinct()), ["run", "place"], "left_anti")
     asked, own = F.array_distinct(text.terms(F.col("question"))), F.array_distinct(text.terms(F.col("param")))
     relevant = F.coalesce("checking", F.lit(False)) | ((F.size(own) > 0) & (F.size(F.array_except(own, asked)) == 0))
-    found = free.join(questions, "run").where(relevant)
+    found = free.join(grow(questions), "run").where(relevant)
     return out.unionByName(found.select("run", F.lit("found").alias("origin"), F.col("place").alias("n"), F.col("param").alias("subject"), F.col("clause").alias("expected_source"), F.col("code").alias("actual_source")))

@@ -45,3 +45,25 @@ def test_citations_without_a_row_or_a_known_head_are_not_looked_up(spark):
         (0, "Orders, row 1"): True, (1, "Orders, row 9"): False, (1, "orders"): True, (2, "nothing at all"): False, (2, "orders, rows 1, 2"): True, (3, "the Orders list, row 2"): True, (3, "x, row 1"): False,
     }
     assert "isnotnull(row" in plan(got).lower()  # nulls don't go to the join
+
+
+def test_calls_are_not_broadcast(spark):
+    """Calls in compressed files looked small enough to be sent to every task, and to the driver first."""
+    region = spark.createDataFrame([(1, "ASIA"), (2, "AFRICA")], "k int, name string")
+    rows = cascade.as_rows({"1": (region, "k")})
+    catalogue = spark.createDataFrame([(1, "1", "region", "Regions", None, None)], "place int, table_no string, slug string, title string, document string, appendix string")
+    headers = spark.createDataFrame([("1", 0, "k"), ("1", 1, "name")], "table_no string, position int, column string")
+    calls = spark.createDataFrame([(1, "region", [("name", "ASIA")]), (2, "1", [("name", "asia")]), (3, "1", [("name", None)]), (4, "reg", [("k", "7"), ("name", "ASIA")])], "call int, ref string, filters array<struct<name:string,value:string>>")
+    got = cascade.lookups(calls, catalogue, headers, rows)
+    assert {r["call"]: r["outcome"] for r in got.collect()} == {1: "found", 2: "look-alike", 3: "missing", 4: "missing"}
+    assert "BroadcastHashJoin [call" not in plan(got)
+
+
+def test_runs_are_not_broadcast_and_links_are_gone_through_by_the_fewer(spark):
+    omissions = spark.createDataFrame([(r, r, "p", "c") for r in range(9)], "run int, place int, param string, clause string")
+    places = spark.createDataFrame([(r, k, f"f{k}") for r in range(9) for k in range(r % 3 + 1)], "run int, code_order int, code string")
+    links = spark.createDataFrame([("c", 9 - k, f"f{k}") for k in range(2)] + [("c", 1, "f7"), ("c", 20, "f0")], "clause string, link_order int, code string")
+    read = spark.createDataFrame([(r, x) for r in range(9) for x in ("c", "f0", "f1", "f2")[: 5 - r % 2]], "run int, locator string")
+    got = grounding.grounded_omissions(omissions, places, links, read)
+    assert {r["run"]: r["code"] for r in got.collect()} == {r: "f0" if r % 3 == 0 else "f1" for r in range(9)}
+    assert "BroadcastHashJoin [run" not in plan(got)
