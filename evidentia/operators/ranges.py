@@ -4,13 +4,19 @@ A range of width w belongs to the level l with 2^(l-1) < w <= 2^l and is in two
 bins of that level at most; a value is in one bin of every level that occurs.
 Levels are few, as they are exponents; so neither side is multiplied by more,
 and nothing is compared but what shares a bin.
+
+Where only a number and a least value are asked for each range, pairs aren't
+made: distinct values have ranks, a range is a run of ranks, its number is a
+difference of running sums, and its least one is that of a few aligned blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import shared
+
 
 def bounds(df: DataFrame, low: str | None = None, high: str | None = None, exact: str | None = None) -> DataFrame:
     """``df`` with _low and _high: its range columns where a row has both, else its exact value; an error if it has neither kind of column."""
@@ -49,3 +55,41 @@ def in_ranges(values: DataFrame, value: str, table: DataFrame, low: str | None =
         bins = [F.struct(F.lit(1 << 20).alias("l"), F.col("_value").alias("b"))]
     probes = own.withColumn("_p", F.explode(F.array(*bins))).withColumns({"_level": F.col("_p.l"), "_bin": F.col("_p.b")}).drop("_p")
     return probes.join(placed, ["_level", "_bin"]).where("_value between _low and _high").drop("_level", "_bin", "_value", "_low", "_high")
+
+
+def _ranked(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """(x, side, rank, upto, m): ``points`` (x, n, m), side 1, and the ends of ``spans``, sides 0 and 2, with the numbers of points and of rows up to them.
+
+    All are sorted by ranges, so no task sorts them alone; only the tasks' sums meet.
+    """
+    end = lambda c, side: spans.select(F.col(c).alias("x")).distinct().select("x", F.lit(side).alias("side"))
+    every = points.withColumn("side", F.lit(1)).unionByName(end("_low", 0), allowMissingColumns=True).unionByName(end("_high", 2), allowMissingColumns=True)
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = shared.stored(every.repartitionByRange(parts, "x").withColumn("part", F.spark_partition_id()), "ranks")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    sums = placed.groupBy("part").agg(F.count("n").alias("p"), F.sum("n").alias("q")).select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in "pq"])
+    upto = Window.partitionBy("part").orderBy("x", "side").rowsBetween(Window.unboundedPreceding, 0)
+    counted = placed.withColumns({"p": F.count("n").over(upto), "q": F.coalesce(F.sum("n").over(upto), F.lit(0))})
+    return counted.join(F.broadcast(sums), "part").select("x", "side", (F.col("p0") + F.col("p")).alias("rank"), (F.col("q0") + F.col("q")).alias("upto"), "m")
+
+
+def summary(values: DataFrame, value: str, least: str, table: DataFrame, low: str | None = None, high: str | None = None, exact: str | None = None) -> DataFrame:
+    """``table`` with n and first, the number and the smallest ``least`` of the rows of ``in_ranges`` that each of its rows has there; rows without any are left out.
+
+    Work grows with both tables, not with their pairs.
+    """
+    ranged = bounds(table, low, high, exact).where("_low <= _high and not isnan(_low) and not isnan(_high)").withColumns({"_low": F.col("_low") + 0.0, "_high": F.col("_high") + 0.0})
+    own = values.select((F.col(f"`{value}`").cast("double") + 0.0).alias("x"), F.col(f"`{least}`").alias("m")).where("x is not null and not isnan(x)")
+    points = own.groupBy("x").agg(F.count("*").alias("n"), F.min("m").alias("m"))
+    ranked = shared.stored(_ranked(points, ranged.select("_low", "_high")), "ranked")
+    end = lambda side, c, x: ranked.where(F.col("side") == side).select(F.col("x").alias(c), F.col("rank").alias(x), F.col("upto").alias(f"n{x}"))
+    runs = ranged.select("_low", "_high").distinct().join(end(0, "_low", "a"), "_low").join(end(2, "_high", "b"), "_high").where("a < b")
+    levels = f"sequence(0, {max(1, ranked.where('side = 1').count()).bit_length()})"
+    # The points a to b - 1 are aligned blocks of 2^k, of each size one on either side at most.
+    first, last = "shiftright(a + shiftleft(1L, k) - 1, k)", "shiftright(b, k)"
+    left = f"if({first} < {last} and {first} % 2 = 1, struct(k as k, {first} as i), null)"
+    right = f"if({first} < {last} and {last} % 2 = 1, struct(k as k, {last} - 1 as i), null)"
+    asked = runs.withColumn("block", F.expr(f"explode(filter(flatten(transform({levels}, k -> array({left}, {right}))), x -> x is not null))")).select("_low", "_high", (F.col("nb") - F.col("na")).alias("n"), "block.k", "block.i")
+    blocks = ranked.where("side = 1").select(F.expr(f"explode(transform({levels}, k -> struct(k as k, shiftright(rank - 1, k) as i)))").alias("block"), "m").groupBy("block.k", "block.i").agg(F.min("m").alias("m"))
+    found = asked.join(blocks, ["k", "i"]).groupBy("_low", "_high").agg(F.first("n").alias("n"), F.min("m").alias("first"))
+    return ranged.join(found, ["_low", "_high"]).drop("_low", "_high")

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from evidentia.operators import cascade, containment, evidence, grounding
+from evidentia.operators import cascade, containment, evidence, grounding, ranges
 
 
 def plan(df) -> str:
@@ -67,3 +67,28 @@ def test_runs_are_not_broadcast_and_links_are_gone_through_by_the_fewer(spark):
     got = grounding.grounded_omissions(omissions, places, links, read)
     assert {r["run"]: r["code"] for r in got.collect()} == {r: "f0" if r % 3 == 0 else "f1" for r in range(9)}
     assert "BroadcastHashJoin [run" not in plan(got)
+
+
+def test_numbers_in_ranges_without_their_pairs(spark):
+    """Half a million values in each of 20,000 ranges are 10^10 pairs."""
+    values = spark.range(500_000).selectExpr("cast(id as double) / 7 as v", "if(id % 3 = 0, null, 500000 - id) as m")
+    table = spark.range(20_000).selectExpr("id as k", "-1.0 * id as low", "1e6 + id as high")
+    got = ranges.summary(values, "v", "m", table, "low", "high").agg({"k": "count", "n": "min", "first": "max"}).first()
+    assert sorted(got) == [1, 20_000, 500_000]
+
+
+def test_numbers_in_ranges_against_every_pair(spark):
+    rng = random.Random(9)
+    number = lambda: rng.choice([rng.uniform(-5, 5), float(rng.randrange(-20, 20)), 0.0, -0.0, 1e300, float("inf"), None, float("nan")])
+    values = [(number(), rng.choice([None, rng.randrange(100)])) for _ in range(300)]
+    table = [(i, a, rng.choice([a, number(), (a or 0.0) + 2.0 ** rng.randrange(-3, 6)]), number()) for i in range(200) for a in [number()]]
+    want, fine = {}, lambda x: x is not None and x == x
+    for k, a, b, e in table:
+        low, high = (a, b) if a is not None and b is not None else (e, e)
+        held = [m for x, m in values if fine(x) and fine(low) and fine(high) and low <= x <= high]
+        if held:
+            want[k] = len(held), min((m for m in held if m is not None), default=None)
+    v, t = spark.createDataFrame(values, "v double, m int"), spark.createDataFrame(table, "k int, a double, b double, e double")
+    got = ranges.summary(v, "v", "m", t, "a", "b", "e")
+    assert {r["k"]: (r["n"], r["first"]) for r in got.collect()} == want and len(want) > 100
+    assert ranges.summary(v.limit(0), "v", "m", t, "a", "b", "e").count() == ranges.summary(v, "v", "m", t.limit(0), "a", "b", "e").count() == 0
