@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from evidentia.operators import cascade, containment, evidence, grounding, ranges
+from evidentia.operators import cascade, containment, dispatch, evidence, grounding, ranges
 
 
 def plan(df) -> str:
@@ -92,3 +92,24 @@ def test_numbers_in_ranges_against_every_pair(spark):
     got = ranges.summary(v, "v", "m", t, "a", "b", "e")
     assert {r["k"]: (r["n"], r["first"]) for r in got.collect()} == want and len(want) > 100
     assert ranges.summary(v.limit(0), "v", "m", t, "a", "b", "e").count() == ranges.summary(v, "v", "m", t.limit(0), "a", "b", "e").count() == 0
+
+
+def test_questions_meet_documents_in_blocks(spark):
+    """The same, whatever the blocks, also where keys or requests are repeated."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(f"k{i % 50:02}", " ".join(rng.choices(words, k=rng.randrange(9))) or None, rng.choice(["A", "B", None])) for i in range(60)], "key string, text string, stage string")
+    asked = spark.createDataFrame([(i, rng.choice([None, "", "w1 w2", "w3 w3 w4", "w9", "none"]), rng.choice([None, "A", "C"])) for i in range(90)], "req int, query string, stage string")
+    told = lambda **sizes: sorted(map(tuple, dispatch.bm25_each(asked, docs, 3, **sizes).collect()))
+    whole = told()
+    assert told(block=7, most=2) == whole and len({r for r, *_ in whole}) > 20
+
+
+def test_equal_requests_are_answered_once(spark):
+    """4,000 equal requests of 4,000 names each are no 16,000,000 rows."""
+    functions = spark.range(4000).selectExpr("id as key", "'name ' || id as full_name", "true as planning", "array('t') as tables", "'text' as text")
+    requests = spark.range(4000).selectExpr("id as req", "null::string as query", "null::string as clause", "if(id % 2 = 0, 't', null) as table_no", "'name' as symbol")
+    got = dispatch.search_code(requests, functions, spark.createDataFrame([], "clause string, table_no string, place int"), 3, 2)
+    assert {tuple(r) for r in got.groupBy("way", "rank", "key", "total").count().collect()} == {(w, k + 1, k, 4000, 2000) for w in ("table", "symbol") for k in range(2)}
+    first = dispatch._ranked(requests.select("req", "table_no"), functions.selectExpr("concat('t', key % 2) as table_no", "key"), ["table_no"], 2)
+    assert "WindowGroupLimit" in plan(first)  # no task holds all names
