@@ -8,13 +8,17 @@ way of its grams.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text
 
+from . import shared
 from .containment import containing, within
 
+
 def parameters(df: DataFrame, name: str, ident: str, order: str) -> DataFrame:
     """(param, place, stems, sense_terms, aliases): each name once, in lower case, by its first row in ``order``. Names without a stem of three letters and null identifiers are left out.
 
@@ -72,15 +76,18 @@ def uncovered(params: DataFrame, clauses: DataFrame, code: DataFrame, columns: D
         asked = asked.join(facts, "param", "left").withColumn("own_tables", F.coalesce("own_tables", F.array().cast("array<string>")))
         if columns.where("is_number").limit(1).count():
             asked = asked.where("is_number")
-    sets = clauses.select(F.struct("stage", "clause", "place").alias("s"), F.array_distinct(text.terms(F.col("text"))).alias("terms"), F.col("tables").cast("array<string>").alias("tables"))
+    # A clause's number is its rank by place and name; ranks, unlike names, are reduced in hash maps, so pairs are neither sorted nor spilled.
+    named = shared.stored(clauses.select("stage", "clause", "place", F.array_distinct(text.terms(F.col("text"))).alias("terms"), F.col("tables").cast("array<string>").alias("tables")).orderBy("place", "clause").withColumn("s", F.monotonically_increasing_id()), "clauses")
     # The dictionary's place stays apart from the clause's.
-    pairs = containing(sets, "terms", asked.select(F.col("param").alias("a"), F.col("place").alias("own_place"), "stems", "sense", "own_tables"), "stems")
+    pairs = containing(named.select("stage", "s", "terms", "tables"), "terms", asked.select(F.col("param").alias("a"), F.col("place").alias("own_place"), "stems", "sense", "own_tables"), "stems")
     refers = F.coalesce(F.arrays_overlap("tables", "own_tables"), F.lit(False))
-    best = F.struct((~refers).alias("other"), (-F.size(F.array_intersect("sense", "terms"))).alias("m"), F.col("s.place").alias("p"), F.col("s.clause").alias("clause"))
-    chosen = pairs.groupBy(F.col("s.stage").alias("stage"), F.col("a").alias("param"), "own_place").agg(F.min(best).alias("best"))
+    number = lambda c, digits: c.cast("decimal(38,0)") * F.lit(Decimal(10**digits)).cast("decimal(38,0)")
+    best = (number(F.when(refers, 0).otherwise(1), 30) + number(F.lit(1 << 31) - F.size(F.array_intersect("sense", "terms")), 19) + F.col("s")).cast("decimal(38,0)")
+    least = pairs.groupBy("stage", F.col("a").alias("param"), "own_place").agg(F.min(best).alias("best")).withColumn("s", (F.col("best") % F.lit(Decimal(10**19)).cast("decimal(38,0)")).cast("long"))
+    chosen = least.join(named.select("s", "clause"), "s").select("stage", "param", "own_place", "clause")
     missed = chosen.join(read_by(params, code), ["stage", "param"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("stage").orderBy("own_place", "param"))
-    return missed.withColumn("rank", rank).where(F.col("rank") <= most).select("stage", "rank", "param", F.col("best.clause").alias("clause"))
+    return missed.withColumn("rank", rank).where(F.col("rank") <= most).select("stage", "rank", "param", "clause")
 
 
 def with_places(missed: DataFrame, code: DataFrame) -> DataFrame:

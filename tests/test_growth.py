@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from evidentia.operators import cascade, containment, dispatch, evidence, grounding, ranges
+from evidentia.operators import cascade, containment, coverage, dispatch, evidence, grounding, ranges
 
 
 def plan(df) -> str:
@@ -113,3 +113,13 @@ def test_equal_requests_are_answered_once(spark):
     assert {tuple(r) for r in got.groupBy("way", "rank", "key", "total").count().collect()} == {(w, k + 1, k, 4000, 2000) for w in ("table", "symbol") for k in range(2)}
     first = dispatch._ranked(requests.select("req", "table_no"), functions.selectExpr("concat('t', key % 2) as table_no", "key"), ["table_no"], 2)
     assert "WindowGroupLimit" in plan(first)  # no task holds all names
+
+
+def test_pairs_of_parameters_and_clauses_are_reduced_without_sorting(spark):
+    rows = spark.createDataFrame([(i, f"линия печать{i % 3}", f"line_{i}") for i in range(9)], "place int, name string, ident string")
+    clauses = spark.createDataFrame([("s", f"c{i}", 9 - i, f"линия печать{i % 3}", ["t"]) for i in range(9)], "stage string, clause string, place int, text string, tables array<string>")
+    code = spark.createDataFrame([("s", 1, "nothing")], "stage string, place int, text string")
+    got = coverage.uncovered(coverage.parameters(rows, "name", "ident", "place"), clauses, code)
+    assert [(r["param"], r["clause"]) for r in got.orderBy("rank").collect()] == [(f"линия печать{i}", f"c{6 + i}") for i in range(3)]
+    reduced = [x for x in plan(got).splitlines() if "partial_min" in x and "own_place" in x]
+    assert reduced and not any("SortAggregate" in x for x in reduced)
