@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from evidentia.operators import cascade, containment, coverage, dispatch, evidence, grounding, ranges
+from evidentia.operators import cascade, containment, coverage, dispatch, evidence, graph, grounding, ranges
 
 
 def plan(df) -> str:
@@ -123,3 +123,24 @@ def test_pairs_of_parameters_and_clauses_are_reduced_without_sorting(spark):
     assert [(r["param"], r["clause"]) for r in got.orderBy("rank").collect()] == [(f"линия печать{i}", f"c{6 + i}") for i in range(3)]
     reduced = [x for x in plan(got).splitlines() if "partial_min" in x and "own_place" in x]
     assert reduced and not any("SortAggregate" in x for x in reduced)
+
+
+@pytest.mark.parametrize("narrow", [graph.NARROW, 3])
+def test_pairs_of_two_hops_are_not_shuffled(spark, monkeypatch, narrow):
+    monkeypatch.setattr(graph, "NARROW", narrow)
+    monkeypatch.setattr(graph, "SOURCES", 5)
+    rng = random.Random(5)
+    left = [(rng.choice([None, *range(25)]), rng.choice([None, *"abcdefgh"]), rng.choice([None, 1, 2, 3])) for _ in range(90)]
+    right = [(rng.choice([None, *"abcdefghi"]), rng.choice([None, *range(30)])) for _ in range(110)]
+    got = graph.two_hops(spark.createDataFrame(left, "s int, v string, o int"), spark.createDataFrame(right, "v string, t int"), "s", "v", "t", "o")
+    edges, want = {}, {}
+    for s, v, o in left:
+        edges.setdefault((s, v), []).extend([] if o is None else [o])
+    for (s, v), o in edges.items():  # an edge without an order comes first
+        for w, t in right:
+            if v is not None and v == w:
+                want[s, t] = min((min(o, default=-1), v), want.get((s, t), (9, "")))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and {(s, t): v for s, t, v in rows} == {k: v for k, (_, v) in want.items()}
+    if narrow > 3:
+        assert "Aggregate" not in plan(got)  # each pair is told where it is made
