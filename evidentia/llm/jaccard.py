@@ -18,7 +18,8 @@ that a group still holds; then all pairs of different components that sketches
 allow. Of groups in parts that still hold several components there are two
 kinds. Where members have DENSE or more of them in common, as near copies
 have, the groups that overlap become one cluster, so that a pair meets once
-and not in each, and the cluster's parts meet by twos. Others, such as those of
+and not in each: at first in DENSE groups at most, and then the cluster's parts
+meet by twos. Others, such as those of
 a passage in many documents, are grouped anew by blocks of another hash, LEVELS
 times at most, and what is still over TILE meets by twos of parts. Nothing is
 dropped, no task holds more than two parts, and copies are one set throughout.
@@ -40,6 +41,8 @@ from .shingling import U
 
 #: Members of a group that meet in one task; times that large groups are grouped anew; large groups of a set from which on they make a cluster.
 TILE, LEVELS, DENSE = 512, 2, 4
+#: Ranges of set names in which memberships of large groups are counted.
+RANGES = 64
 CHUNK = 2 << 20
 #: Pairs that are compared at once.
 PAIRS = 1 << 18
@@ -269,13 +272,93 @@ def tiles(group: DataFrame) -> DataFrame:
     return both.withColumn("part", (high * (high + 1) / 2 + low).cast("long")).drop("_parts", "_side", "_other")
 
 
-def clusters(large: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gid, sid) of clusters of overlapping groups, and (gid) of the groups in them: those whose members are in DENSE or more on average."""
-    company = large.groupBy("sid").agg(F.count_distinct("gid").alias("_n"))
-    dense = common.written(large.join(company, "sid").groupBy("gid").agg(F.avg("_n").alias("_n"), F.min("sid").alias("v")).where(F.col("_n") >= DENSE).select("gid", "v"), "dense")
-    rows = common.written(large.join(dense, "gid").select("sid", "v").distinct(), "overlaps")
-    cluster = components(rows.where("sid <> v").select(F.col("sid").alias("u"), "v"))
-    return common.written(cluster.select(F.xxhash64("label").alias("gid"), "sid"), "clusters"), dense.select("gid")
+def ranges(large: DataFrame) -> DataFrame:
+    """(bucket, gid, members) of the large groups' parts, cut by ranges of names: a set's memberships are in rows of one bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = common.text_buffer(batch.column(1))
+            name = data.view(_SID)
+            of = np.repeat(np.arange(batch.num_rows), np.diff(offsets) // SID)
+            # Parts are in order of names as numbers, whose highest byte is this one: a part lies in few ranges.
+            bucket = data.reshape(-1, SID)[:, 7].astype(np.int64) * RANGES >> 8
+            order = np.lexsort((bucket, of))
+            name, of, bucket = name[order], of[order], bucket[order]
+            first = np.flatnonzero(np.append(True, (np.diff(of) != 0) | (np.diff(bucket) != 0))) if len(of) else of
+            blob = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((SID * np.append(first, len(of))).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(name).tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), batch.column(0).take(pa.array(of[first])), blob], ["bucket", "gid", "members"])
+
+    return large.select("gid", "members").mapInArrow(run, "bucket long, gid long, members binary")
+
+
+def _in_range(what):
+    """Of all rows of one bucket each: what ``what`` gives for their distinct memberships, by set and then gid (sets, set of each, gids)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            bucket = held["bucket"].to_numpy()
+            if bucket[0] != bucket[-1]:
+                last = int(np.searchsorted(bucket, bucket[-1]))
+                for c in np.split(np.arange(last), np.flatnonzero(np.diff(bucket[:last])) + 1):
+                    yield of(held.slice(int(c[0]), len(c)))
+                held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield of(held)
+
+    def of(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        data, offsets = common.text_buffer(rows["members"])
+        sid, at = np.unique(data.view(_SID), return_inverse=True)
+        gid = np.repeat(rows["gid"].to_numpy(), np.diff(offsets) // SID)
+        order = np.lexsort((gid, at))
+        at, gid = at[order], gid[order]
+        new = np.append(True, (np.diff(at) != 0) | (np.diff(gid) != 0))
+        return what(sid, at[new], gid[new])
+
+    return run
+
+
+def _company(sid: np.ndarray, at: np.ndarray, gid: np.ndarray) -> pa.RecordBatch:
+    """(gid, n, members): in how many large groups a group's members are, in all, and how many these are."""
+    many = np.bincount(at)[at]
+    name, of = np.unique(gid, return_inverse=True)
+    return pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.bincount(of, many).astype(np.int64)), pa.array(np.bincount(of))], ["gid", "n", "members"])
+
+
+def _chosen(sid: np.ndarray, at: np.ndarray, gid: np.ndarray) -> pa.RecordBatch:
+    """(sid, gids): of each set the first DENSE gids."""
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    kept = place < DENSE
+    ends = np.append(np.searchsorted(at[kept], np.arange(len(sid))), kept.sum())
+    return pa.RecordBatch.from_arrays([_binary(sid), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(gid[kept]))], ["sid", "gids"])
+
+
+def _overlaps(sid: np.ndarray, at: np.ndarray, gid: np.ndarray) -> pa.RecordBatch:
+    """(u, v): each group with the first groups of its members."""
+    pairs = np.unique(np.stack([gid[np.searchsorted(at, at)], gid], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+
+def clusters(large: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of large groups in parts (gid, part, members): (gid, sid) of clusters of overlapping groups; (gid, part, sid) by which a cluster's sets first meet; (gid) of the groups in clusters.
+
+    A group is in a cluster if its members are in DENSE or more large groups on average. Memberships stay packed: a set has
+    one row in a cluster and first meets others in DENSE groups at most, however many it is in.
+    """
+    every = common.written(ranges(large), "ranges")
+    by_range = lambda df, what, schema: df.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_in_range(what), schema)
+    dense = common.written(by_range(every, _company, "gid long, n long, members long").groupBy("gid").agg(F.sum("n").alias("n"), F.sum("members").alias("m")).where(F.col("n") >= DENSE * F.col("m")).select("gid"), "dense")
+    inner = common.written(every.join(dense, "gid", "left_semi"), "ranges")
+    chosen = common.written(by_range(inner, _chosen, "sid binary, gids array<long>"), "chosen")
+    to = components(common.written(by_range(inner, _overlaps, "u long, v long").distinct(), "overlaps"))
+    cluster = chosen.select("sid", F.col("gids")[0].alias("g")).join(to.select(F.col("sid").alias("g"), "label"), "g")
+    few = chosen.select("sid", F.explode("gids").alias("gid"))
+    parts = few.groupBy("gid").agg(F.ceil(F.count("*") / F.lit(float(TILE))).cast("int").alias("_parts"))
+    meet = few.join(parts, "gid").select("gid", F.pmod(F.xxhash64("sid"), "_parts").cast("long").alias("part"), "sid")
+    return common.written(cluster.select(F.xxhash64("label").alias("gid"), "sid"), "clusters"), common.written(meet, "met"), dense
 
 
 def texts_of(docs: DataFrame, member: DataFrame, sids: DataFrame) -> DataFrame:
@@ -439,23 +522,24 @@ def merged(label: DataFrame, links: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, member: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(sid, label) of the sets that are linked with another one: the components of the relation "linked"."""
     group = groups(docs.select("text", F.lit(0).cast("long").alias("within")), n, num, den, 0)
+    large, cluster = group.where("part >= 0"), None
+    if large.limit(1).count():
+        cluster, first, dense = clusters(large)
+        group = common.written(group.join(dense, "gid", "left_anti"), "groups")
     met = common.written(memberships(group), "met")
-    texts = texts_of(docs, member, met.select("sid").distinct())
+    meet = met if cluster is None else met.unionByName(first)
+    texts = texts_of(docs, member, meet.select("sid").distinct())
     narrow, wide = common.written(parities(texts, n, 2), "sketches"), None
-    found = verified(candidates(met.withColumn("label", F.col("sid")), narrow, num, den, "nearest"), texts, n, num, den)
-    label, cluster = roots(found), None
+    found = verified(candidates(meet.withColumn("label", F.col("sid")), narrow, num, den, "nearest"), texts, n, num, den)
+    label = roots(found)
     for mode in ("between", "all"):
         named = lambda df: df.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))  # noqa: E731, B023
         mixed = lambda df, *by: df.join(df.groupBy(*by).agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select(*by), [*by], "left_semi")
         labelled = common.written(mixed(named(met), "gid"), "labelled")
         rows = mixed(labelled.where("part < 0"), "gid", "part")
         large = labelled.where("part >= 0")
-        if large.limit(1).count():
-            # Labels only merge, so what is mixed later on is in these clusters too.
-            if cluster is None:
-                cluster, dense = clusters(large)
-            rows = rows.unionByName(common.written(mixed(named(tiles(cluster)), "gid", "part"), "tiles"))
-            large = large.join(dense, "gid", "left_anti")
+        if cluster is not None:
+            rows = rows.unionByName(common.written(mixed(named(tiles(mixed(named(cluster), "gid").drop("label"))), "gid", "part"), "tiles"))
         for level in range(1, LEVELS + 1):
             if not large.limit(1).count():
                 break

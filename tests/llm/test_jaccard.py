@@ -111,3 +111,22 @@ def test_unlinked_sets_seldom_share_a_block():
         keys, of = jaccard.block_keys(sets, jaccard.Bands(num, den))
         assert len(keys) < 0.35 * sum(map(len, sets))
         assert len(np.unique(keys)) == len(keys)
+
+
+def test_memberships_of_near_copies_stay_packed(spark, monkeypatch):
+    """Of groups that overlap, a set has one row in its cluster and DENSE rows by which it meets others, however many groups it is in."""
+    monkeypatch.setattr(jaccard, "TILE", 10)
+    names = [i.to_bytes(1, "big") * jaccard.SID for i in range(1, 200)]
+    rows = []
+    for g in range(30):  # two clusters of 15 groups each, whose parts hold the first member too
+        own = [x for i, x in enumerate(names) if i % 2 == g % 2 and (i // 2 + g) % 15]
+        rows += [(g, p, b"".join(own[:1] * (p > 0) + own[p * 10 : p * 10 + 10])) for p in range(-(-len(own) // 10))]
+    others = [i.to_bytes(1, "big") * jaccard.SID for i in range(200, 220)]  # a passage that two sets of different clusters hold too
+    rows += [(99, 0, b"".join([*names[:2], *others[:8]])), (99, 1, b"".join([names[0], *others[8:]]))]
+    cluster, meet, dense = jaccard.clusters(spark.createDataFrame(rows, "gid long, part int, members binary").repartition(3))
+    of = {}
+    for r in cluster.collect():
+        of.setdefault(r["gid"], []).append(bytes(r["sid"]))
+    assert sorted(map(sorted, of.values())) == [sorted(names[::2]), sorted(names[1::2])]
+    assert sorted(r["gid"] for r in dense.collect()) == list(range(30))
+    assert meet.count() == jaccard.DENSE * len(names) and max(r["count"] for r in meet.groupBy("gid", "part").count().collect()) <= 3 * jaccard.TILE
