@@ -24,6 +24,11 @@ def _secret(c: Column) -> Column:
     return c.rlike(SECRET_KEY) & ~c.rlike(SAFE_KEY)
 
 
+def _once(c: Column, f) -> Column:
+    """``f`` of ``c``, for an ``f`` that names it several times: as a variable, so that it is computed once."""
+    return F.transform(F.array(c), f)[0]
+
+
 def clean(c: Column, kind: T.DataType) -> Column:
     """``c`` of type ``kind`` without secrets.
 
@@ -32,17 +37,17 @@ def clean(c: Column, kind: T.DataType) -> Column:
     Of an array 50 items stay; one of text ends with a count of the others. Null stays null, other types as they are.
     """
     if isinstance(kind, T.StringType):
-        masked = F.regexp_replace(c, SECRET_VALUE, MASK)
-        more = F.concat(F.substring(masked, 1, MOST_CHARACTERS), F.lit("… (+"), (F.length(masked) - MOST_CHARACTERS).cast("string"), F.lit(" симв.)"))
-        return F.when(F.length(masked) > MOST_CHARACTERS, more).otherwise(masked)
+        more = lambda x: F.concat(F.substring(x, 1, MOST_CHARACTERS), F.lit("… (+"), (F.length(x) - MOST_CHARACTERS).cast("string"), F.lit(" симв.)"))
+        return _once(F.regexp_replace(c, SECRET_VALUE, MASK), lambda x: F.when(F.length(x) > MOST_CHARACTERS, more(x)).otherwise(x))
     if isinstance(kind, T.StructType):
         fields = [(F.lit(MASK) if is_secret(f.name) else clean(c.getField(f.name), f.dataType)).alias(f.name) for f in kind.fields]
         return F.when(c.isNotNull(), F.struct(*fields))
     if isinstance(kind, T.ArrayType):
-        first = F.transform(F.slice(c, 1, MOST_ITEMS), lambda x: clean(x, kind.elementType))
+        first = lambda a: F.transform(F.slice(a, 1, MOST_ITEMS), lambda x: clean(x, kind.elementType))
         if not isinstance(kind.elementType, T.StringType):
-            return first
-        return F.when(F.size(c) > MOST_ITEMS, F.concat(first, F.array(F.concat(F.lit("… ещё "), (F.size(c) - MOST_ITEMS).cast("string"))))).otherwise(first)
+            return first(c)
+        more = lambda a: F.array(F.concat(F.lit("… ещё "), (F.size(a) - MOST_ITEMS).cast("string")))
+        return _once(c, lambda a: F.concat(first(a), F.when(F.size(a) > MOST_ITEMS, more(a)).otherwise(F.array().cast("array<string>"))))
     if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
         mask = F.lit(MASK) if isinstance(kind.valueType, T.StringType) else F.lit(None)
         return F.transform_values(c, lambda k, v: F.when(_secret(k), mask).otherwise(clean(v, kind.valueType)))

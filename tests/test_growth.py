@@ -3,7 +3,10 @@
 import random
 
 import pytest
+from evidentia.functions import records
 from evidentia.operators import cascade, containment, coverage, dispatch, evidence, graph, grounding, ranges
+from evidentia.plans import catalog
+from pyspark.sql import functions as F
 
 
 def plan(df) -> str:
@@ -144,3 +147,13 @@ def test_pairs_of_two_hops_are_not_shuffled(spark, monkeypatch, narrow):
     assert len(rows) == len(want) and {(s, t): v for s, t, v in rows} == {k: v for k, (_, v) in want.items()}
     if narrow > 3:
         assert "Aggregate" not in plan(got)  # each pair is told where it is made
+
+
+def test_records_are_dealt_out_and_computed_once(spark):
+    assert "RoundRobinPartitioning(4)" in plan(catalog.queries()["redact_nested"](spark, "/root/testdata/sf0.001"))
+    given = spark.createDataFrame([(["sk-12345678 x", None] * 26,), ([],), (None,), (["y" * 801],)], "a array<string>")
+    got = [r["a"] for r in given.select(records.clean(F.split(F.array_join("a", "|"), r"\|"), given.schema["a"].dataType).alias("a")).collect()]
+    assert got == [["*** x"] * 26, [""], None, ["y" * 800 + "… (+1 симв.)"]]
+    long = [r["a"] for r in given.select(records.clean(F.col("a"), given.schema["a"].dataType).alias("a")).collect()]
+    assert long == [["*** x", None] * 25 + ["… ещё 2"], [], None, ["y" * 800 + "… (+1 симв.)"]]
+    assert plan(given.select(records.clean(F.col("a"), given.schema["a"].dataType).alias("a"))).count("slice(") == 1
