@@ -4,7 +4,7 @@ import random
 
 import pytest
 from evidentia.functions import records
-from evidentia.operators import cascade, containment, coverage, dispatch, evidence, graph, grounding, ranges
+from evidentia.operators import cascade, containment, coverage, dispatch, evidence, graph, grounding, ranges, shared, stages
 from evidentia.plans import catalog
 from pyspark.sql import functions as F
 
@@ -157,3 +157,24 @@ def test_records_are_dealt_out_and_computed_once(spark):
     long = [r["a"] for r in given.select(records.clean(F.col("a"), given.schema["a"].dataType).alias("a")).collect()]
     assert long == [["*** x", None] * 25 + ["… ещё 2"], [], None, ["y" * 800 + "… (+1 симв.)"]]
     assert plan(given.select(records.clean(F.col("a"), given.schema["a"].dataType).alias("a"))).count("slice(") == 1
+
+
+def test_equal_questions_for_a_stage_are_answered_once(spark, monkeypatch):
+    counts, stored = {}, shared.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(shared, "stored", counted)
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    kinds = [("Печать  чего", None, None, None), ("ТР-1 и ЛК2", None, None, None), ("пусто", None, "лк2", None), ("табл. 7", None, None, 9), (None, None, None, None), ("ТР-1", "экструзия", "ЛК2", None), ("ТР-1", "экструзия", "", 7)]
+    rows = [(i, *kinds[i % 7]) for i in range(70)]
+    got = stages.detect(
+        table(rows, "k int, q string, n string, l string, no int"), "k", "q", "n", "l", "no", table([("ТР-1", "кольцевание")], "name string, stage string"), table([("ЛК2", "печать")], "code string, stage string"),
+        table([(7, "экструзия")], "number int, stage string"), table([("Ширина", 7)], "title string, number int"), table([("краск", "печать")], "term string, stage string"),
+    )
+    want = [("печать", "named"), ("кольцевание", "document"), ("печать", "line"), ("экструзия", "table"), (None, "none"), ("экструзия", "named"), ("экструзия", "named")]
+    assert sorted(map(tuple, got.collect())) == [(i, *want[i % 7]) for i in range(70)]
+    assert counts["questions"] == counts["answers"] == 6
