@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text
 
-from .shared import folder, remove
+from .shared import dealt, folder, remove
 
 __all__ = ["build", "folder", "postings", "remove", "scores", "search", "stats"]
 
@@ -22,12 +22,14 @@ def build(df: DataFrame, key: str, column: str, path: str, buckets: int = 64) ->
     """Write sizes (key, dl), postings (bucket, term, key, tf), sorted by term in their bucket's files, and terms (term, df).
 
     Terms are stems. A null or empty text has a size of 0 and no postings. A search reads the buckets of its terms only.
+    ``df`` should be dealt out (``shared.dealt``) where its file has few row groups. A text's words are counted where its row is, and stemmed once each.
     """
     spark = df.sparkSession
-    df.select(F.col(key).alias("key"), text.terms(F.col(column)).alias("terms")).write.parquet(f"{path}/tokens")
+    df.select(F.col(key).alias("key"), text.tokenize(F.col(column)).alias("words")).write.parquet(f"{path}/tokens")
     own = spark.read.parquet(f"{path}/tokens")
-    own.select("key", F.size("terms").alias("dl")).write.parquet(f"{path}/sizes")
-    counts = own.select("key", F.explode("terms").alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    own.select("key", F.size("words").alias("dl")).write.parquet(f"{path}/sizes")
+    words = dealt(own, "key").select("key", F.explode("words").alias("word")).groupBy("key", "word").agg(F.count("*").alias("n"))
+    counts = words.select("key", text.stem(F.col("word")).alias("term"), "n").groupBy("key", "term").agg(F.sum("n").alias("tf"))
     placed = counts.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     # A bucket's postings are dealt over several tasks by key, so no task holds those of a frequent term alone.
     placed.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")

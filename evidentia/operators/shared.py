@@ -30,6 +30,11 @@ def growing(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over as many tasks as shuffles have, by ``keys`` if given: what follows is not left to the few tasks that read a file of few row groups."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia.functions import text
-from evidentia.operators import chunks, evidence, index, rules, sentences, stages
+from evidentia.operators import chunks, evidence, index, rules, sentences, shared, stages
 
 from .reference_queries import ORACLE_SQL as OTHERS
 from .reference_queries import TERMS, table
@@ -123,7 +123,7 @@ def detect_stage(spark, d):
 
 def bm25_stored(spark, d):
     path = index.folder(spark, "terms")
-    index.build(table(spark, d, "documents"), "doc_id", "text", path)
+    index.build(shared.dealt(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", path)
     return index.search(spark, path, " ".join(TERMS), 20).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 

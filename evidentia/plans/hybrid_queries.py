@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidentia.operators import hybrid, index
+from evidentia.operators import hybrid, index, shared
 
 from .coverage_queries import CYRILLIC, LATIN, TOKENS, cyrillic, stemmed
 from .reference_queries import table
@@ -16,7 +16,7 @@ QUESTION = "тхе анды оф реед ен ла"
 def hybrid_stored(spark, d):
     """Texts, in letters that have stems, and vectors of one id, searched by the first vector among rows of one label."""
     e = table(spark, d, "embeddings")
-    rows = table(spark, d, "documents").withColumn("text", cyrillic(F.col("text"))).join(e, F.col("doc_id") == F.col("vec_id")).select("doc_id", "lang", "label", "text", "embedding")
+    rows = shared.dealt(table(spark, d, "documents").select("doc_id", "lang", "text")).withColumn("text", cyrillic(F.col("text"))).join(e, F.col("doc_id") == F.col("vec_id")).select("doc_id", "lang", "label", "text", "embedding")
     path = index.folder(spark, "hybrid")
     hybrid.build(rows, "doc_id", "text", "embedding", path, "table-64", ("lang", "label"))
     first = e.orderBy("vec_id").select(F.col("embedding").cast("array<double>").alias("v")).first()["v"]

@@ -4,7 +4,7 @@ import random
 
 import pytest
 from evidentia.functions import records
-from evidentia.operators import cascade, containment, coverage, dispatch, evidence, graph, grounding, ranges, shared, stages
+from evidentia.operators import cascade, containment, coverage, dispatch, evidence, graph, grounding, hybrid, index, ranges, shared, stages
 from evidentia.plans import catalog
 from pyspark.sql import functions as F
 
@@ -178,3 +178,23 @@ def test_equal_questions_for_a_stage_are_answered_once(spark, monkeypatch):
     want = [("печать", "named"), ("кольцевание", "document"), ("печать", "line"), ("экструзия", "table"), (None, "none"), ("экструзия", "named"), ("экструзия", "named")]
     assert sorted(map(tuple, got.collect())) == [(i, *want[i % 7]) for i in range(70)]
     assert counts["questions"] == counts["answers"] == 6
+
+
+def test_indexes_are_built_of_rows_dealt_out(spark, monkeypatch):
+    built = []
+    for module in (index, hybrid):
+        monkeypatch.setattr(module, "build", lambda df, *args, build=module.build, **kwargs: (built.append(plan(df)), build(df, *args, **kwargs)))
+    for name in ("bm25_stored", "hybrid_stored"):
+        built.clear()
+        catalog.queries()[name](spark, "/root/testdata/sf0.001").collect()
+        assert "RoundRobinPartitioning(4)" in built[0], name
+
+
+def test_words_of_one_stem_are_one_posting(spark, tmp_path):
+    df = spark.createDataFrame([(1, "линия линии линия-line"), (2, "линией линии"), (3, None)], "k long, t string")
+    index.build(df, "k", "t", f"{tmp_path}/i")
+    stem = "лин"
+    got = {(r["key"], r["term"]): r["tf"] for r in index.postings(spark, f"{tmp_path}/i").collect()}
+    assert len(got) == index.postings(spark, f"{tmp_path}/i").count() and sum(got.values()) == 7
+    assert sum(n for (k, t), n in got.items() if k == 2 and t.startswith(stem)) == 2
+    assert {r["key"]: r["dl"] for r in spark.read.parquet(f"{tmp_path}/i/sizes").collect()} == {1: 5, 2: 2, 3: 0}
