@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text
 
-from . import queue
+from . import queue, shared
 from .dispatch import given
 
 
@@ -26,8 +28,12 @@ def read_plan(requests: DataFrame, batches: DataFrame, pseudo: Sequence[str] = (
     key = lambda c: text.normalize_key(F.col(c))
     asked = requests.select("req", F.when(given("order_no"), key("order_no")).alias("o"), F.when(given("line"), key("line")).alias("l"), F.when(given("stage"), key("stage")).alias("s"))
     asked = asked.withColumn("way", F.when(F.col("o").isNotNull(), "order").when(F.col("l").isNotNull(), "line").otherwise("input error"))
-    rows = batches.withColumns({"_o": key("order_no"), "_l": key("line"), "_s": key("stage")})
-    near = queue.neighbors(batches.select("line", "stage", "started", "batch"), ["stage", "line"], ["started", "batch"], "batch").select("batch", "previous", "next", "position", "queue_length")
+    rows = batches.select("batch", "line", "stage", "seq", "started", key("order_no").alias("_o"), key("line").alias("_l"), key("stage").alias("_s"))
+    # Neighbours are found on whole rows, which are stored: none is joined to its batch again, and both ways read the same rows.
+    near = queue.neighbors(rows, ["stage", "line"], ["started", "batch"], "batch")
+    odd = {"float", "double"}
+    unplaced = reduce(or_, [F.col(c).isNull() | F.isnan(c) if t in odd else F.col(c).isNull() for c, t in rows.dtypes if c in ("stage", "line", "started")])
+    rows = shared.stored(near.unionByName(rows.where(unplaced), allowMissingColumns=True), "batches")
 
     # Equal questions are answered once.
     own = asked.where("way = 'order'").select("o", "s").distinct().join(rows.withColumnRenamed("_o", "o"), "o")
@@ -36,9 +42,8 @@ def read_plan(requests: DataFrame, batches: DataFrame, pseudo: Sequence[str] = (
         "asked_stage": F.when(F.col("s").isNotNull(), F.coalesce(F.col("s") == F.col("_s"), F.lit(False))), "rank": F.row_number().over(every.orderBy("seq", "batch")), "total": F.count("*").over(every),
         "placed": F.bool_or(~F.coalesce(F.col("line").isin(*pseudo), F.lit(True))).over(every),
     }).withColumn("fits", F.coalesce(F.bool_or("asked_stage").over(every), F.lit(True)))
-    by_order = ordered.join(near, "batch", "left")
     there = ["rank", "batch", "asked_stage", "previous", "next", "position", "queue_length", "placed", "total"]
-    first = asked.where("way = 'order'").join(by_order.select("o", "s", "fits", *there), (asked["o"] == by_order["o"]) & asked["s"].eqNullSafe(by_order["s"]), "left").select("req", "way", "fits", *there)
+    first = asked.where("way = 'order'").join(ordered.select("o", "s", "fits", *there), (asked["o"] == ordered["o"]) & asked["s"].eqNullSafe(ordered["s"]), "left").select("req", "way", "fits", *there)
     told = first.where("fits").select("req", "way", *there)
     none = first.where("not coalesce(fits, false)").select("req", F.when(F.col("fits").isNull(), "order: nothing").otherwise("order: no such stage").alias("way")).distinct()
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from evidentia.functions import records
 from evidentia.operators import cascade, containment, coverage, dispatch, evidence, graph, grounding, hybrid, index, ranges, shared, stages
+from evidentia.operators.plan import read_plan
 from evidentia.plans import catalog
 from pyspark.sql import functions as F
 
@@ -198,3 +199,19 @@ def test_words_of_one_stem_are_one_posting(spark, tmp_path):
     assert len(got) == index.postings(spark, f"{tmp_path}/i").count() and sum(got.values()) == 7
     assert sum(n for (k, t), n in got.items() if k == 2 and t.startswith(stem)) == 2
     assert {r["key"]: r["dl"] for r in spark.read.parquet(f"{tmp_path}/i/sizes").collect()} == {1: 5, 2: 2, 3: 0}
+
+
+def test_neighbours_in_a_plan_are_not_joined_to_their_batches(spark):
+    batches = [(f"b{i}", f"O{i % 4}", [None, "L1", "L2"][i % 3], [None, "A", "B", "B"][i % 4], i, [None, 5.0, float("nan"), 1.0, 2.0][i % 5]) for i in range(40)]
+    requests = [(i, f"o{i % 5}" if i % 3 else None, "l2" if i % 2 else None, "b" if i % 7 else None) for i in range(20)]
+    got = read_plan(spark.createDataFrame(requests, "req int, order_no string, line string, stage string"), spark.createDataFrame(batches, "batch string, order_no string, line string, stage string, seq int, started double"))
+    joins = plan(got).replace("\n", " ")
+    assert "batch#" not in "".join(x.split("]")[0] for x in joins.split("Join [")[1:])
+    queues = {}
+    for b, _, line, stage, _, at in batches:
+        if line and stage and at is not None and at == at:
+            queues.setdefault((line, stage), []).append((at, b))
+    near = {b: (q[i - 1][1] if i else None, q[i + 1][1] if i + 1 < len(q) else None, i + 1, len(q)) for q in map(sorted, queues.values()) for i, (_, b) in enumerate(q)}
+    told = [r for r in got.collect() if r["way"] == "order"]
+    assert {(r["batch"], (r["previous"], r["next"], r["position"], r["queue_length"])) for r in told} == {(b, near.get(b, (None,) * 4)) for b in {r["batch"] for r in told}}
+    assert {r["req"] for r in told} and all(sum(x["req"] == r["req"] for x in told) == 10 for r in told)
