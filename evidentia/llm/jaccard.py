@@ -15,8 +15,11 @@ into parts that have one member in common. Pairs of a group meet in three
 rounds, each by long parity sketches first and then exactly, by their texts:
 each set with the nearest smaller one; the nearest pair of each two components
 that a group still holds; then all pairs of different components that sketches
-allow. Of groups in parts that still hold several components there are two
-kinds. Where members have DENSE or more of them in common, as near copies
+allow. Near copies share many blocks, by which each would meet the others over
+and over: sets that are in SHARED groups together make a cluster that stands
+for all groups inside it, of any size, where that takes at most half as many
+rows (what is not inside meets as before). Of other groups in parts that still
+hold several components there are two kinds. Where members have DENSE or more of them in common, as near copies
 have, the groups that overlap become one cluster, so that a pair meets once
 and not in each: at first in DENSE groups at most, and then the cluster's parts
 meet by twos. Others, such as those of
@@ -41,6 +44,8 @@ from .shingling import U
 
 #: Members of a group that meet in one task; times that large groups are grouped anew; large groups of a set from which on they make a cluster.
 TILE, LEVELS, DENSE = 512, 2, 4
+#: Groups that a set has in common with their first member, from which on the two are in one cluster; bytes of groups that are counted at once.
+SHARED, HELD = 2, 16 << 20
 #: Ranges of set names in which memberships of large groups are counted.
 RANGES = 64
 CHUNK = 2 << 20
@@ -252,6 +257,76 @@ def groups(rows: DataFrame, n: int, num: int, den: int, level: int) -> DataFrame
     return common.written(found.dropDuplicates(["gid", "part", "members"]), "groups")
 
 
+def stars(group: DataFrame) -> DataFrame:
+    """(rep, part, sid, n): in how many groups (rep, part, members) of a first member and part number a set is, itself left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            if held.nbytes > HELD:
+                yield from counted(held)
+                held = None
+        if held is not None and held.num_rows:
+            yield from counted(held)
+
+    def counted(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of rep and part; what lies in two calls is summed up later."""
+        rows = rows.combine_chunks()
+        rep, part = _names(rows["rep"]), rows["part"].to_numpy()
+        data, offsets = common.text_buffer(rows["members"])
+        key = np.append(True, (rep[1:] != rep[:-1]) | (part[1:] != part[:-1])).cumsum() - 1
+        sid, at = np.unique(data.view(_SID), return_inverse=True)
+        pair, n = np.unique(np.repeat(key, np.diff(offsets) // SID) * len(sid) + at, return_counts=True)
+        first = np.searchsorted(key, pair // len(sid))
+        name = sid[pair % len(sid)]
+        other = name != rep[first]
+        yield pa.RecordBatch.from_arrays([_binary(rep[first][other]), pa.array(part[first][other]), _binary(name[other]), pa.array(n[other])], ["rep", "part", "sid", "n"])
+
+    met = group.select("rep", "part", "members").repartition("rep", "part").sortWithinPartitions("rep", "part").mapInArrow(run, "rep binary, part int, sid binary, n long")
+    return common.written(met.groupBy("rep", "part", "sid").agg(F.sum("n").alias("n")), "stars")
+
+
+def collapsed(group: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``group`` without the groups that lie inside a cluster; (gid, sid) of these clusters, of sets that share SHARED groups or more.
+
+    A cluster is taken only where its sets, in tiles, make at most half as many rows as the memberships that it stands for.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = common.text_buffer(batch.column(2))
+            name, away, out = data.view(_SID), batch.column(4), []
+            for i, (a, b) in enumerate(zip((offsets[:-1] // SID).tolist(), (offsets[1:] // SID).tolist(), strict=True)):
+                out.append(away[i].is_valid and bool(np.isin(name[a:b], _names(away[i].values)).any()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(np.diff(offsets) // SID), pa.array(out, pa.bool_())], ["gid", "rep", "size", "crosses"])
+
+    group = group.withColumn("rep", F.substring("members", 1, SID))
+    star = stars(group)
+    # A set's least first member stands for its others: pairs of first members recur from set to set.
+    shared = star.where(F.col("n") >= SHARED).groupBy("sid").agg(F.collect_set("rep").alias("reps"))
+    edges = shared.select(F.array_min("reps").alias("u"), F.explode(F.concat("reps", F.array("sid"))).alias("v")).where("u <> v").distinct()
+    label = components(common.written(edges, "shared"))
+    end = lambda c, x: label.select(F.col("sid").alias(c), F.col("label").alias(x))
+    away = star.join(end("sid", "_own"), "sid", "left").join(end("rep", "_rep"), "rep", "left").where("_own is null or _rep is null or _own <> _rep").groupBy("rep", "part").agg(F.collect_list("sid").alias("away"))
+    told = group.join(away, ["rep", "part"], "left").select("gid", "part", "members", "rep", "away").mapInArrow(run, "gid long, rep binary, size long, crosses boolean")
+    inside = common.written(told.groupBy("gid").agg(F.first("rep").alias("rep"), F.sum("size").alias("size"), F.max("crosses").alias("crosses")).where("not crosses").join(end("rep", "label"), "rep").select("gid", "label", "size"), "inside")
+    sets = label.groupBy("label").agg(F.count("*").alias("sets"))
+    taken = inside.groupBy("label").agg(F.sum("size").alias("size")).join(sets, "label").where(2 * F.col("sets") * F.ceil(F.col("sets") / F.lit(float(TILE))) <= F.col("size")).select("label")
+    taken = common.written(taken, "taken")
+    rest = common.written(group.drop("rep").join(inside.join(taken, "label", "left_semi").select("gid"), "gid", "left_anti"), "groups")
+    return rest, common.written(label.join(taken, "label", "left_semi").select(F.xxhash64("label").alias("gid"), "sid"), "clusters")
+
+
+def meeting(cluster: DataFrame) -> DataFrame:
+    """(gid, part, sid) by which a cluster's sets first meet: all of them if they fit a TILE, else in DENSE ways of dealing them into parts."""
+    parts = cluster.groupBy("gid").agg(F.ceil(F.count("*") / F.lit(float(TILE))).cast("int").alias("_parts"))
+    ways = F.explode(F.sequence(F.lit(0), F.when(F.col("_parts") > 1, DENSE - 1).otherwise(0)))
+    dealt = cluster.join(parts, "gid").select("gid", "sid", "_parts", ways.alias("_way"))
+    return dealt.select("gid", (F.col("_way") * F.col("_parts") + F.pmod(F.xxhash64("sid", "_way"), "_parts")).cast("long").alias("part"), "sid")
+
+
 def memberships(group: DataFrame) -> DataFrame:
     """(gid, part, sid)"""
 
@@ -522,12 +597,15 @@ def merged(label: DataFrame, links: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, member: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(sid, label) of the sets that are linked with another one: the components of the relation "linked"."""
     group = groups(docs.select("text", F.lit(0).cast("long").alias("within")), n, num, den, 0)
-    large, cluster = group.where("part >= 0"), None
+    group, cluster = collapsed(group)
+    first = meeting(cluster)
+    large = group.where("part >= 0")
     if large.limit(1).count():
-        cluster, first, dense = clusters(large)
+        more, many, dense = clusters(large)
         group = common.written(group.join(dense, "gid", "left_anti"), "groups")
+        cluster, first = cluster.unionByName(more), first.unionByName(many)
     met = common.written(memberships(group), "met")
-    meet = met if cluster is None else met.unionByName(first)
+    meet = met.unionByName(common.written(first, "met"))
     texts = texts_of(docs, member, meet.select("sid").distinct())
     narrow, wide = common.written(parities(texts, n, 2), "sketches"), None
     found = verified(candidates(meet.withColumn("label", F.col("sid")), narrow, num, den, "nearest"), texts, n, num, den)
@@ -538,12 +616,13 @@ def linked(docs: DataFrame, member: DataFrame, n: int, num: int, den: int) -> Da
         labelled = common.written(mixed(named(met), "gid"), "labelled")
         rows = mixed(labelled.where("part < 0"), "gid", "part")
         large = labelled.where("part >= 0")
-        if cluster is not None:
-            rows = rows.unionByName(common.written(mixed(named(tiles(mixed(named(cluster), "gid").drop("label"))), "gid", "part"), "tiles"))
+        tiled = lambda df: common.written(mixed(named(tiles(mixed(named(df), "gid").drop("label"))), "gid", "part"), "tiles")  # noqa: E731, B023
+        rows = rows.unionByName(tiled(cluster))
         for level in range(1, LEVELS + 1):
             if not large.limit(1).count():
                 break
-            again = groups(large.select(F.col("gid").alias("within"), "sid").distinct().join(texts, "sid").select("text", "within"), n, num, den, level)
+            again, near = collapsed(groups(large.select(F.col("gid").alias("within"), "sid").distinct().join(texts, "sid").select("text", "within"), n, num, den, level))
+            rows = rows.unionByName(tiled(near))
             inner = common.written(mixed(named(memberships(again)), "gid"), "inner")
             rows = rows.unionByName(mixed(inner.where("part < 0"), "gid", "part"))
             large = inner.where("part >= 0")

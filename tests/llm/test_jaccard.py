@@ -130,3 +130,25 @@ def test_memberships_of_near_copies_stay_packed(spark, monkeypatch):
     assert sorted(map(sorted, of.values())) == [sorted(names[::2]), sorted(names[1::2])]
     assert sorted(r["gid"] for r in dense.collect()) == list(range(30))
     assert meet.count() == jaccard.DENSE * len(names) and max(r["count"] for r in meet.groupBy("gid", "part").count().collect()) <= 3 * jaccard.TILE
+
+
+def test_groups_inside_a_cluster_are_dropped(spark, monkeypatch):
+    """Groups of up to TILE near copies: pairs of what is left, and of the clusters, are all pairs of all groups; rows don't grow with groups."""
+    monkeypatch.setattr(jaccard, "TILE", 16)
+    r, names = random.Random(3), [i.to_bytes(1, "big") * jaccard.SID for i in range(1, 61)]
+    whole = [sorted(r.sample(names[:40], r.randint(4, 16))) for _ in range(200)]  # of one family, each set in about 50 of them
+    whole += [sorted([names[k], *names[40 + 2 * k : 42 + 2 * k]]) for k in range(10)]  # a member that meets strangers too
+    rows = [(i, -1, b"".join(g)) for i, g in enumerate(whole)]
+    rows += [(1000, p, b"".join(([names[0]] if p else []) + names[p * 16 : p * 16 + 16])) for p in range(4)]  # a large group, not inside
+    rest, cluster = jaccard.collapsed(spark.createDataFrame(rows, "gid long, part int, members binary").repartition(3))
+    kept, of, met = {}, {}, {}
+    for x in rest.collect():
+        kept.setdefault(x["gid"], []).append(x["part"])
+    for x in cluster.collect():
+        of.setdefault(x["gid"], set()).add(bytes(x["sid"]))
+    assert sorted(kept) == [*range(200, 210), 1000] and sorted(kept[1000]) == [0, 1, 2, 3]
+    assert [sorted(c) for c in of.values()] == [names[:40]]
+    assert sum(map(len, whole)) > 40 * len(names[:40])
+    for x in jaccard.meeting(cluster).collect():
+        met.setdefault(x["part"], set()).add(bytes(x["sid"]))
+    assert sum(map(len, met.values())) == jaccard.DENSE * 40 and set().union(*met.values()) == of.popitem()[1]
