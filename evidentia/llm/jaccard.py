@@ -340,8 +340,8 @@ def memberships(group: DataFrame) -> DataFrame:
 
 
 def tiles(group: DataFrame) -> DataFrame:
-    """(gid, part, sid, ...) of ``group`` (gid, sid, ...), such that each two members of a gid have a part in common, of about two TILEs."""
-    parts = group.groupBy("gid").agg(F.ceil(F.count("*") / F.lit(float(TILE))).cast("int").alias("_parts"))
+    """(gid, part, sid, ...) of ``group`` (gid, sid, ...), such that each two members of a gid have a part in common, of about four TILEs."""
+    parts = group.groupBy("gid").agg(F.ceil(F.count("*") / F.lit(2.0 * TILE)).cast("int").alias("_parts"))
     both = group.join(parts, "gid").withColumn("_side", F.pmod(F.xxhash64("sid"), "_parts").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     low, high = F.least("_side", "_other").cast("long"), F.greatest("_side", "_other").cast("long")
     return both.withColumn("part", (high * (high + 1) / 2 + low).cast("long")).drop("_parts", "_side", "_other")
@@ -616,7 +616,7 @@ def linked(docs: DataFrame, member: DataFrame, n: int, num: int, den: int) -> Da
         labelled = common.written(mixed(named(met), "gid"), "labelled")
         rows = mixed(labelled.where("part < 0"), "gid", "part")
         large = labelled.where("part >= 0")
-        tiled = lambda df: common.written(mixed(named(tiles(mixed(named(df), "gid").drop("label"))), "gid", "part"), "tiles")  # noqa: E731, B023
+        tiled = lambda df: mixed(common.written(named(tiles(mixed(named(df), "gid").drop("label"))), "tiles"), "gid", "part")  # noqa: E731, B023
         rows = rows.unionByName(tiled(cluster))
         for level in range(1, LEVELS + 1):
             if not large.limit(1).count():
