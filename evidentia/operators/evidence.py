@@ -44,18 +44,30 @@ def alike(heads: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def known_locators(cited: DataFrame, known: DataFrame) -> DataFrame:
-    """(run, locator, is_known) of the distinct locators that a run cites, by the (run, head, row) of what the same run has read; as ``known_citations``."""
+    """(run, locator, is_known) of the distinct locators that a run cites, by the (run, head, row) of what the same run has read; as ``known_citations``.
+
+    A locator is parsed once. One of one row that its run has read by its own head is told by the first join; heads are looked up for the
+    others only, and only those whose head isn't known meet other heads.
+    """
+    grow, row = shared.growing, F.when(F.size("rows") == 1, F.col("rows")[0])
     split = cited.select("run", "locator").distinct().withColumns({"head": text.locator_head(F.col("locator")), "rows": text.locator_rows(F.col("locator"))})
-    heads = known.select("run", F.col("head").alias("known_head")).distinct()
-    own = split.select("run", "head").distinct()
-    same = own.join(shared.growing(heads.withColumn("head", F.col("known_head"))), ["run", "head"])
-    rest = own.join(shared.growing(same), ["run", "head"], "left_anti")
-    like = rest.join(alike(rest.select("head").distinct(), heads.select("known_head").distinct()), "head").join(heads, ["run", "known_head"], "left_semi")
-    stands = same.unionByName(like.groupBy("run", "head").agg(F.min("known_head").alias("known_head")))
-    placed = split.join(shared.growing(stands), ["run", "head"], "left").select("run", "locator", "known_head", F.explode_outer("rows").alias("row"))
-    hit = known.select("run", F.col("head").alias("known_head"), "row").distinct().withColumn("hit", F.lit(True))
+    own = known.select("run", "head", "row").distinct()
+    # What hasn't one row asks for none, under its own hash, so that these don't meet in one task.
+    asked = split.withColumns({"row": F.coalesce(row, F.lit(-1) - F.pmod(F.xxhash64("locator"), F.lit(1 << 62))), "one": F.coalesce(row.isNotNull(), F.lit(False))})
+    first = shared.stored(asked.join(grow(own.where("row is not null").withColumn("hit", F.lit(True))), ["run", "head", "row"], "left").select("run", "locator", "head", "rows", "one", (F.col("one") & F.coalesce("hit", F.lit(False))).alias("told")), "told")
+    heads = known.select("run", "head").distinct()
+    rest = shared.stored(first.where("not told").join(grow(heads.withColumn("same", F.lit(True))), ["run", "head"], "left"), "untold")
+    # A known head without the one row that is asked for.
+    missed = rest.where("same and one").select("run", "locator", F.lit(False).alias("is_known"))
+    unlike = rest.where("same is null").select("run", "head").distinct()
+    like = unlike.join(alike(unlike.select("head").distinct(), heads.select(F.col("head").alias("known_head")).distinct()), "head").join(grow(heads.withColumnRenamed("head", "known_head")), ["run", "known_head"], "left_semi")
+    stands = like.groupBy("run", "head").agg(F.min("known_head").alias("known_head"))
+    other = rest.where("same is null").join(grow(stands), ["run", "head"], "left").select("run", "locator", "known_head", "rows")
+    other = other.unionByName(rest.where("same and not one").select("run", "locator", F.col("head").alias("known_head"), "rows"))
+    placed = other.select("run", "locator", "known_head", F.explode_outer("rows").alias("row"))
     fits = F.col("known_head").isNotNull() & (F.col("row").isNull() | F.coalesce("hit", F.lit(False)))
-    return placed.join(shared.growing(hit), ["run", "known_head", "row"], "left").groupBy("run", "locator").agg(F.bool_and(fits).alias("is_known"))
+    slow = placed.join(grow(own.withColumnRenamed("head", "known_head").withColumn("hit", F.lit(True))), ["run", "known_head", "row"], "left").groupBy("run", "locator").agg(F.bool_and(fits).alias("is_known"))
+    return first.where("told").select("run", "locator", F.lit(True).alias("is_known")).unionByName(missed).unionByName(slow)
 
 
 def coverage(seen: DataFrame, key: str, source: str, required: list[str], runs: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia.functions import text
-from evidentia.operators import coverage, grounding, retrieval, stages
+from evidentia.operators import coverage, grounding, retrieval, shared, stages
 
 from .reference_queries import table
 from .rule_queries import CYRILLIC, LATIN
@@ -90,16 +90,18 @@ def conflict_grounding(spark, d):
     li = table(spark, d, "lineitem").where("l_orderkey is not null and l_partkey is not null and l_suppkey is not null")
     lines = li.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("run"), "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_discount", cyrillic(F.col("p_name")).alias("name"),
-        F.concat(F.lit("part, row "), "l_partkey").alias("clause"), F.concat(F.lit("supplier, row "), "l_suppkey").alias("code"),
     )
+    lines = shared.stored(lines, "lines")
+    clause, code = F.concat(F.lit("part, row "), "l_partkey").alias("clause"), F.concat(F.lit("supplier, row "), "l_suppkey").alias("code")
     place = F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")
     n = place * 1_000_000 + F.col("l_suppkey")
     read = lines.where("l_returnflag <> 'N'")
     known = read.select("run", F.explode(F.array(F.struct(F.lit("part").alias("head"), F.col("l_partkey").alias("row")), F.struct(F.lit("supplier").alias("head"), F.col("l_suppkey").alias("row")))).alias("k")).select("run", "k.head", "k.row")
-    conflicts = lines.where("l_linestatus = 'O'").select("run", n.alias("n"), F.col("name").alias("subject"), F.col("clause").alias("expected_source"), F.col("code").alias("actual_source")).distinct()
-    omissions = lines.select("run", place.alias("place"), F.col("name").alias("param"), "clause").distinct()
-    places = lines.groupBy("run", "code").agg(F.min(place).alias("code_order"))
-    links = lines.groupBy("clause", "code").agg(F.min("run").alias("link_order"))
+    # Locators are written out for distinct rows.
+    conflicts = lines.where("l_linestatus = 'O'").select("run", n.alias("n"), "name", "l_partkey", "l_suppkey").distinct().select("run", "n", F.col("name").alias("subject"), clause.alias("expected_source"), code.alias("actual_source"))
+    omissions = lines.select("run", place.alias("place"), "name", "l_partkey").distinct().select("run", "place", F.col("name").alias("param"), clause)
+    places = lines.groupBy("run", "l_suppkey").agg(F.min(place).alias("code_order")).select("run", code, "code_order")
+    links = lines.groupBy("l_partkey", "l_suppkey").agg(F.min("run").alias("link_order")).select(clause, code, "link_order")
     said = lines.where("l_discount > 0.05").groupBy("run").agg(F.array_join(F.array_sort(F.collect_set("name")), " ").alias("question"))
     questions = table(spark, d, "orders").select(F.col("o_orderkey").alias("run"), (F.col("o_orderstatus") == "F").alias("checking")).join(said, "run", "left")
     return grounding.ground(conflicts, omissions, places, links, known, questions)

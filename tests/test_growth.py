@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from evidentia.functions import records
+from evidentia.functions import records, text
 from evidentia.operators import cascade, containment, coverage, dispatch, evidence, graph, grounding, hybrid, index, ranges, shared, stages
 from evidentia.operators.plan import read_plan
 from evidentia.plans import catalog
@@ -215,3 +215,24 @@ def test_neighbours_in_a_plan_are_not_joined_to_their_batches(spark):
     told = [r for r in got.collect() if r["way"] == "order"]
     assert {(r["batch"], (r["previous"], r["next"], r["position"], r["queue_length"])) for r in told} == {(b, near.get(b, (None,) * 4)) for b in {r["batch"] for r in told}}
     assert {r["req"] for r in told} and all(sum(x["req"] == r["req"] for x in told) == 10 for r in told)
+
+
+def test_cited_locators_are_read_and_parsed_once(spark):
+    """Each further step of the look-up parsed all that is cited again."""
+    read = spark.sparkContext.accumulator(0)
+    rows = [(r, x) for r in range(20) for x in ("rules, row 1", "rules, row 9", "Rules,  rows 1, 2", "the rules, row 2", "rules", "nowhere, row 1", "arrow, row 1")]
+    cited = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(lambda x: read.add(1) or x), "run int, locator string")
+    known = spark.createDataFrame([(r, "rules", k) for r in range(19) for k in (1, 2)], "run int, head string, row long")
+    got = {(r["run"], r["locator"]): r["is_known"] for r in evidence.known_locators(cited, known).collect()}
+    fine = {"rules, row 1", "Rules,  rows 1, 2", "the rules, row 2", "rules"}
+    assert got == {(r, x): r < 19 and x in fine for r, x in rows}
+    assert read.value == len(rows)
+
+
+def test_parts_of_plain_locators_are_those_of_all_others(spark):
+    heads = ["rules", "the rules", "план печати", "arrow", "rows", "a row", "Rules", "a  b", "rules ", "rules,", "a row 3", "", "x1"]
+    texts = [h + t for h in heads for t in (", row 7", ", rows 7", ", row 007", ",row 7", " row 7", ", row 7\n", ", row 7, 8", ", row", ", row 123456789012345678")]
+    parts = [text.locator_head(F.col("c")), text.locator_rows(F.col("c"))]
+    plain = spark.createDataFrame([(t,) for t in texts], "c string").select("c", *parts).collect()
+    general = [F.expr(r"trim(regexp_replace(lower(regexp_extract(c, '^(.*?)(?:,?\\s*rows?\\s+\\d.*)?$', 1)), '\\s+', ' '))"), F.expr(r"transform(regexp_extract_all(regexp_extract(c, 'rows?\\s+(\\d.*)$', 1), '\\d+', 0), x -> cast(x as long))")]
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, spark.createDataFrame([(t,) for t in texts], "c string").select("c", *general).collect()))
