@@ -9,6 +9,7 @@ way of its grams.
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ from evidentia.functions import text
 from . import shared
 from .containment import containing, within
 
+#: So many parameters of a dictionary are looked for first.
+FIRST = 256
+
 
 def parameters(df: DataFrame, name: str, ident: str, order: str) -> DataFrame:
     """(param, place, stems, sense_terms, aliases): each name once, in lower case, by its first row in ``order``. Names without a stem of three letters and null identifiers are left out.
@@ -55,7 +59,7 @@ def sense(params: DataFrame) -> DataFrame:
 
 def read_by(params: DataFrame, code: DataFrame) -> DataFrame:
     """(stage, param): parameters one of whose aliases is in a fragment's text (stage, place, text), both without case, underscores and spaces."""
-    fragments = code.select("stage", text.code_key(F.col("text")).alias("body")).where("body is not null")
+    fragments = shared.stored(shared.dealt(code.where("text is not null")).select("stage", text.code_key(F.col("text")).alias("body")), "bodies")
     names = params.select("param", F.explode(F.array_distinct(F.transform("aliases", text.code_key))).alias("a")).where("a <> ''")
     verified = within(fragments, "body", names, "a").select("stage", "a").distinct()
     return verified.join(names, "a").select("stage", "param").distinct()
@@ -76,18 +80,48 @@ def uncovered(params: DataFrame, clauses: DataFrame, code: DataFrame, columns: D
         asked = asked.join(facts, "param", "left").withColumn("own_tables", F.coalesce("own_tables", F.array().cast("array<string>")))
         if columns.where("is_number").limit(1).count():
             asked = asked.where("is_number")
-    # A clause's number is its rank by place and name; ranks, unlike names, are reduced in hash maps, so pairs are neither sorted nor spilled.
-    named = shared.stored(clauses.select("stage", "clause", "place", F.array_distinct(text.terms(F.col("text"))).alias("terms"), F.col("tables").cast("array<string>").alias("tables")).orderBy("place", "clause").withColumn("s", F.monotonically_increasing_id()), "clauses")
+    # Texts are dealt out and their words stemmed once; every step below reads the terms.
+    named = shared.dealt(clauses).select("stage", "clause", "place", text.distinct_terms(F.col("text")).alias("terms"), F.col("tables").cast("array<string>").alias("tables"))
+    named = shared.stored(named.withColumn("s", F.monotonically_increasing_id()), "clauses")
     # The dictionary's place stays apart from the clause's.
-    pairs = containing(named.select("stage", "s", "terms", "tables"), "terms", asked.select(F.col("param").alias("a"), F.col("place").alias("own_place"), "stems", "sense", "own_tables"), "stems")
+    asked = shared.stored(asked.select(F.col("param").alias("a"), F.col("place").alias("own_place"), "stems", "sense", "own_tables", "aliases", F.row_number().over(Window.orderBy("place", "param")).alias("o")), "asked")
+    first = shared.stored(_first(asked, named, code, most), "first")
+    chosen = asked.drop("aliases").join(F.broadcast(first.select("a").distinct()), "a", "left_semi")
+    pairs = containing(named.select("stage", "s", "terms", "tables"), "terms", chosen, "stems")
+    own = F.broadcast(first.withColumnsRenamed({"stage": "of", "a": "param"}))
+    pairs = pairs.join(own, pairs["stage"].eqNullSafe(own["of"]) & (pairs["a"] == own["param"]))
+    # A clause's number is its rank by place and name; ranks, unlike names, are reduced in hash maps, so pairs are neither sorted nor spilled.
+    ranks = shared.stored(named.select("s", "place", "clause").orderBy("place", "clause").withColumn("r", F.monotonically_increasing_id()), "ranks")
     refers = F.coalesce(F.arrays_overlap("tables", "own_tables"), F.lit(False))
     number = lambda c, digits: c.cast("decimal(38,0)") * F.lit(Decimal(10**digits)).cast("decimal(38,0)")
-    best = (number(F.when(refers, 0).otherwise(1), 30) + number(F.lit(1 << 31) - F.size(F.array_intersect("sense", "terms")), 19) + F.col("s")).cast("decimal(38,0)")
-    least = pairs.groupBy("stage", F.col("a").alias("param"), "own_place").agg(F.min(best).alias("best")).withColumn("s", (F.col("best") % F.lit(Decimal(10**19)).cast("decimal(38,0)")).cast("long"))
-    chosen = least.join(named.select("s", "clause"), "s").select("stage", "param", "own_place", "clause")
-    missed = chosen.join(read_by(params, code), ["stage", "param"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("stage").orderBy("own_place", "param"))
-    return missed.withColumn("rank", rank).where(F.col("rank") <= most).select("stage", "rank", "param", "clause")
+    best = (number(F.when(refers, 0).otherwise(1), 30) + number(F.lit(1 << 31) - F.size(F.array_intersect("sense", "terms")), 19) + F.col("r")).cast("decimal(38,0)")
+    scored = pairs.join(shared.growing(ranks.select("s", "r")), "s")
+    least = scored.groupBy("stage", "param", "own_place", "rank").agg(F.min(best).alias("best")).withColumn("r", (F.col("best") % F.lit(Decimal(10**19)).cast("decimal(38,0)")).cast("long"))
+    return least.join(ranks.select("r", "clause"), "r").select("stage", "rank", "param", "clause")
+
+
+def _first(asked: DataFrame, named: DataFrame, code: DataFrame, most: int, step: int = FIRST) -> DataFrame:
+    """(stage, a, rank): of each stage, the first ``most`` of ``asked`` (a, o, own_place, stems, aliases) that one of the ``named`` clauses has all stems of and no code reads.
+
+    The dictionary is gone through in its order, ``step`` parameters and then four times as many each time; a stage that has its ``most``
+    leaves, as later ones can't be among its first. Where none has, all pairs are looked at.
+    """
+    total = asked.agg(F.max("o")).first()[0] or 0
+    missed, at, left = [], 0, named.select("stage", "s", "terms")
+    while True:
+        some = asked.where((F.col("o") > at) & (F.col("o") <= at + step))
+        there = shared.stored(containing(left, "terms", some.select("a", "o", "stems"), "stems").select("stage", "a", "o").distinct(), "there")
+        read = read_by(some.join(F.broadcast(there.select("a").distinct()), "a", "left_semi").select(F.col("a").alias("param"), "aliases"), code)
+        missed.append(shared.stored(there.join(read.withColumnRenamed("param", "a"), ["stage", "a"], "left_anti"), "missed"))
+        found, at, step = reduce(DataFrame.unionByName, missed), at + step, 4 * step
+        if at >= total:
+            break
+        full = shared.stored(found.groupBy("stage").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("stage"), "full")
+        left, code = (df.join(F.broadcast(full), "stage", "left_anti") for df in (named.select("stage", "s", "terms"), code))
+        if left.limit(1).count() == 0:
+            break
+    rank = F.row_number().over(Window.partitionBy("stage").orderBy("o"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= most).select("stage", "a", "rank")
 
 
 def with_places(missed: DataFrame, code: DataFrame) -> DataFrame:

@@ -236,3 +236,38 @@ def test_parts_of_plain_locators_are_those_of_all_others(spark):
     plain = spark.createDataFrame([(t,) for t in texts], "c string").select("c", *parts).collect()
     general = [F.expr(r"trim(regexp_replace(lower(regexp_extract(c, '^(.*?)(?:,?\\s*rows?\\s+\\d.*)?$', 1)), '\\s+', ' '))"), F.expr(r"transform(regexp_extract_all(regexp_extract(c, 'rows?\\s+(\\d.*)$', 1), '\\d+', 0), x -> cast(x as long))")]
     assert sorted(map(tuple, plain)) == sorted(map(tuple, spark.createDataFrame([(t,) for t in texts], "c string").select("c", *general).collect()))
+
+
+@pytest.mark.parametrize("step", [1, 2, 100])
+def test_parameters_are_compared_until_each_stage_has_its_first(spark, monkeypatch, step):
+    """Every pair of a parameter and a clause was made, and its terms compared, for the first few of each stage."""
+    monkeypatch.setattr(coverage._first, "__defaults__", (step,))
+    made, containing = [], coverage.containing
+    monkeypatch.setattr(coverage, "containing", lambda sets, elements, asked, wanted: made.append(asked.count()) or containing(sets, elements, asked, wanted))
+    rows = [(i, f"линия печать{i}", f"line_{i}") for i in range(40)]
+    clauses = [(s, f"{s}{i}", i, f"линия печать{i} печать{i + 1} и линии", ["t"]) for i in range(39) for s in ("a", "b", None) if s != "b" or i % 8 == 0]
+    code = [("a", 1, "x line_3 y"), ("a", 2, None), ("b", 1, "LINE_1 line_8"), ("c", 1, "line_9")]
+    params = coverage.parameters(spark.createDataFrame(rows, "place int, name string, ident string"), "name", "ident", "place")
+    got = coverage.uncovered(params, spark.createDataFrame(clauses, "stage string, clause string, place int, text string, tables array<string>"), spark.createDataFrame(code, "stage string, place int, text string"), most=4)
+    want = {}
+    for s in ("a", "b", None):
+        for i in range(40):
+            own = [c for c in clauses if c[0] == s and f"печать{i}" in c[3].split()]
+            if own and not any(t == s and f"line{i}" in (x or "").lower().replace("_", "").replace(" ", "") for t, _, x in code):
+                want.setdefault(s, []).append((f"линия печать{i}", own[0][1]))
+    assert {(r["stage"], r["rank"]): (r["param"], r["clause"]) for r in got.collect()} == {(s, k + 1): x for s, v in want.items() for k, x in enumerate(v[:4])}
+    assert made[-1] <= 12  # whole terms are compared for those that are given
+    if step < 100:
+        assert made[0] == step
+
+
+def test_words_lose_the_longest_ending_twice(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("аеиоуыэюямвйлнтсьхгштbx-", k=rng.randrange(1, 11))) + rng.choice(["", *text.SUFFIXES]) for _ in range(3000)] + ["a\nями", "ями", "кольцами\n", "столовая"]
+
+    def once(w):
+        return next((w[: -len(e)] for e in sorted(text.SUFFIXES, key=len, reverse=True) if w.endswith(e) and len(w) >= len(e) + 3), w)
+
+    plain = [w for w in words if "\n" not in w]
+    got = spark.createDataFrame([(w,) for w in plain], "w string").select("w", text.stem(F.col("w")).alias("s")).collect()
+    assert all(r["s"] == once(once(r["w"])) for r in got)
