@@ -1,5 +1,6 @@
 """Steps whose shuffles, groups or broadcasts grew faster than their input: results against plain loops, and what a plan may not do."""
 
+import math
 import random
 
 import pytest
@@ -271,3 +272,25 @@ def test_words_lose_the_longest_ending_twice(spark):
     plain = [w for w in words if "\n" not in w]
     got = spark.createDataFrame([(w,) for w in plain], "w string").select("w", text.stem(F.col("w")).alias("s")).collect()
     assert all(r["s"] == once(once(r["w"])) for r in got)
+
+
+def test_documents_are_split_once_and_the_best_of_many_are_those_of_plain_loops(spark):
+    """The texts were split twice, each word of them was stemmed, and all scores of a block were rounded and sorted."""
+    read, rng = spark.sparkContext.accumulator(0), random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(words, [40 - j for j in range(40)], k=rng.randrange(30))), rng.choice("AB")) for i in range(1500)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(lambda x: read.add(1) or x), "key int, text string, stage string")
+    requests = [(i, " ".join(rng.choices(words, k=3)), rng.choice([None, "A", "C"])) for i in range(60)]
+    got = {(r["req"], r["rank"]): (r["key"], round(r["score"], 6)) for r in dispatch.bm25_each(spark.createDataFrame(requests, "req int, query string, stage string"), docs, 4).collect()}
+    size, split = sum(len(t.split()) for _, t, _ in rows) / len(rows), {k: t.split() for k, t, _ in rows}
+    df = {w: sum(w in t for t in split.values()) for w in words}
+    want = {}
+    for req, query, stage in requests:
+        scores = []
+        for k, _, own in rows:
+            tf = [(w, split[k].count(w)) for w in sorted(set(query.split())) if w in split[k]]
+            if tf and stage in (None, own):
+                scores.append((-round(sum(math.log(1 + (1500 - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * len(split[k]) / size)) for w, n in tf), 12), k))
+        want |= {(req, x + 1): (k, round(-s, 6)) for x, (s, k) in enumerate(sorted(scores)[:4])}
+    assert got == want and len(want) > 150
+    assert read.value == len(rows)
