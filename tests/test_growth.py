@@ -294,3 +294,10 @@ def test_documents_are_split_once_and_the_best_of_many_are_those_of_plain_loops(
         want |= {(req, x + 1): (k, round(-s, 6)) for x, (s, k) in enumerate(sorted(scores)[:4])}
     assert got == want and len(want) > 150
     assert read.value == len(rows)
+
+
+def test_an_array_of_which_each_element_is_a_row_is_made_once(spark):
+    df = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "k int, t string")
+    got = containment.each(df, F.array_distinct(F.split("t", " ")), "e").select("k", "e")
+    assert sorted(map(tuple, got.collect())) == [(1, "a"), (1, "b"), (2, "")]
+    assert plan(got).split("== Initial Plan ==")[0].count("array_distinct") == 1
