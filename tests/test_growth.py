@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from evidentia.functions import records, text
@@ -301,3 +302,10 @@ def test_an_array_of_which_each_element_is_a_row_is_made_once(spark):
     got = containment.each(df, F.array_distinct(F.split("t", " ")), "e").select("k", "e")
     assert sorted(map(tuple, got.collect())) == [(1, "a"), (1, "b"), (2, "")]
     assert plan(got).split("== Initial Plan ==")[0].count("array_distinct") == 1
+
+
+def test_pairs_of_two_hops_meet_by_marks_before_their_lists(spark):
+    edges = spark.createDataFrame([(s, v) for s in range(30) for v in range(s % 7, s % 7 + 4)], "s int, v int")
+    got = graph.two_hops(edges.withColumn("o", F.col("v")), edges.select("v", F.col("s").alias("t")), "s", "v", "t", "o")
+    assert sorted(map(tuple, got.collect())) == sorted((s, t, max(s % 7, t % 7)) for s in range(30) for t in range(30) if abs(s % 7 - t % 7) < 4)
+    assert re.search(r"&.*OR NOT arrays_overlap", plan(got))
