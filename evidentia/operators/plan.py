@@ -28,19 +28,22 @@ def read_plan(requests: DataFrame, batches: DataFrame, pseudo: Sequence[str] = (
     key = lambda c: text.normalize_key(F.col(c))
     asked = requests.select("req", F.when(given("order_no"), key("order_no")).alias("o"), F.when(given("line"), key("line")).alias("l"), F.when(given("stage"), key("stage")).alias("s"))
     asked = asked.withColumn("way", F.when(F.col("o").isNotNull(), "order").when(F.col("l").isNotNull(), "line").otherwise("input error"))
-    rows = batches.select("batch", "line", "stage", "seq", "started", key("order_no").alias("_o"), key("line").alias("_l"), key("stage").alias("_s"))
-    # Neighbours are found on whole rows, which are stored: none is joined to its batch again, and both ways read the same rows.
+    rows = batches.select("batch", "order_no", "line", "stage", "seq", "started")
+    # Neighbours are found on whole rows, which are stored: none is joined to its batch again, and both ways read the same rows. Keys are made
+    # after them, and take the places of the texts, so no text is moved or stored twice.
     near = queue.neighbors(rows, ["stage", "line"], ["started", "batch"], "batch")
     odd = {"float", "double"}
     unplaced = reduce(or_, [F.col(c).isNull() | F.isnan(c) if t in odd else F.col(c).isNull() for c, t in rows.dtypes if c in ("stage", "line", "started")])
-    rows = shared.stored(near.unionByName(rows.where(unplaced), allowMissingColumns=True), "batches")
+    real = (~F.coalesce(F.col("line").isin(*pseudo), F.lit(True))).alias("real")
+    keyed = near.unionByName(rows.where(unplaced), allowMissingColumns=True)
+    rows = shared.stored(keyed.select("batch", key("order_no").alias("_o"), key("line").alias("_l"), key("stage").alias("_s"), "seq", "started", real, "previous", "next", "position", "queue_length"), "batches")
 
     # Equal questions are answered once.
     own = asked.where("way = 'order'").select("o", "s").distinct().join(rows.withColumnRenamed("_o", "o"), "o")
     every = Window.partitionBy("o", "s")
     ordered = own.withColumns({
         "asked_stage": F.when(F.col("s").isNotNull(), F.coalesce(F.col("s") == F.col("_s"), F.lit(False))), "rank": F.row_number().over(every.orderBy("seq", "batch")), "total": F.count("*").over(every),
-        "placed": F.bool_or(~F.coalesce(F.col("line").isin(*pseudo), F.lit(True))).over(every),
+        "placed": F.bool_or("real").over(every),
     }).withColumn("fits", F.coalesce(F.bool_or("asked_stage").over(every), F.lit(True)))
     there = ["rank", "batch", "asked_stage", "previous", "next", "position", "queue_length", "placed", "total"]
     first = asked.where("way = 'order'").join(ordered.select("o", "s", "fits", *there), (asked["o"] == ordered["o"]) & asked["s"].eqNullSafe(ordered["s"]), "left").select("req", "way", "fits", *there)

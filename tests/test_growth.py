@@ -309,3 +309,12 @@ def test_pairs_of_two_hops_meet_by_marks_before_their_lists(spark):
     got = graph.two_hops(edges.withColumn("o", F.col("v")), edges.select("v", F.col("s").alias("t")), "s", "v", "t", "o")
     assert sorted(map(tuple, got.collect())) == sorted((s, t, max(s % 7, t % 7)) for s in range(30) for t in range(30) if abs(s % 7 - t % 7) < 4)
     assert re.search(r"&.*OR NOT arrays_overlap", plan(got))
+
+
+def test_texts_of_a_plan_are_stored_as_keys_only(spark, monkeypatch):
+    kept, stored = [], shared.stored
+    monkeypatch.setattr(shared, "stored", lambda df, name: kept.append(df.columns) or stored(df, name))
+    batches = spark.createDataFrame([("b1", "O 1", "L1", "A", 1, 1.0), ("b2", "o  1", "P", "A", 2, None)], "batch string, order_no string, line string, stage string, seq int, started double")
+    got = read_plan(spark.createDataFrame([(1, "O 1", None, "a")], "req int, order_no string, line string, stage string"), batches, ["P"])
+    assert [(r["batch"], r["asked_stage"], r["placed"], r["position"]) for r in got.orderBy("rank").collect()] == [("b1", True, True, 1), ("b2", True, True, None)]
+    assert kept and not any({"order_no", "line", "stage"} & set(c) for c in kept)
